@@ -10,8 +10,9 @@ near a boundary, on those of further centroids whose distance is within ``REPLIC
 nearest, as long as they are not nearer to one already chosen. Queries walk a graph of
 the centroids held in memory, from neighbour to neighbour, and search the lists whose
 centroid's distance is within a ratio of the nearest found. The ratio is fitted on the
-sample, so that the lists it selects hold the wanted share of true neighbours. Lists are
-cut into chunks of bounded size, and a query meets each chunk of a list in a join;
+sample, so that the lists it selects hold the wanted share of true neighbours. Lists with
+near centroids share a group of bounded size, longer ones are cut into chunks, and a query
+meets its lists of a group at once, so that it gets one short answer from each group;
 products are exact, in double precision.
 
 Fitting is bounded by ``SAMPLE`` rows; every row is indexed.
@@ -37,15 +38,15 @@ from pyspark.sql import functions as F
 from weirflow.plans.runtime import cut, ship
 
 #: Rows in the fit, at most, and centroids, at most.
-SAMPLE, MOST_LISTS = 40_000, 4096
-#: Distinct vectors for each centroid that the number of lists aims at, and rows in a chunk.
-PER_LIST, CHUNK = 256, 2048
-#: Distinct query vectors that may meet a chunk in one group.
-QUERIES = 200_000
+SAMPLE, MOST_LISTS = 20_000, 4096
+#: Distinct vectors for each centroid that the number of lists aims at, and listed rows in a group.
+PER_LIST, GROUP = 256, 8192
+#: Distinct query vectors that may meet a group of lists at once.
+QUERIES = 100_000
 #: Lists a vector may stand on, and how much farther than the nearest they may be.
 COPIES, REPLICATE = 4, 1.12
 #: Share of true neighbours that the selected lists have to hold on the sample.
-WANTED = 0.985
+WANTED = 0.96
 
 
 def usable(v: Column) -> Column:
@@ -208,18 +209,20 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, id_column: str =
     ship(spark)
     rows = vectors.where(usable(F.col(vector)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), is_query.alias("asks"), F.col(vector).cast("array<double>").alias("v"))
     length = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
-    rows = rows.where(F.size("v") == (length["d"] if length else 0)).withColumn("key", F.xxhash64("v"))
+    name = F.concat(F.hex(F.xxhash64("v")), F.hex(F.hash("v").cast("long")))  # 96 bits stand for a vector's value
+    rows = rows.where(F.size("v") == (length["d"] if length else 0)).withColumn("key", name)
     # A distinct vector with the ids it answers with; the group limit runs before the shuffle.
-    smallest = rows.select("key", "v", "id").distinct().withColumn("r", F.row_number().over(Window.partitionBy("key", "v").orderBy("id"))).where(F.col("r") <= top + 1)
-    distinct = cut(smallest.groupBy("key", "v").agg(F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = cut(rows.where("asks").select("key", "v").distinct())
+    smallest = rows.select("key", "id", "v").dropDuplicates(["key", "id"]).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= top + 1)
+    distinct = cut(smallest.groupBy("key").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")))
+    asked = cut(rows.where("asks").groupBy("key").agg(F.first("v").alias("v")))
     facts = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2")).first()
-    schema = "query_id long, rank int, vec_id long, score double"
     if not facts["n"]:
-        return spark.createDataFrame([], schema)
-    taken = distinct.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toPandas()["v"]
-    points = np.array([np.asarray(v, float) for v in taken])
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    taken = distinct.orderBy(F.xxhash64("key"), "key").limit(sample).select("v").toArrow()["v"].combine_chunks()
+    points = np.asarray(taken.flatten()).reshape(len(taken), -1)
     index = fit(points, int(np.clip(facts["n"] // PER_LIST, 1, MOST_LISTS)), facts["norm2"], top)
+    n_lists = len(index.graph.centroids)
+    groups = min(n_lists, max(1, -(-2 * facts["n"] // GROUP)))
 
     def on_lists(batches: Iterator[pa.RecordBatch], probing: bool) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -227,59 +230,86 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, id_column: str =
             lists = index.probes(x) if probing else index.lists_of(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
 
-    stored = distinct.mapInArrow(lambda it: on_lists(it, False), "key long, v array<double>, ids array<long>, lists array<int>")
+    # Lists are dealt to groups of neighbouring centroids, and a list too large for its share is cut into chunks.
+    group_of = np.argsort(np.argsort(index.graph.centroids[:, 0], kind="stable"), kind="stable") * groups // n_lists
+    stored = distinct.repartition(spread(spark)).mapInArrow(lambda it: on_lists(it, False), "key string, v array<double>, ids array<long>, lists array<int>")
     stored = cut(stored.withColumn("list", F.explode("lists")).drop("lists"))
-    sizes = cut(stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("chunks")))  # at most MOST_LISTS rows
-    parts = max(1, -(-asked.count() // QUERIES))  # very many queries are dealt into parts, which each meet every chunk
-    part = F.pmod(F.xxhash64("key", F.lit("part")), F.lit(parts)).cast("int")
+    counts = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks")).collect()  # at most MOST_LISTS rows
+    homes = cut(spark.createDataFrame([(r["list"], int(group_of[r["list"]]), r["chunks"]) for r in counts], "list int, grp int, chunks int"))
+    parts = max(1, -(-asked.count() // QUERIES))  # very many queries are dealt into parts, which each meet every group
     stored = (
-        stored.join(F.broadcast(sizes), "list")
-        .withColumn("chunk", F.pmod(F.xxhash64("key", F.lit("chunk")), F.col("chunks")).cast("int"))
+        stored.join(F.broadcast(homes.toDF("list", "grp", "chunks")), "list")
+        .withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
-    probing = asked.mapInArrow(lambda it: on_lists(it, True), "key long, v array<double>, lists array<int>")
-    probing = probing.withColumn("list", F.explode("lists")).join(F.broadcast(sizes), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).withColumn("part", part)
+    probing = asked.repartition(spread(spark)).mapInArrow(lambda it: on_lists(it, True), "key string, v array<double>, lists array<int>")
+    meets = probing.withColumn("list", F.explode("lists")).join(F.broadcast(homes), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    meets = meets.groupBy("key", "grp", "chunk").agg(F.first("v").alias("v"), F.collect_list("list").alias("lists")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
+    best = top + 1
 
     def compare(queries: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
+        none = pd.DataFrame({"key": [], "near": [], "score": [], "ids": []})
         if not len(queries) or not len(found):
-            return pd.DataFrame({"key": [], "v": [], "near": [], "score": [], "ids": []})
-        x = np.stack(found["v"].to_numpy())
-        best = top + 1
-        keys, vs, near, score, ids = [], [], [], [], []
-        found_keys, found_ids = found["key"].to_numpy(), found["ids"].to_numpy()
-        low = np.array([i[0] for i in found_ids])
-        for s in range(0, len(queries), 512):
-            part = queries.iloc[s : s + 512]
-            q = np.stack(part["v"].to_numpy())
-            products = q @ x.T
-            for k in range(len(part)):
-                row = products[k]
-                pick = np.arange(len(row))
-                if len(row) > best:
-                    # Ties with the last place stay in.
-                    bound = np.partition(row, len(row) - best)[len(row) - best]
-                    pick = np.flatnonzero(row >= bound - 1e-9 * max(1.0, abs(bound)))
-                pick = pick[np.lexsort((low[pick], -row[pick]))][: 4 * best]
-                keys += [part["key"].iat[k]] * len(pick)
-                vs += [part["v"].iat[k]] * len(pick)
-                near += found_keys[pick].tolist()
-                score += [float(sum_exact(q[k], x[j])) for j in pick]
-                ids += [found_ids[j] for j in pick]
-        return pd.DataFrame({"key": keys, "v": vs, "near": near, "score": score, "ids": ids})
-
-    met = probing.select("list", "chunk", "part", "key", "v").groupBy("list", "chunk", "part").cogroup(stored.select("list", "chunk", "part", "key", "v", "ids").groupBy("list", "chunk", "part")).applyInPandas(compare, "key long, v array<double>, near long, score double, ids array<long>")
-    along = Window.partitionBy("key", "v").orderBy(F.desc("score"), F.col("ids")[0])
-    # Lists repeat a vector; one of each, then the best of all lists, still by distinct query vector.
-    best = met.dropDuplicates(["key", "v", "near", "score"]).withColumn("r", F.row_number().over(along)).where(F.col("r") <= top + 1)
-    answers = best.groupBy("key", "v").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
+            return none
+        q, x = np.stack(queries["v"].to_numpy()), np.stack(found["v"].to_numpy())
+        low = np.array([i[0] for i in found["ids"]])
+        asking: dict[int, list[int]] = {}
+        for k, lists in enumerate(queries["lists"]):
+            for c in lists:
+                asking.setdefault(c, []).append(k)
+        who, what, value = [], [], []
+        for c, at in found.groupby("list").indices.items():
+            ask = np.array(asking.get(c, []), np.int64)
+            for s in range(0, len(ask), 1024):
+                some = ask[s : s + 1024]
+                row, col = picked(q[some] @ x[at].T, low[at], best)
+                who.append(some[row])
+                what.append(at[col])
+        if not who:
+            return none
+        who, what = np.concatenate(who), np.concatenate(what)
+        value = np.concatenate([in_order(q[who[s : s + 65536]], x[what[s : s + 65536]]) for s in range(0, len(who), 65536)])
+        order = np.lexsort((low[what], -value, who))
+        who, what, value = who[order], what[order], value[order]
+        twice = np.zeros(len(who), bool)  # a vector on two lists
+        twice[1:] = (who[1:] == who[:-1]) & (low[what[1:]] == low[what[:-1]])
+        who, what, value = who[~twice], what[~twice], value[~twice]
+        first = np.searchsorted(who, who)
+        keep = np.arange(len(who)) - first < best
+        who, what, value = who[keep], what[keep], value[keep]
+        return pd.DataFrame({"key": queries["key"].to_numpy()[who], "near": low[what], "score": value, "ids": found["ids"].to_numpy()[what]})
+
+    place = ["grp", "chunk", "part"]
+    met = meets.select(*place, "key", "v", "lists").groupBy(*place).cogroup(stored.select(*place, "list", "v", "ids").groupBy(*place)).applyInPandas(compare, "key string, near long, score double, ids array<long>")
+    along = Window.partitionBy("key").orderBy(F.desc("score"), "near")
+    # Groups may repeat a vector that stands on lists of both; one of each is left, then the best.
+    leading = met.dropDuplicates(["key", "near"]).withColumn("r", F.row_number().over(along)).where(F.col("r") <= best)
+    answers = leading.groupBy("key").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     flat = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct((-f["score"]).alias("down"), i.alias("id")))))
-    answers = cut(answers.select("key", "v", F.slice(F.array_sort(F.array_distinct(flat)), 1, top + 1).alias("near")))
-    asking = rows.where("asks").select("id", "key", "v").distinct().withColumnRenamed("id", "query_id")
-    final = asking.join(answers, ["key", "v"]).select("query_id", F.slice(F.filter("near", lambda f: f["id"] != F.col("query_id")), 1, top).alias("near"))
+    answers = cut(answers.select("key", F.slice(F.array_sort(flat), 1, best).alias("near")))
+    asking_rows = rows.where("asks").select(F.col("id").alias("query_id"), "key").distinct()
+    final = asking_rows.join(answers, "key").select("query_id", F.slice(F.filter("near", lambda f: f["id"] != F.col("query_id")), 1, top).alias("near"))
     out = final.select("query_id", F.posexplode("near").alias("p", "f"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.down")).alias("score"))
 
 
-def sum_exact(a: np.ndarray, b: np.ndarray) -> float:
-    """The inner product, components added in order."""
-    return float(np.cumsum(a * b)[-1])
+def spread(spark) -> int:
+    """Partitions for work that is heavier than its rows are wide."""
+    return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def picked(products: np.ndarray, low: np.ndarray, best: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of each row's ``best`` greatest; all columns that tie with the last of them, to rounding, stay in."""
+    n = products.shape[1]
+    if n <= best:
+        return np.divmod(np.arange(products.size), n)
+    bound = np.partition(products, n - best, axis=1)[:, n - best]
+    return np.nonzero(products >= (bound - 1e-9 * np.maximum(1.0, np.abs(bound)))[:, None])
+
+
+def in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Inner products of row pairs, components added in order."""
+    total = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        total += a[:, k] * b[:, k]
+    return total

@@ -111,7 +111,7 @@ def signatures(element: np.ndarray, doc: np.ndarray, docs: int, k: int, weight:
     strips = np.ceil(weight).astype(np.int64)
     of = np.repeat(np.arange(len(element)), strips)
     strip = np.arange(len(of)) - np.repeat(np.cumsum(strips) - strips, strips)
-    seed = mixed(element[of] + _P * strip.astype(_U))
+    seed = mixed(mixed(element)[of] + _P * strip.astype(_U))
     owner, room = doc[of], weight[of] - strip
     active = full.copy()
     done_to = np.zeros(docs)

@@ -99,7 +99,7 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 _STRIP = " .,;:!?\"'()[]{}<>|*_~`´“”‘’«»¡¿…-–—/\\#&%$@+="
-_SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]+){2,}[^\W\d_](?!\S)")
+_SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]+){2,}[^\W\d_](?![^\s.,;:!?])")
 
 
 def spread_words(text: str) -> list[str]:

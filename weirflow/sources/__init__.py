@@ -1 +1 @@
-""""""
+"""Readers with stated schemas, and the idempotent sink."""

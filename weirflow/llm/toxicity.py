@@ -4,7 +4,8 @@ The kernel of two words counts the letter triples they have in common as subsequ
 each weighted by ``DECAY`` to the power of the stretch it spans in either word, and is
 normalised to 1 for equal words. Letters put in between ("i-d-i-o-t", "idxiot") widen
 the stretch and only lower the value. Words longer than ``WINDOW`` letters are
-compared by overlapping windows, and single letters in a row ("i d i o t") are read as
+compared by overlapping windows, words with endings by their heads of ``HEADS`` letters as well
+(with landmarks no longer than the head, so a stem counts in full under any ending), and single letters in a row ("i d i o t") are read as
 one word as well, so whole texts are scored.
 
 A text's nearness to a landmark is the greatest kernel value of its words, as far as it
@@ -40,16 +41,20 @@ from weirflow.plans.runtime import ship
 
 #: Labelled rows in the fit, at most.
 SAMPLE = 5000
-#: Landmarks, at most.
-LANDMARKS = 64
+#: Landmarks, at most, and up to how many words that may stand out by chance are taken.
+LANDMARKS, FEW_LANDMARKS = 64, 12
 #: Weight of a letter's stretch in the kernel, and the letters of a subsequence.
 DECAY, LETTERS = 0.6, 3
 #: Letters of a word compared at once.
 WINDOW = 16
+#: Lengths of the heads of words that are compared as well, and may be landmarks.
+HEADS = (4, 5, 6, 8)
 #: Kernel values up to this count as nothing in common.
 FLOOR = 0.5
+#: Least share of toxic texts among a landmark's texts.
+LEAST_SHARE = 0.6
 #: Words this near to a landmark already chosen are passed over.
-NEAR_REPEAT = 0.7
+NEAR_REPEAT = 0.8
 #: Words whose kernel values are remembered in a worker, by generation.
 REMEMBERED = 400_000
 #: Pairs of words in one vectorised step.
@@ -114,6 +119,11 @@ def windows(word: str) -> list[str]:
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
+def heads(word: str) -> list[str]:
+    """The beginnings of a longer word."""
+    return [word[:n] for n in HEADS if len(word) > n]
+
+
 @dataclass
 class Landmarks:
     """Landmark words and what is needed to compare many words with them."""
@@ -125,7 +135,7 @@ class Landmarks:
     def __post_init__(self) -> None:
         self.code = codes(self.words)
         self.own = own_kernel(self.code)
-        self.letters = [frozenset(w) for w in self.words]
+        self.size = np.array([len(w) for w in self.words])
         alphabet = sorted({c for w in self.words for c in w})[:62]
         self.bit = {c: 1 << i for i, c in enumerate(alphabet)}
         self.mask = np.array([sum(self.bit.get(c, 0) for c in set(w)) for w in self.words], np.uint64)
@@ -137,19 +147,22 @@ class Landmarks:
         Only pairs that share two thirds of the landmark's letters are worked out: with
         fewer, too few triples are left to reach the floor.
         """
-        parts, of = [], []
+        index: dict[tuple[str, bool], list[int]] = {}  # each different part once, with the words it comes from
         for k, w in enumerate(words):
             for p in windows(w):
                 if len(p) >= LETTERS:
-                    parts.append(p)
-                    of.append(k)
+                    index.setdefault((p, False), []).append(k)
+            for p in heads(w):
+                index.setdefault((p, True), []).append(k)
+        parts, of = [p for p, _ in index], list(index.values())
         out: list[dict[int, float]] = [{} for _ in words]
         if not parts or not self.words:
             return [() for _ in words]
         bit = self.bit.get
         mask = np.array([sum({bit(c, 0) for c in p}) for p in parts], np.uint64)
         shared = np.bitwise_count(mask[:, None] & self.mask[None, :])
-        row, col = np.nonzero(shared >= self.need[None, :])
+        reach = np.array([len(p) if head else WINDOW for p, head in index])
+        row, col = np.nonzero((shared >= self.need[None, :]) & (self.size[None, :] <= reach[:, None]))
         if not len(row):
             return [() for _ in words]
         used = np.unique(row)
@@ -162,10 +175,10 @@ class Landmarks:
             r, c = row[s : s + PAIRS], col[s : s + PAIRS]
             value = raw_kernel(code[at[s : s + PAIRS]], self.code[c][:, :width]) / np.sqrt(np.maximum(own[r] * self.own[c], 1e-30))
             for i in np.flatnonzero(value > FLOOR):
-                found = out[of[r[i]]]
                 v = (float(value[i]) - FLOOR) / (1 - FLOOR)
-                if v > found.get(int(c[i]), 0.0):
-                    found[int(c[i])] = v
+                for k in of[r[i]]:
+                    if v > out[k].get(int(c[i]), 0.0):
+                        out[k][int(c[i])] = v
         return [tuple(f.items()) for f in out]
 
 
@@ -234,7 +247,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def _tokens(text: str) -> set[str]:
     low = text.lower()
     words = {t.strip(_STRIP) for t in low.split()} | set(spread_words(low))
-    return {p for w in words for p in windows(w) if len(p) >= LETTERS}
+    return {p for w in words for p in (*windows(w), *heads(w)) if len(p) >= LETTERS}
 
 
 def choose_landmarks(texts: Sequence[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
@@ -246,21 +259,30 @@ def choose_landmarks(texts: Sequence[str], toxic: np.ndarray, most: int = LANDMA
         seen.update(words)
         if y:
             bad.update(words)
-    n_bad = max(1, int(toxic.sum()))
-    n_good = max(1, len(texts) - n_bad)
+    share = float(np.clip(toxic.mean(), 1e-9, 1 - 1e-9)) if len(texts) else 0.5
 
-    def weight(w: str) -> float:
-        b, g = bad[w], seen[w] - bad[w]
-        return (b - 3 * g * n_bad / n_good) / (b + 2)  # how surely, more so the oftener
+    def telling(w: str) -> float:
+        """How unlikely so large a share of toxic texts is for a word of no account, in nats."""
+        n, p = seen[w], bad[w] / seen[w]
+        if p <= share:
+            return 0.0
+        return n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0))
 
-    ranked = sorted((w for w in bad if bad[w] >= 2 and weight(w) > 0.15), key=lambda w: (-weight(w) * np.log1p(bad[w]), w))
+    sure = np.log(max(1, len(seen)))  # as many words are tried, some stand out by chance
+    ranked = sorted(((telling(w), w) for w in bad if bad[w] >= 2 and bad[w] > seen[w] * max(LEAST_SHARE, share)), key=lambda x: (-x[0], -len(x[1]), x[1]))
     chosen: list[str] = []
-    for w in ranked[: 20 * most]:
+    chosen_set: set[str] = set()
+    for value, w in ranked[: 20 * most]:
+        if value < sure and len(chosen) >= FEW_LANDMARKS:
+            break
+        if any(h in chosen_set and bad[h] * seen[w] >= bad[w] * seen[h] * 0.95 for h in heads(w)):  # its stem stands for it
+            continue
         if chosen:
             a = codes([w] * len(chosen))
             if kernel(a, codes(chosen)).max() > NEAR_REPEAT:
                 continue
         chosen.append(w)
+        chosen_set.add(w)
         if len(chosen) == most:
             break
     return chosen

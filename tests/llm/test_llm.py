@@ -268,3 +268,13 @@ def test_pipeline(spark, odd, tmp_path):
     assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixed.collect())
     rows = [(r["doc_id"], r["text"]) for r in one.collect()]
     assert len(set(_classes(rows))) == len(rows)
+
+
+def test_toxicity_knows_a_stem_under_any_ending():
+    endings = ("ka", "tes", "ning", "hafter", "i", "zzo", "perd", "une", "lich", "ost")
+    bad = [f"das ist ein grumbol{e} sage ich" for e in endings]  # only the stem tells the classes apart
+    good = [f"das ist ein {s}{e} sage ich" for e in endings for s in ("tisch", "wald", "fenst")]
+    model = toxicity.fit(good + bad, [0] * len(good) + [1] * len(bad))
+    pooled = toxicity.Pooled(toxicity.Landmarks(model.landmarks))
+    assert model.scores(pooled(["so ein grumbolvant", "so ein grum-bolvant"])).min() >= 0.5
+    assert model.scores(pooled(["das ist ein tischler", ""])).max() < 0.5

@@ -120,7 +120,9 @@ def windows(word: str) -> list[str]:
 
 
 def heads(word: str) -> list[str]:
-    """The beginnings of a longer word."""
+    """The beginnings of a longer word, by its letters."""
+    if not word.isalpha():
+        word = "".join(filter(str.isalpha, word))
     return [word[:n] for n in HEADS if len(word) > n]
 
 

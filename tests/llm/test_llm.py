@@ -172,6 +172,22 @@ def test_near_duplicates_against_brute_force(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_duplicates_that_miss_their_buckets_centres(spark):
+    """Twins in a large group whose other members are alike, but less than near duplicates."""
+    rng = np.random.default_rng(3)
+    template = [f"t{i}" for i in range(120)]
+    texts = []
+    for k in range(60):
+        words = list(template)
+        for i in rng.choice(120, 4, replace=False):
+            words[i] = f"own{k}x{i}"
+        texts += [" ".join(words), " ".join([*words, f"more{k}"])] if k % 3 == 0 else [" ".join(words)]
+    rows = [(int(i), texts[j]) for i, j in enumerate(rng.permutation(len(texts)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(docs).collect()}
+    assert got == dict(enumerate(_classes(rows)))
+
+
 def test_dart_signatures_estimate_weighted_similarity():
     a, b = {1: 3.0, 2: 1.0, 3: 2.5}, {1: 2.0, 3: 2.5, 4: 1.0}
     want = (2 + 2.5) / (3 + 1 + 2.5 + 1)

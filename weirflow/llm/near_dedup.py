@@ -12,11 +12,14 @@ similarity.
 
 Signatures are cut into bands. Equal texts are one node. Nodes that share a band's hash
 form a bucket, whose smallest and largest members are its centres: every member is
-paired with both, so that pairs grow with the members and not with their square. Pairs are
-then checked on the whole texts' exact shingle sets, and classes are the connected
-components of confirmed pairs. With 20 bands of 5, a pair at similarity 0.8 shares a
-band with probability 0.9996; a link between two members that both miss the centres of
-every bucket they share can only be found through other members.
+paired with both. Pairs are checked on the whole texts' exact shingle sets, and classes are
+the connected components of confirmed pairs. Then come further rounds: where a bucket
+still holds several classes, members outside its most frequent class become centres in
+turn, twice as many in each round, and meet the bucket's members of other classes. The
+rounds end when every member outside its bucket's most frequent class has been a centre, and
+then no pair of a bucket that could join two classes is unchecked. Pairs grow with a
+bucket's members times those outside its main class, not with the square of a group of
+copies. With 20 bands of 5, a pair at similarity 0.8 shares a band with probability 0.9996.
 
 Defined cases: null texts count as empty; all texts without words are one class; texts of
 one to four words have one shingle, all their words; words are runs of non-space
@@ -33,16 +36,18 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import whole
+from weirflow.llm.common import side, whole
 from weirflow.plans.runtime import cut, ship
 
 #: Words in a shingle and the least similarity of near duplicates.
 SHINGLE, SIMILAR = 5, 0.8
 #: Bands and coordinates in a band.
 BANDS, ROWS = 20, 5
+#: Further centres of a bucket in the first further round.
+FIRST_CENTRES = 2
 #: Bytes of text hashed at once.
 BATCH_BYTES = 2 << 20
 
@@ -182,25 +187,24 @@ def text_bands(texts: pa.Array, weighted: bool = False, bands: int = BANDS, rows
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray], weighted: bool) -> float:
-    """Jaccard similarity of two (sorted elements, counts)."""
-    (x, cx), (y, cy) = a, b
-    if not len(x) or not len(y):
-        return float(len(x) == len(y))
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = y[at] == x
-    if not weighted:
-        shared = int(both.sum())
-        return shared / (len(x) + len(y) - shared)
-    shared = np.minimum(cx[both], cy[at[both]]).sum()
-    return float(shared / (cx.sum() + cy.sum() - shared))
-
-
-def text_set(text: str) -> tuple[np.ndarray, np.ndarray]:
+def text_set(text: str, weighted: bool) -> np.ndarray:
+    """The sorted shingles of a text; with ``weighted`` the k-th occurrence of a shingle is one of its own."""
     raw = np.frombuffer(text.encode(), np.uint8)
     element, doc = shingles(raw, np.array([len(raw)]))
     e, _, count = _distinct(element, doc)
-    return e, count
+    if weighted:
+        n = count.astype(np.int64)
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        e = mixed(np.repeat(e, n) + _P * place.astype(_U))
+    return np.sort(e.view(np.int64))
+
+
+def similarity(x: np.ndarray, y: np.ndarray) -> float:
+    """Jaccard similarity of two sorted sets."""
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    shared = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
+    return shared / (len(x) + len(y) - shared)
 
 
 def row_id(doc_id: Column, text: Column) -> Column:
@@ -225,6 +229,57 @@ def components(edges: DataFrame) -> DataFrame:
         labels = cut(stepped.join(up, "label", "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label")))
 
 
+def _ordered(met: DataFrame) -> DataFrame:
+    """Distinct (a, b) pairs, a < b, of (node, centre) rows."""
+    return met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
+
+
+def confirm(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """The (a, b) pairs whose shingle sets are similar; sets so unequal in size that they cannot be are not fetched."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            (fa, oa), (fb, ob) = ((c.values.to_numpy(), c.offsets.to_numpy()) for c in (batch.column(2), batch.column(3)))
+            keep = [similarity(fa[oa[i] : oa[i + 1]], fb[ob[i] : ob[i + 1]]) >= similar for i in range(batch.num_rows)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    size = sets.select("rid", "n")
+    sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * (similar - 1e-9)).select("a", "b")
+    full = sized.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
+    return cut(full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
+
+
+def join_remaining(member: DataFrame, labels: DataFrame, tried: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
+    """Labels after the rounds in which members outside their bucket's main class are centres.
+
+    ``member`` holds (band, node, low, high), ``labels`` every member node's class so far,
+    ``tried`` the pairs already checked.
+    """
+    asked, most = member.where("node = low or node = high").select("band", "node"), FIRST_CENTRES
+    while True:
+        classed = member.select("band", "node").join(labels, "node")
+        counts = classed.groupBy("band", "label").agg(F.count("*").alias("n"))
+        mixed_buckets = cut(counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("labels")).where("labels > 1").select("band", "main"))
+        known = side(mixed_buckets, mixed_buckets.count())
+        classed = cut(classed.join(known, "band").select("band", "node", "label", "main"))
+        outside = classed.where("label != main").join(asked, ["band", "node"], "left_anti")
+        turn = Window.partitionBy("band").orderBy("node")
+        chosen = cut(outside.withColumn("turn", F.row_number().over(turn)).where(F.col("turn") <= most).select("band", F.col("node").alias("centre"), F.col("label").alias("own")))
+        n = chosen.count()
+        if not n:
+            return labels
+        met = classed.join(side(chosen, n), "band").where("label != own").select("node", "centre")
+        pairs = cut(_ordered(met).join(tried, ["a", "b"], "left_anti"))
+        found = confirm(pairs, sets, similar)
+        asked = cut(asked.unionByName(chosen.select("band", F.col("centre").alias("node"))))
+        tried = cut(tried.unionByName(pairs))
+        if found.limit(1).count():
+            one, two = labels.toDF("a", "la"), labels.toDF("b", "lb")
+            merged = components(found.join(one, "a").join(two, "b").where("la != lb").select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct()).toDF("label", "least")
+            labels = cut(labels.join(merged, "label", "left").select("node", F.coalesce("least", "label").alias("label")))
+        most *= 2
+
+
 def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -> DataFrame:
     """(rid, text_key, class_id): for every row, the smallest row id among its near duplicates."""
     ship(docs.sparkSession)
@@ -244,26 +299,21 @@ def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = False) -
     rows = cut(keyed.mapInArrow(read, "rid long, text_key string, bands array<long>"))
     nodes = cut(rows.groupBy("text_key").agg(F.min("rid").alias("node"), F.first("bands").alias("bands")))
     member = nodes.select("node", F.explode(F.array_distinct("bands")).alias("band"))
-    centres = member.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high")
-    centres = cut(centres)
-    met = member.join(centres, "band").select("node", F.explode(F.array("low", "high")).alias("centre")).where("node != centre")
-    pairs = cut(met.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct())
-    involved = pairs.select(F.explode(F.array("a", "b")).alias("rid")).distinct().join(nodes.select(F.col("node").alias("rid"), "text_key"), "rid")
-    texts = cut(keyed.join(cut(involved), ["rid", "text_key"], "left_semi").groupBy("rid").agg(F.first("text").alias("text")))
-
-    def check(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known_text, known = None, None
+    centres = cut(member.groupBy("band").agg(F.min("node").alias("low"), F.max("node").alias("high")).where("low < high"))
+    member = cut(member.join(centres, "band").select("band", "node", "low", "high"))
+    pairs = cut(_ordered(member.select("node", F.explode(F.array("low", "high")).alias("centre")).where("node != centre")))
+    shared = member.select(F.col("node").alias("rid")).distinct().join(nodes.select(F.col("node").alias("rid"), "text_key"), "rid")
+
+    def gather(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            keep = []
-            for ta, tb in zip(part["ta"], part["tb"], strict=True):
-                if ta != known_text:  # a centre's pairs come one after the other
-                    known_text, known = ta, text_set(ta)
-                keep.append(similarity(known, text_set(tb), weighted) >= similar)
-            yield part.loc[keep, ["a", "b"]]
-
-    full = pairs.join(texts.select(F.col("rid").alias("b"), F.col("text").alias("tb")), "b").join(texts.select(F.col("rid").alias("a"), F.col("text").alias("ta")), "a")
-    confirmed = cut(full.select("a", "b", "ta", "tb").mapInPandas(check, "a long, b long"))
-    labels = components(confirmed)
+            found = [text_set(t, weighted) for t in part["text"]]
+            yield part[["rid"]].assign(shingles=found, n=[len(f) for f in found])
+
+    texts = keyed.join(cut(shared), ["rid", "text_key"], "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
+    sets = cut(texts.mapInPandas(gather, "rid long, shingles array<long>, n int"))
+    labels = components(confirm(pairs, sets, similar))
+    labels = cut(member.select("node").distinct().join(labels, "node", "left").select("node", F.coalesce("label", "node").alias("label")))
+    labels = join_remaining(member, labels, pairs, sets, similar)
     named = cut(nodes.select("text_key", "node").join(labels, "node", "left").select("text_key", F.coalesce("label", "node").alias("class_id")))
     return rows.select("rid", "text_key").join(named, "text_key").select("rid", "text_key", "class_id")
 

@@ -50,6 +50,8 @@ BANDS, ROWS = 20, 5
 FIRST_CENTRES = 2
 #: Bytes of text hashed at once.
 BATCH_BYTES = 2 << 20
+#: Bytes of shingle sets up to which one side of the pairs is broadcast; beyond that both are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15)
@@ -245,7 +247,10 @@ def confirm(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
 
     size = sets.select("rid", "n")
     sized = pairs.join(size.toDF("a", "na"), "a").join(size.toDF("b", "nb"), "b").where(F.least("na", "nb") >= F.greatest("na", "nb") * (similar - 1e-9)).select("a", "b")
-    full = sized.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b").join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
+    sized = cut(sized)
+    own = sets.join(sized.select(F.col("a").alias("rid")).distinct(), "rid", "left_semi").select(F.col("rid").alias("a"), F.col("shingles").alias("sa"))
+    held = own.agg(F.sum(F.size("sa") * 8 + 16)).first()[0] or 0
+    full = sized.join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b").join(F.broadcast(own) if held <= BROADCAST_BYTES else own, "a")
     return cut(full.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"))
 
 

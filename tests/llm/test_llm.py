@@ -92,6 +92,29 @@ def test_html_extraction(spark):
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_html_repeats_are_found_across_arrays(spark):
+    """One result for any number of arrays and of marked pages on the host, as a plain search of all pages finds it."""
+    rng = random.Random(6)
+    menus = [" ".join(f"m{k}w{i}" for i in range(8)) for k in range(4)]
+    body = lambda i: " ".join(f"p{i}x{j}" for j in range(20))
+    rows = [(i, f"http://h.com/{i}", f"<div>{menus[rng.randrange(4)]}</div><div>{body(i)}</div>") for i in range(24)]
+    rows += [(100 + i, f"http://h.com/m{i}", f"<article>a{i}</article>") for i in range(40)]
+    want = {i: body(i) for i in range(24)} | {100 + i: f"a{i}" for i in range(40)}
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (2000, 24, 1):
+        assert {r["page_id"]: r["text"] for r in html_extract.extract(df, pages_per_array=size).collect()} == want
+
+
+def test_html_run_counts_against_brute_force():
+    rng = random.Random(4)
+    for _ in range(60):
+        pages = [[rng.choice("abc") for _ in range(rng.randrange(0, 30))] for _ in range(4)]
+        want = Counter(g for p in pages for g in {tuple(p[i : i + 4]) for i in range(len(p) - 3)})
+        hashed = {int(html_extract.run_hashes(html_extract._token_hashes([list(g)])[0], 4)[0]): n for g, n in want.items()}
+        runs, found = html_extract.run_counts(pages, 4)
+        assert len(hashed) == len(want) and dict(zip(runs.tolist(), found.tolist(), strict=True)) == hashed
+
+
 def test_fingerprints(spark, odd):
     texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     out = {r["doc_id"]: r for r in queries.op4_fingerprints(spark, SF).collect()}

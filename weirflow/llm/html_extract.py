@@ -5,7 +5,7 @@ references decoded and white space folded. Markup decides what it can. Blocks in
 navigation, headers, footers, asides, forms, scripts, styles and elements whose class or
 id names an advert, a menu, a notice or comments never are article text; blocks inside
 ``article`` or ``main`` always are. What lies outside both is undecided, and there the
-host's suffix array decides: token streams of the undecided blocks of a host's pages are
+host's suffix arrays decide: token streams of the undecided blocks of a host's pages are
 concatenated, and tokens that lie in a long substring found on another page as well are
 boilerplate. The unique runs that remain are kept. A page with an article needs none of
 the undecided blocks, since the article is marked.
@@ -14,9 +14,11 @@ Repetition alone would be a wrong test inside an article: passages that many art
 share belong to each of them. That is why the suffix array works only where markup is silent.
 
 Pages with an ``article`` or ``main`` tag are finished where they are read (if all such
-elements are empty, with their undecided blocks). Only the others are grouped, by host
-and a salt over page keys, so no group holds more than about ``PAGES_PER_ARRAY`` pages
-of a host of any size.
+elements are empty, with their undecided blocks). Only the others are counted and grouped,
+by host and a salt over page keys, so no group holds more than about ``PAGES_PER_ARRAY``
+pages of a host of any size. An array only counts the pages of its salt that hold each run of
+``REPEAT_TOKENS`` tokens; the counts are added up over the host by 64-bit hashes of the runs,
+and every salt reads the host's table, so the result does not depend on the salts.
 
 Defined cases: a null page is empty; a page without any text gives an empty text; pages
 cut off in the middle end their open elements; a host of one page keeps its undecided
@@ -26,6 +28,7 @@ their page ids differ; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterable, Iterator
@@ -185,28 +188,35 @@ def suffix_array(tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.array(common, np.int64)
 
 
+def _runs(streams: list[list[int]], least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The page of every place in the joined streams, suffixes in order, and where in it each run of suffixes with the same first ``least`` tokens starts."""
+    parts, owner = [], []
+    for p, s in enumerate(streams):  # a separator of its own ends each page
+        parts += [np.asarray(s, np.int64), np.array([-1 - p])]
+        owner.append(np.full(len(s) + 1, p))
+    order, common = suffix_array(np.concatenate(parts))
+    run = np.cumsum(common < least)
+    return np.concatenate(owner), order, np.flatnonzero(np.concatenate(([True], run[1:] != run[:-1])))
+
+
+def _covered(hit: np.ndarray, n: int, least: int) -> np.ndarray:
+    """Which of ``n`` places lie in a stretch of ``least`` tokens that starts at one of ``hit``."""
+    edge = np.zeros(n + 1, np.int64)
+    np.add.at(edge, hit, 1)
+    np.add.at(edge, np.minimum(hit + least, n), -1)
+    return np.cumsum(edge[:-1]) > 0
+
+
 def repeated_tokens(streams: list[list[int]], least: int = REPEAT_TOKENS) -> list[np.ndarray]:
     """For each page's token stream, which tokens lie in a substring of at least ``least`` tokens found on another page too."""
     sizes = [len(s) for s in streams]
     if not sum(sizes):
         return [np.zeros(n, bool) for n in sizes]
-    parts, owner = [], []
-    for p, s in enumerate(streams):  # a separator of its own ends each page
-        parts += [np.asarray(s, np.int64), np.array([-1 - p])]
-        owner.append(np.full(len(s) + 1, p))
-    tokens, page = np.concatenate(parts), np.concatenate(owner)
-    order, common = suffix_array(tokens)
+    page, order, starts = _runs(streams, least)
     # In a run of suffixes that share ``least`` tokens, two pages make all of them repeated.
-    run = np.cumsum(common < least)
-    first = np.concatenate(([True], run[1:] != run[:-1]))
-    starts = np.flatnonzero(first)
     of = page[order]
     many = np.minimum.reduceat(of, starts) != np.maximum.reduceat(of, starts)
-    hit = order[np.repeat(many, np.diff(np.append(starts, len(run))))]
-    edge = np.zeros(len(tokens) + 1, np.int64)
-    np.add.at(edge, hit, 1)
-    np.add.at(edge, np.minimum(hit + least, len(tokens)), -1)
-    covered = np.cumsum(edge[:-1]) > 0
+    covered = _covered(order[np.repeat(many, np.diff(np.append(starts, len(order))))], len(order), least)
     out, at = [], 0
     for n in sizes:
         out.append(covered[at : at + n])
@@ -214,14 +224,46 @@ def repeated_tokens(streams: list[list[int]], least: int = REPEAT_TOKENS) -> lis
     return out
 
 
-def keep_unique(pages: Iterable[list[str]], least: int = REPEAT_TOKENS) -> list[list[str]]:
-    """The undecided blocks of a host's pages without their boilerplate: the runs of tokens that no other page repeats."""
-    pages = list(pages)
+def _token_hashes(streams: list[list[str]]) -> list[np.ndarray]:
     known: dict[str, int] = {}
+    for t in {t for s in streams for t in s}:
+        known[t] = int.from_bytes(hashlib.blake2b(t.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return [np.array([known[t] for t in s], np.uint64) for s in streams]
+
+
+def run_hashes(tokens: np.ndarray, least: int = REPEAT_TOKENS) -> np.ndarray:
+    """A 64-bit hash of the ``least`` tokens from each place on, from the tokens' hashes."""
+    n = len(tokens) - least + 1
+    out = np.zeros(max(0, n), np.uint64)
+    for j in range(least if n > 0 else 0):
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + tokens[j : j + n]
+    return out.view(np.int64)
+
+
+def run_counts(streams: list[list[str]], least: int = REPEAT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``least`` tokens in some pages' streams, once each, and on how many of the pages each is found."""
+    if not any(len(s) >= least for s in streams):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    hashes = _token_hashes(streams)
+    known: dict[int, int] = {}
+    page, order, starts = _runs([[known.setdefault(t, len(known)) for t in h.tolist()] for h in hashes], least)
+    ends = np.cumsum([len(s) + 1 for s in streams]) - 1
+    whole = order + least <= ends[page[order]]  # not across the end of a page
+    run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))[whole]
+    pairs = np.unique(np.stack([run, page[order][whole]]), axis=1)
+    _, first, pages = np.unique(pairs[0], return_index=True, return_counts=True)
+    at = np.full(len(starts), -1)
+    at[run] = order[whole]
+    joined = run_hashes(np.concatenate([np.append(h, np.uint64(0)) for h in hashes]), least)
+    return joined[at[pairs[0][first]]], pages
+
+
+def keep_unique(pages: Iterable[list[str]], common: np.ndarray, least: int = REPEAT_TOKENS) -> list[list[str]]:
+    """The undecided blocks of pages without the tokens that lie in a run whose hash is in ``common``."""
     split = [[b.split(" ") for b in p] for p in pages]
-    streams = [[known.setdefault(t, len(known)) for b in p for t in b] for p in split]
     out = []
-    for p, covered in zip(split, repeated_tokens(streams, least), strict=True):
+    for p, tokens in zip(split, _token_hashes([[t for b in p for t in b] for p in split]), strict=True):
+        covered = _covered(np.flatnonzero(np.isin(run_hashes(tokens, least), common)), len(tokens), least)
         kept, at = [], 0
         for b in p:
             rest = [t for t, c in zip(b, covered[at : at + len(b)], strict=True) if not c]
@@ -249,16 +291,22 @@ def extract(pages: DataFrame, least: int = REPEAT_TOKENS, pages_per_array: int =
                     texts = pa.array([[b for _, b in f] for f in found], pa.list_(pa.string()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["page_id", "url", "text" if marked else "blocks"])
 
-    def settle(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("page_id")
-        kept = keep_unique([list(u) for u in group["blocks"]], least)
+    def count(group: pd.DataFrame) -> pd.DataFrame:
+        runs, found = run_counts([[t for b in bs for t in b.split(" ")] for bs in group["blocks"]], least)
+        return pd.DataFrame({"host": group["host"].iloc[0], "salt": group["salt"].iloc[0], "run": runs, "pages": found})
+
+    def settle(group: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+        kept = keep_unique([list(u) for u in group["blocks"]], common["run"].to_numpy(np.int64), least)
         return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": ["\n".join(b for b in bs if b) for bs in kept]})
 
     rows = pages.select("page_id", "url", "html")
     marked = F.coalesce(F.regexp_like("html", F.lit(r"(?i)<(?:article|main)[\s/>]")), F.lit(True))
     done = rows.where(marked).mapInArrow(lambda it: read(it, True), f"page_id {kind}, url string, text string")
-    host_sizes = cut(pages.groupBy(host_of(F.col("url")).alias("host")).agg(F.count(F.lit(1)).alias("n")))
-    open_ = rows.where(~marked).mapInArrow(lambda it: read(it, False), f"page_id {kind}, url string, blocks array<string>").withColumn("host", host_of(F.col("url")))
+    open_ = cut(rows.where(~marked).mapInArrow(lambda it: read(it, False), f"page_id {kind}, url string, blocks array<string>").withColumn("host", host_of(F.col("url"))))
+    host_sizes = cut(open_.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
     salted = open_.join(side(host_sizes, host_sizes.count()), "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / pages_per_array)))
-    settled = salted.select("host", "salt", "page_id", "url", "blocks").groupBy("host", "salt").applyInPandas(settle, f"page_id {kind}, url string, text string")
+    counts = cut(salted.groupBy("host", "salt").applyInPandas(count, "host string, salt long, run long, pages long"))
+    common = counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where("pages > 1")
+    held = counts.select("host", "salt", "run").join(common.select("host", "run"), ["host", "run"])
+    settled = salted.groupBy("host", "salt").cogroup(held.groupBy("host", "salt")).applyInPandas(settle, f"page_id {kind}, url string, text string")
     return done.unionByName(settled).withColumn("n_chars", F.length("text").cast("long"))

@@ -71,6 +71,14 @@ def test_html_blocks():
     assert html_extract.blocks("") == [] and html_extract.blocks("<p") == []
 
 
+def test_html_names_inside_an_article():
+    kept = '<header class="entry-header"><h1>a</h1></header><section id="related-work"><h2 id="search-engines">b</h2></section><div id="legal-basis">c</div><p class="notice">d</p><p class="ad-hoc">e</p>'
+    gone = '<div class="box Ad">x</div><div class="share">x</div><ul class="comments"><li>x</ul><div class="related-posts">x</div><div hidden>x</div><nav>x</nav>'
+    for tag in ("article", "main"):
+        found = html_extract.blocks(f'<p class="notice">x</p><{tag}>{kept}{gone}f</{tag}><p id="legal">x</p>')
+        assert found == [(html_extract.YES, c) for c in "abcdef"]
+
+
 def test_repeated_substrings_against_brute_force():
     rng = random.Random(3)
     for _ in range(60):

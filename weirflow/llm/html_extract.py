@@ -4,7 +4,8 @@ A page is read once into blocks: runs of text between block-level tags, with cha
 references decoded and white space folded. Markup decides what it can. Blocks inside
 navigation, headers, footers, asides, forms, scripts, styles and elements whose class or
 id names an advert, a menu, a notice or comments never are article text; blocks inside
-``article`` or ``main`` always are. What lies outside both is undecided, and there the
+``article`` or ``main`` are, headers too, unless they are one of the other tags, hidden, or
+have one of the few whole class names of ``_NAMED_INSIDE``. What lies outside both is undecided, and there the
 host's suffix arrays decide: token streams of the undecided blocks of a host's pages are
 concatenated, and tokens that lie in a long substring found on another page as well are
 boilerplate. The unique runs that remain are kept. A page with an article needs none of
@@ -61,6 +62,8 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|sidebar|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|share|social|related|recommend(?:ed|ations)?|comments?|replies|disqus|widget|pagination|pager|toolbar|copyright|legal|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Whole class names that mark a block inside ``article`` or ``main`` as no part of its text.
+_NAMED_INSIDE = frozenset("ad ads advert advertisement sponsored share sharing social-share comments comment-list related-posts".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
 _ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
@@ -69,7 +72,7 @@ _ROLES = frozenset("navigation banner contentinfo complementary search form dial
 NO, MAYBE, YES = 0, 1, 2
 
 
-def _is_boiler(attributes: str) -> bool:
+def _is_boiler(attributes: str, in_main: bool = False) -> bool:
     for name, value in _ATTR.findall(attributes):
         value = value.strip("\"'")
         name = name.lower()
@@ -77,7 +80,10 @@ def _is_boiler(attributes: str) -> bool:
             return True
         if name == "role" and value.lower() in _ROLES:
             return True
-        if name in ("class", "id") and _NAMED.search(value):
+        if in_main:
+            if name == "class" and not _NAMED_INSIDE.isdisjoint(value.lower().split()):
+                return True
+        elif name in ("class", "id") and _NAMED.search(value):
             return True
     return False
 
@@ -141,7 +147,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 inside = YES
             elif name in _BOILER and not (name == "header" and in_main):
                 inside = NO
-            if attributes and name not in ("html", "body", "article", "main") and _is_boiler(attributes):
+            if attributes and name not in ("html", "body", "article", "main") and _is_boiler(attributes, in_main):
                 inside = NO
         if inside != state:
             flush()

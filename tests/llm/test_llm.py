@@ -79,6 +79,17 @@ def test_html_names_inside_an_article():
         assert found == [(html_extract.YES, c) for c in "abcdef"]
 
 
+def test_html_skipped_elements_without_their_end_tags():
+    yes = lambda page: [b for v, b in html_extract.blocks(page) if v == html_extract.YES]
+    assert yes('<html><head><title>t</title><script>"<p>"</script><meta x><body><article>a</article>') == ["a"]
+    assert yes("<head><title>t</title><main><p>a</p></main>") == ["a"]
+    assert html_extract.blocks("<head><title>t</title>a<p>b") == [(html_extract.MAYBE, "a"), (html_extract.MAYBE, "b")]
+    for name in ("button", "select", "object", "svg", "canvas", "noscript", "template", "math", "iframe"):
+        assert yes(f"<article><p>a</p><div>b<{name}><i>x<p>x</div><p>c</p></article><{name}>x</{name}>") == ["a", "b", "c"]
+        assert yes(f"<article>a <{name}><i>x<div>x</div></{name}> b</article>") == ["a b"]
+    assert yes("<article>a<svg/>b<script>c</article>") == ["ab"]
+
+
 def test_repeated_substrings_against_brute_force():
     rng = random.Random(3)
     for _ in range(60):

@@ -22,7 +22,8 @@ pages of a host of any size. An array only counts the pages of its salt that hol
 and every salt reads the host's table, so the result does not depend on the salts.
 
 Defined cases: a null page is empty; a page without any text gives an empty text; pages
-cut off in the middle end their open elements; a host of one page keeps its undecided
+cut off in the middle end their open elements; a head without its end tag ends at the first
+text or tag that cannot be in it, another skipped element with the element around it; a host of one page keeps its undecided
 blocks; null urls share the empty host; repeated rows count as distinct pages only when
 their page ids differ; an empty table gives an empty result.
 """
@@ -50,6 +51,10 @@ REPEAT_TOKENS = 6
 PAGES_PER_ARRAY = 2000
 
 _SKIP = frozenset("script style noscript template svg math iframe object canvas select textarea title head button".split())
+#: Of these, elements whose content is not markup; they end at their own end tag only.
+_RAW = frozenset("script style textarea title".split())
+#: Any other tag, and text, ends a head whose end tag is left out.
+_IN_HEAD = frozenset("base basefont bgsound head html link meta noframes noscript script style template title".split())
 _BOILER = frozenset("nav header footer aside form menu dialog".split())
 _MAIN = frozenset(("article", "main"))
 _BLOCK = frozenset(
@@ -93,6 +98,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = []  # name, verdict inside, whether this element set it
     state, pieces, at, n = MAYBE, [], 0, len(page)
+    skipped = -1  # place of the outermost skipped element in the stack
 
     def flush() -> None:
         if pieces:
@@ -101,9 +107,17 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 out.append((state, text))
             pieces.clear()
 
+    def resume() -> None:
+        nonlocal state, skipped
+        state = stack[skipped][1]
+        del stack[skipped:]
+        skipped = -1
+
     match = _TAG.search
     while at < n:
         m = match(page, at)
+        if skipped >= 0 and stack[-1][0] == "head" and page[at : m.start() if m else n].strip():
+            resume()
         if m is None:
             if state != NO:
                 pieces.append(page[at:])
@@ -116,10 +130,15 @@ def blocks(page: str) -> list[tuple[int, str]]:
             continue
         name = name.lower()
         if m[1]:
-            if name in _BLOCK:
+            if name in _BLOCK and skipped < 0:
                 flush()
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
+                    if k <= skipped:  # its own end, or that of an element around it
+                        resume()
+                        if k == len(stack):
+                            break
+                        flush()
                     if any(s[1] != state for s in stack[k:]):
                         flush()
                     state = stack[k][1]
@@ -129,14 +148,21 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if name == "br":
             pieces.append(" ") if state != NO else None
             continue
-        if name in _BLOCK:
+        if skipped >= 0 and stack[-1][0] == "head" and name not in _IN_HEAD:
+            resume()
+        if name in _BLOCK and skipped < 0:
             flush()
         if name in _VOID:
             continue
-        if name in _SKIP:
+        if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else n
             continue
+        if name in _SKIP or skipped >= 0:  # without its end tag it ends with the element around it
+            if not m[3].endswith("/"):
+                stack.append((name, state, True))
+                skipped, state = len(stack) - 1 if skipped < 0 else skipped, NO
+            continue
         if name in _BLOCK and stack and stack[-1][0] in _CLOSED_BY_SELF and (stack[-1][0] == name or stack[-1][0] == "p"):
             state = stack.pop()[1]
         attributes = m[3]

@@ -124,6 +124,20 @@ def test_html_repeats_are_found_across_arrays(spark):
         assert {r["page_id"]: r["text"] for r in html_extract.extract(df, pages_per_array=size).collect()} == want
 
 
+def test_html_copies_and_shared_passages_stay(spark):
+    say = lambda name, n: " ".join(f"{name}{j}" for j in range(n))
+    menu, shared, body = say("menu", 8), say("both", 12), say("body", 60)
+    text = {i: say(f"own{i}x", 15) for i in range(6)}
+    text[0], text[1] = f"{text[0]} {shared} end", f"{shared} {text[1]}"  # a passage of two articles
+    text |= {10 + i: f"{body} date{i}" for i in range(10)}  # near copies
+    text |= {30 + i: "copied " + body[::-1] for i in range(10)}  # copies
+    df = spark.createDataFrame([(i, f"http://h.com/{i}", f"<div>{menu}</div><div>{t}</div>") for i, t in text.items()], "page_id long, url string, html string")
+    twins = spark.createDataFrame([(50 + i, "http://t.com/", f"<p>{body}</p>") for i in range(3)], df.schema)
+    for size in (2000, 2):
+        out = {r["page_id"]: r["text"] for r in html_extract.extract(df.unionByName(twins), pages_per_array=size).collect()}
+        assert out == text | dict.fromkeys((50, 51, 52), body)
+
+
 def test_html_run_counts_against_brute_force():
     rng = random.Random(4)
     for _ in range(60):

@@ -7,16 +7,18 @@ id names an advert, a menu, a notice or comments never are article text; blocks
 ``article`` or ``main`` are, headers too, unless they are one of the other tags, hidden, or
 have one of the few whole class names of ``_NAMED_INSIDE``. What lies outside both is undecided, and there the
 host's suffix arrays decide: token streams of the undecided blocks of a host's pages are
-concatenated, and tokens that lie in a long substring found on another page as well are
-boilerplate. The unique runs that remain are kept. A page with an article needs none of
-the undecided blocks, since the article is marked.
+concatenated, and tokens that lie in a long substring found on a share of the host's pages
+are boilerplate. The runs that remain are kept. Passages that few pages share are no
+boilerplate, and copies are one page: equal token streams, and those that such substrings
+cover almost wholly, which is found first, all together. A page with an article needs none
+of the undecided blocks, since the article is marked.
 
 Repetition alone would be a wrong test inside an article: passages that many articles
 share belong to each of them. That is why the suffix array works only where markup is silent.
 
 Pages with an ``article`` or ``main`` tag are finished where they are read (if all such
 elements are empty, with their undecided blocks). Only the others are counted and grouped,
-by host and a salt over page keys, so no group holds more than about ``PAGES_PER_ARRAY``
+by host and a salt over token streams, so no group holds more than about ``PAGES_PER_ARRAY``
 pages of a host of any size. An array only counts the pages of its salt that hold each run of
 ``REPEAT_TOKENS`` tokens; the counts are added up over the host by 64-bit hashes of the runs,
 and every salt reads the host's table, so the result does not depend on the salts.
@@ -24,8 +26,8 @@ and every salt reads the host's table, so the result does not depend on the salt
 Defined cases: a null page is empty; a page without any text gives an empty text; pages
 cut off in the middle end their open elements; a head without its end tag ends at the first
 text or tag that cannot be in it, another skipped element with the element around it; a host of one page keeps its undecided
-blocks; null urls share the empty host; repeated rows count as distinct pages only when
-their page ids differ; an empty table gives an empty result.
+blocks; null urls share the empty host; rows with equal token streams are one page,
+whatever their page ids; on a host where all pages are copies nothing is boilerplate; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,13 +35,14 @@ from __future__ import annotations
 import hashlib
 import html as entities
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from weirflow.llm.common import side
 from weirflow.llm.url_filter import host_of
@@ -47,6 +50,10 @@ from weirflow.plans.runtime import cut, ship
 
 #: Tokens that a substring must have to count as boilerplate.
 REPEAT_TOKENS = 6
+#: It must be on this share of the host's distinct pages, and on so many or more than half of them.
+SHARE, LEAST_PAGES = 0.1, 3
+#: Distinct pages covered to this share by such substrings are copies of each other and count as one page.
+COPY_SHARE = 0.95
 #: Pages of a host in one suffix array, on average at most.
 PAGES_PER_ARRAY = 2000
 
@@ -290,12 +297,17 @@ def run_counts(streams: list[list[str]], least: int = REPEAT_TOKENS) -> tuple[np
     return joined[at[pairs[0][first]]], pages
 
 
+def common_tokens(blocks: Iterable[list[str]], common: np.ndarray, least: int = REPEAT_TOKENS) -> Iterator[tuple[list[list[str]], np.ndarray]]:
+    """Each page's blocks as tokens, and which of all of them lie in a run whose hash is in ``common``."""
+    split = [[b.split(" ") for b in p] for p in blocks]
+    for p, tokens in zip(split, _token_hashes([[t for b in p for t in b] for p in split]), strict=True):
+        yield p, _covered(np.flatnonzero(np.isin(run_hashes(tokens, least), common)), len(tokens), least)
+
+
 def keep_unique(pages: Iterable[list[str]], common: np.ndarray, least: int = REPEAT_TOKENS) -> list[list[str]]:
     """The undecided blocks of pages without the tokens that lie in a run whose hash is in ``common``."""
-    split = [[b.split(" ") for b in p] for p in pages]
     out = []
-    for p, tokens in zip(split, _token_hashes([[t for b in p for t in b] for p in split]), strict=True):
-        covered = _covered(np.flatnonzero(np.isin(run_hashes(tokens, least), common)), len(tokens), least)
+    for p, covered in common_tokens(pages, common, least):
         kept, at = [], 0
         for b in p:
             rest = [t for t, c in zip(b, covered[at : at + len(b)], strict=True) if not c]
@@ -324,21 +336,42 @@ def extract(pages: DataFrame, least: int = REPEAT_TOKENS, pages_per_array: int =
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["page_id", "url", "text" if marked else "blocks"])
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        runs, found = run_counts([[t for b in bs for t in b.split(" ")] for bs in group["blocks"]], least)
-        return pd.DataFrame({"host": group["host"].iloc[0], "salt": group["salt"].iloc[0], "run": runs, "pages": found})
+        once = group.drop_duplicates("stream")
+        streams = lambda of: [[t for b in bs for t in b.split(" ")] for bs in once["blocks"][of]]
+        runs, found = run_counts(streams(~once["copied"]), least)
+        copies, _ = run_counts(streams(once["copied"]), least)
+        rows = {"run": np.append(runs, copies), "pages": np.append(found, 0 * copies), "copied": np.repeat([False, True], [len(runs), len(copies)])}
+        return pd.DataFrame({"host": group["host"].iloc[0], "salt": group["salt"].iloc[0], **rows})
+
+    def find_copies(group: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+        found = [c.mean() >= COPY_SHARE for _, c in common_tokens(group["blocks"], common["run"].to_numpy(np.int64), least)]
+        return group.assign(copied=found)
 
     def settle(group: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
-        kept = keep_unique([list(u) for u in group["blocks"]], common["run"].to_numpy(np.int64), least)
-        return pd.DataFrame({"page_id": group["page_id"], "url": group["url"], "text": ["\n".join(b for b in bs if b) for bs in kept]})
+        kept = keep_unique(group["blocks"], common["run"].to_numpy(np.int64), least)
+        return pd.DataFrame({"host": group["host"], "layout": group["layout"], "text": ["\n".join(b for b in bs if b) for bs in kept]})
+
+    def with_common(distinct: DataFrame, then: Callable, schema: StructType | str) -> DataFrame:
+        """``then`` on each salt's pages and those of its runs that are boilerplate on the host."""
+        counts = cut(distinct.groupBy("host", "salt").applyInPandas(count, "host string, salt long, run long, pages long, copied boolean"))
+        sizes = cut(distinct.groupBy("host").agg((F.count_distinct(F.when(~F.col("copied"), F.col("stream"))) + F.max(F.col("copied").cast("int"))).alias("n")))
+        found = counts.groupBy("host", "run").agg((F.sum("pages") + F.max(F.col("copied").cast("int"))).alias("pages"))
+        need = F.greatest(F.lit(2), F.ceil(F.col("n") * SHARE), F.least(F.floor(F.col("n") / 2) + 1, F.lit(LEAST_PAGES)))
+        common = found.join(side(sizes, sizes.count()), "host").where(F.col("pages") >= need).select("host", "run")
+        held = counts.select("host", "salt", "run").join(common, ["host", "run"])
+        return distinct.groupBy("host", "salt").cogroup(held.groupBy("host", "salt")).applyInPandas(then, schema)
 
     rows = pages.select("page_id", "url", "html")
     marked = F.coalesce(F.regexp_like("html", F.lit(r"(?i)<(?:article|main)[\s/>]")), F.lit(True))
     done = rows.where(marked).mapInArrow(lambda it: read(it, True), f"page_id {kind}, url string, text string")
-    open_ = cut(rows.where(~marked).mapInArrow(lambda it: read(it, False), f"page_id {kind}, url string, blocks array<string>").withColumn("host", host_of(F.col("url"))))
-    host_sizes = cut(open_.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
-    salted = open_.join(side(host_sizes, host_sizes.count()), "host").withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.ceil(F.col("n") / pages_per_array)))
-    counts = cut(salted.groupBy("host", "salt").applyInPandas(count, "host string, salt long, run long, pages long"))
-    common = counts.groupBy("host", "run").agg(F.sum("pages").alias("pages")).where("pages > 1")
-    held = counts.select("host", "salt", "run").join(common.select("host", "run"), ["host", "run"])
-    settled = salted.groupBy("host", "salt").cogroup(held.groupBy("host", "salt")).applyInPandas(settle, f"page_id {kind}, url string, text string")
+    open_ = rows.where(~marked).mapInArrow(lambda it: read(it, False), f"page_id {kind}, url string, blocks array<string>")
+    open_ = cut(open_.withColumn("host", host_of(F.col("url"))).withColumn("layout", F.sha2(F.array_join("blocks", "\n"), 256)))
+    # Copies of a page are one page here, and get its text at the end.
+    distinct = open_.where(F.size("blocks") > 0).groupBy("host", "layout").agg(F.first("blocks").alias("blocks"))
+    distinct = cut(distinct.withColumn("stream", F.sha2(F.array_join("blocks", " "), 256)).withColumn("copied", F.lit(False)))
+    host_sizes = cut(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+    salted = distinct.join(side(host_sizes, host_sizes.count()), "host").withColumn("salt", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / pages_per_array))).drop("n")
+    salted = cut(with_common(salted, find_copies, salted.schema))
+    texts = with_common(salted, settle, "host string, layout string, text string")
+    settled = open_.join(texts, ["host", "layout"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
     return done.unionByName(settled).withColumn("n_chars", F.length("text").cast("long"))

@@ -165,6 +165,21 @@ def test_fingerprints(spark, odd):
     assert fingerprint.fingerprint_edits(odd.limit(0)).count() == 0
 
 
+def test_fingerprint_likeness_is_the_jaccard_of_shingles(spark):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 14))) for _ in range(200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {r["doc_id"]: r for r in fingerprint.fingerprint_edits(docs).collect()}
+    for i, t in enumerate(texts):
+        nxt, k = texts[i - 1], len(t) // 3
+        for name, other in (("near_edited", t[: len(t) - k] + nxt[:k]), ("near_next", nxt)):
+            a, b = _shingles(t), _shingles(other)
+            assert out[i][name] == (len(a & b) / len(a | b) if a | b else 1.0)
+        assert (out[i]["fingerprint"] == "") == (not t.split())
+    few = fingerprint.fingerprint_edits(docs, 2**20).where("near_next = 1.0").collect()
+    assert all(not texts[r["doc_id"]] and not texts[r["doc_id"] - 1] for r in few)
+
+
 def test_toxicity(spark, odd):
     out = queries.op5_toxicity(spark, SF).toPandas()
     assert (out.held_out == [zlib.crc32(str(i).encode()) % 5 == 0 for i in out.doc_id]).all()

@@ -1,13 +1,14 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every hash of a five-word shingle that falls below a fixed fraction of
-the hash range, in order and once each. Since the threshold is the same for all texts,
+A sketch keeps every hash of a five-word shingle up to a fixed fraction of the hash
+range, by default the whole range, in order and once each. Since the threshold is the same for all texts,
 sketches of parts merge into the sketch of the whole by set union, and similarity and
 containment are read off two sketches even when one text is far longer.
 
 Defined cases: null and empty texts have an empty sketch; a text of one to four words
-has one shingle, all of its words; two empty sketches are alike (1.0) only if both texts
-kept nothing, one empty sketch against another is 0.0; equal texts have equal sketches.
+has one shingle, all of its words; two empty sketches are alike (1.0) only if neither text
+has words, and of unknown likeness (null) if a smaller fraction kept nothing of them; an
+empty sketch against another is 0.0; equal texts have equal sketches.
 """
 
 from __future__ import annotations
@@ -19,8 +20,8 @@ from pyspark.sql import functions as F
 
 from weirflow.llm.common import WS, whole
 
-#: One of so many hashes is kept.
-SCALE = 8
+#: One of so many hashes is kept: all of them, so that texts of few shingles have a sketch and likenesses are exact.
+SCALE = 1
 #: Words in a shingle.
 SHINGLE = 5
 
@@ -28,8 +29,8 @@ _LOW = -(2**63)
 
 
 def threshold(scale: int = SCALE) -> int:
-    """Hashes below this signed 64-bit value are kept."""
-    return _LOW + 2**64 // scale
+    """Hashes up to this signed 64-bit value are kept."""
+    return _LOW + 2**64 // scale - 1
 
 
 def with_sketch(df: DataFrame, text: str, to: str, scale: int = SCALE, n: int = SHINGLE) -> DataFrame:
@@ -39,20 +40,25 @@ def with_sketch(df: DataFrame, text: str, to: str, scale: int = SCALE, n: int =
     one = F.when(w[0] == "", F.array().cast("array<bigint>")).otherwise(F.array(F.xxhash64(w)))
     many = F.transform(F.sequence(F.lit(1), F.size(w) - (n - 1)), lambda i: F.xxhash64(F.slice(w, i, n)))
     hashes = F.when(F.size(w) < n, one).otherwise(many)
-    kept = F.filter(hashes, lambda h: h < F.lit(threshold(scale)))
-    return df.withColumn(to, F.array_sort(F.array_distinct(kept))).drop("__words")
+    kept = F.filter(hashes, lambda h: h <= F.lit(threshold(scale))) if scale > 1 else hashes
+    return df.withColumn(to, F.sort_array(F.array_distinct(kept))).drop("__words")
 
 
 def merge(a: Column, b: Column) -> Column:
     """The sketch of two texts' shingles together."""
-    return F.array_sort(F.array_union(a, b))
+    return F.sort_array(F.array_union(a, b))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Estimated Jaccard similarity of two sketches."""
+def wordless(text: Column) -> Column:
+    """Whether a text has no words, so that its sketch is empty at any scale."""
+    return F.trim(F.regexp_replace(whole(text), f"[{WS}]+", " ")) == ""
+
+
+def likeness(a: Column, b: Column, both_wordless: Column) -> Column:
+    """Estimated Jaccard similarity of two sketches; two empty ones are alike only if neither text has words, else nothing is known."""
     both = F.size(F.array_intersect(a, b)).cast("double")
     every = F.size(a) + F.size(b) - both
-    return F.when(every == 0, F.lit(1.0)).otherwise(both / every)
+    return F.when(every == 0, F.when(both_wordless, F.lit(1.0))).otherwise(both / every)
 
 
 def containment(a: Column, b: Column) -> Column:
@@ -126,16 +132,19 @@ def fingerprint_edits(docs: DataFrame, scale: int = SCALE) -> DataFrame:
     The edited text has its last third replaced by as much of the next document's start.
     """
     base = docs.select("doc_id", whole(F.col("text")).alias("text"))
-    out = with_next(base, "doc_id", "text", ["text", "sketch"], lambda d: with_sketch(d, "text", "sketch", scale))
+    out = with_next(base, "doc_id", "text", ["text"])
     n, k = F.length("text"), F.floor(F.length("text") / 3).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - k), F.substring(F.col("next_text"), F.lit(1), k))
-    out = with_sketch(out.withColumn("edited", edited).drop("next_text"), "edited", "edited_sketch", scale)
+    out = out.withColumn("edited", edited)
+    for c in ("text", "edited", "next_text"):  # sketches are larger than texts, so the next row's is made again and not carried
+        out = with_sketch(out, c, f"{c}_sketch", scale)
+    near = lambda c: likeness(F.col("text_sketch"), F.col(f"{c}_sketch"), wordless(F.col("text")) & wordless(F.col(c)))
     return out.select(
         "doc_id",
         n.cast("long").alias("n_chars"),
         F.sha2("edited", 256).alias("edited_sha256"),
-        as_text(F.col("sketch")).alias("fingerprint"),
+        as_text(F.col("text_sketch")).alias("fingerprint"),
         as_text(F.col("edited_sketch")).alias("edited_fingerprint"),
-        likeness(F.col("sketch"), F.col("edited_sketch")).alias("near_edited"),
-        likeness(F.col("sketch"), F.col("next_sketch")).alias("near_next"),
+        near("edited").alias("near_edited"),
+        near("next_text").alias("near_next"),
     )

@@ -4,7 +4,8 @@ is encoded and decoded by byte-level BPE.
 
 Each stage is written to Parquet and read back as the next one's input. Rejection by
 toxicity takes a score of at least 0.5. SQL cannot express the stages, so there is no
-``ORACLE_SQL``; the tests hold ``run`` against plain Python versions of the stages.
+``ORACLE_SQL``; the tests hold ``run`` against its own stage functions one by one, and only
+the near duplicates against a plain Python version.
 """
 
 from __future__ import annotations

@@ -212,8 +212,14 @@ def _shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def _bag(text):
+    w = (text or "").lower().split()
+    found = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else Counter([tuple(w)] if w else [])
+    return {(g, k) for g, n in found.items() for k in range(n)}
+
+
 def _classes(rows):
-    sets, parent = [_shingles(t) for _, t in rows], list(range(len(rows)))
+    sets, parent = [_bag(t) for _, t in rows], list(range(len(rows)))
 
     def find(x):
         while parent[x] != x:
@@ -239,8 +245,44 @@ def test_near_duplicates_against_brute_force(spark, odd):
     assert len(out) == len(ODD)
     by_id = {r["doc_id"]: r["class_id"] for r in out if r["doc_id"] is not None}
     assert by_id[1] == by_id[2] == by_id[3] and by_id[4] == by_id[5] and by_id[6] == 6
-    assert near_dedup.deduplicated(odd).columns == odd.columns
-    assert near_dedup.near_duplicates(odd.limit(0)).count() == 0
+    kept = near_dedup.deduplicated(odd)
+    assert kept.columns == odd.columns and {r["__key"] for r in kept.collect()} <= {"x", None} and kept.count() == len({(r["class_id"]) for r in out})
+    assert near_dedup.near_duplicates(odd.limit(0)).count() == 0 == near_dedup.deduplicated(odd.limit(0)).count()
+
+
+def test_one_id_on_different_texts(spark):
+    """Two texts under one id are two nodes, and each finds its own near copies."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (1, a)]
+    out = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 5 and len({r["class_id"] for r in out}) == 2
+    by = {i: {r["class_id"] for r in out if r["doc_id"] == i} for i in (1, 2, 3)}
+    assert len(by[1]) == 2 and by[2] | by[3] == by[1] and by[2] != by[3]
+    assert near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).count() == 2
+
+
+def test_long_texts_are_read_in_parts():
+    rng = random.Random(6)
+    texts = [" ".join("w" * rng.randrange(1, 40) for _ in range(rng.randrange(0, 300))) + " " * rng.randrange(3) for _ in range(40)] + ["x" * 500, "a b " + "y" * 300 + " c d e f"]
+    for t in texts:
+        whole, parts = (near_dedup.bags(pa.array([t]), most=m) for m in (1 << 20, 64))
+        assert all((x == y).all() for x, y in zip(whole, parts, strict=True))
+
+
+def test_near_duplicates_over_many_blocks(spark, monkeypatch):
+    """Buckets cut into blocks give the classes of brute force, whichever way their pairs meet."""
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 7)
+    monkeypatch.setattr(near_dedup, "CENTRES", 2)
+    rng = random.Random(2)
+    base = [f"t{i}" for i in range(100)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(rng.randrange(0, 7)):
+            words[rng.randrange(100)] = f"n{rng.randrange(10**6)}"
+        rows.append((i, " ".join(words)))
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(_classes(rows)))
 
 
 def test_near_duplicates_that_miss_their_buckets_centres(spark):

@@ -66,7 +66,8 @@ class PieceLengths:
             if (n := self.old.get(p)) is not None:
                 self.new[p] = n
                 continue
-            parts[p] = at = (p[:-1], p[-1]) if p[-1:] in _STOPS and p[:-1].isalpha() else (p,)
+            # Only after ASCII letters is a stop sure to stand alone: others may turn into a letter and a mark, which joins it.
+            parts[p] = at = (p[:-1], p[-1]) if p[-1:] in _STOPS and p[:-1].isascii() and p[:-1].isalpha() else (p,)
             missing.update(x for x in at if x not in self.new)
         found = self._learn(list(missing))
         self.new.update(found)

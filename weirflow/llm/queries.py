@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weirflow.llm import ann, byte_bpe, fingerprint, html_extract, mixing, near_dedup, sharding, token_counts, toxicity
 from weirflow.llm.url_filter import UrlRule, judge_urls
-from weirflow.plans.runtime import table
+from weirflow.plans.runtime import checkpoint_dir, table
 
 URL_RULES = (
     UrlRule("allow", "com"),
@@ -57,7 +59,8 @@ def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24)
+    store = f"{checkpoint_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    placed = sharding.shard(table(spark, sf_dir, "documents").select("doc_id", "text"), 24, store)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "map_version")
 
 
@@ -97,7 +100,7 @@ WITH d AS (
   SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
          (('0x' || substr(md5(coalesce(doc_id::VARCHAR, 'null ' || md5(coalesce(text, ''))) || ':mix'), 1, 13))::BIGINT::DOUBLE + 0.5) / 4503599627370496.0 AS u
   FROM documents),
-s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, count(*) AS n, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source),
 w AS (SELECT *, [3.0, 1.0, 2.0][(k - 1) % 3 + 1]::DOUBLE AS w, 2.0::DOUBLE * source_size AS most FROM s),
 l AS (
   SELECT *, most / w AS lim,
@@ -105,12 +108,13 @@ l AS (
          / sum(w) OVER (ORDER BY most / w, k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
   FROM w),
 t AS (SELECT *, max(CASE WHEN level <= lim THEN level END) OVER () AS final_level FROM l),
-g AS (SELECT source, source_size, CASE WHEN coalesce(lim <= final_level, true) THEN most ELSE final_level * w END AS target FROM t),
+g AS (SELECT source, source_size, n, CASE WHEN coalesce(lim <= final_level, true) THEN most ELSE final_level * w END AS target FROM t),
 h AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(target / source_size)::BIGINT END AS base FROM g),
 b AS (SELECT *, target - base * source_size AS rest FROM h),
 p AS (
   SELECT d.doc_id, d.size, d.source, b.source_size, b.target, b.base, b.rest,
-         (u / (1 - u)) / (least(1 - 1e-12, greatest(1e-12, rest / b.source_size)) / (1 - least(1 - 1e-12, greatest(1e-12, rest / b.source_size)))) AS q
+         (u / (1 - u)) / (least(1 - 1e-12, greatest(1e-12, rest / b.source_size)) / (1 - least(1 - 1e-12, greatest(1e-12, rest / b.source_size)))
+                          * sqrt(greatest(d.size, 1)::DOUBLE / (b.source_size::DOUBLE / b.n))) AS q
   FROM d JOIN b ON d.source IS NOT DISTINCT FROM b.source),
 o AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY q / (1 + q), doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) + size / 2.0 AS middle FROM p)
 SELECT doc_id, size, source_size, target, ((base + CASE WHEN rest > 0 AND middle <= rest THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM o

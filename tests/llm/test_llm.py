@@ -61,8 +61,30 @@ def test_mixing_meets_its_targets(spark, odd):
     assert abs(total - 1.5 * out["size"].sum()) < 1e-3
     assert mixing.mixed_rows(docs).count() == out.copies.sum()
     assert mixing.mix(odd).count() == len(ODD)
-    assert mixing.mixed_rows(odd).columns == odd.columns
-    assert mixing.mix(odd.limit(0)).count() == 0
+    rows = mixing.mixed_rows(odd)
+    assert rows.columns == odd.columns and Counter(map(tuple, rows.collect())).keys() <= Counter(ODD).keys()
+    assert mixing.mix(odd.limit(0)).count() == 0 == mixing.mixed_rows(odd.limit(0)).count()
+
+
+def test_mixing_cuts_among_repeated_rows(spark):
+    rows = [(1, "w " * 50, "a")] * 3000 + [(i, "w " * 10, "a") for i in range(2, 1002)] + [(i, "w " * 40, "b") for i in range(2000, 4000)] + [(9, "x " * 25, "c")] * 400
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    assert len(out) == len(rows)
+    for _, part in out.groupby("source"):
+        assert abs(part.taken.sum() - part.target.iloc[0]) <= 25
+
+
+def test_mixing_prefers_by_size_and_by_column(spark):
+    """Inclusion is unequal: with the same rest, longer documents, or those of a greater column, are taken more often."""
+    docs = spark.createDataFrame([(i, "w " * (5 if i % 2 else 80), "a", 1.0 + 8 * (i % 3 == 0)) for i in range(8000)], "doc_id long, text string, source string, good double")
+    out = mixing.mix(docs, share=0.4).toPandas()
+    taken = out.groupby("size").copies.mean()
+    odds = taken / (1 - taken)
+    assert 3 < odds[80] / odds[5] < 5.2  # the square root of 16
+    out = mixing.mix(docs, share=0.4, prefer="good").toPandas()
+    taken = out.groupby("good").copies.mean()
+    odds = taken / (1 - taken)
+    assert 7 < odds[9.0] / odds[1.0] < 11.5
 
 
 def test_html_blocks():
@@ -311,6 +333,8 @@ def test_dart_signatures_estimate_weighted_similarity():
 
 def test_sharding(spark, odd):
     out = queries.op7_sharding(spark, SF).toPandas()
+    texts = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    assert all(zlib.crc32(texts[i].encode()) == c and len(texts[i].encode()) + 8 == n for i, c, n in zip(out.doc_id, out.text_crc32, out["size"], strict=True))
     load = out.groupby("shard")["size"].sum()
     assert load.max() - load.min() <= out["size"].max()
     for _, part in out.groupby("shard"):
@@ -324,6 +348,35 @@ def test_sharding(spark, odd):
     assert sharding.shard(odd.limit(0), 3).count() == 0
 
 
+def test_sharding_of_copies(spark):
+    """Copies share a shard, but for a group too heavy for one; repeated rows do not unbalance shards."""
+    rows = [(7, "same row " * 8)] * 3000 + [(i, f"text {i} " * 9) for i in range(100, 3100)] + [(i, f"copies {i % 40}" * 12) for i in range(4000, 4160)]
+    out = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string"), 6).toPandas()
+    load = out.groupby("shard")["size"].sum()
+    assert load.max() - load.min() <= 0.02 * load.mean()
+    copies = out[out.doc_id >= 4000]
+    assert copies.groupby("text_crc32")["shard"].nunique().max() == 1
+    for _, part in out.groupby("shard"):
+        assert sorted(part.slot) == list(range(len(part)))
+
+
+def test_slot_map_is_stored_and_edited(spark, tmp_path):
+    store = str(tmp_path / "map")
+    docs = spark.createDataFrame([(i, f"text {i} " * (1 + i % 7)) for i in range(4000)], "doc_id long, text string")
+    one = sharding.shard(docs, 4, store).toPandas()
+    two = sharding.shard(docs, 5, store).toPandas()
+    assert set(one.map_version) == {1} and set(two.map_version) == {2}
+    first, last = sharding.SlotMap.load(spark, store, 1), sharding.SlotMap.load(spark, store)
+    assert (first.version, first.shards, last.version, last.shards) == (1, 4, 2, 5)
+    assert dict(zip(two.virtual_slot, two["shard"], strict=True)).items() <= dict(last.shard_of).items()
+    moved = one.merge(two, on="doc_id").query("shard_x != shard_y")
+    assert 0 < len(moved) <= 0.3 * len(one)
+    load = two.groupby("shard")["size"].sum()
+    assert load.max() - load.min() <= 0.03 * load.mean()
+    with pytest.raises(Exception, match="exist"):
+        last.save(spark, store)
+
+
 def test_token_counts(spark, odd):
     from tokenizers import Tokenizer
 
@@ -333,8 +386,23 @@ def test_token_counts(spark, odd):
     for r in token_counts.count_tokens(docs, path).join(docs.distinct(), "doc_id").collect():
         assert r["n_tokens"] == len(tok.encode(r["text"] or "", add_special_tokens=False).ids)
     assert token_counts.count_tokens(docs, path).count() == len(ODD) + 1
-    whole = token_counts.lengths_for(queries.tokenizer_file("byte_bpe_50k.json"))
-    assert isinstance(whole, token_counts.WholeLengths)
+
+
+def test_token_counts_of_random_texts_equal_the_libraries():
+    import sentencepiece
+    from tokenizers import Tokenizer
+
+    alphabet = ["\u0130", "\u0131", "e\u0301", "\u0301", "\u0307", "\u0958", "\u095c", "\ufb01", "\u03a3", "\u03c2", "\u1e9e", "日本", "\u0e01\u0e47", "\u1100\u1161", "😀", "'s", "'T", "<|endoftext|>", " ", "\n", "\t", "\r"]
+    alphabet += ["\x0b", "\xa0", "\u2009", "\u200b", "\x1c", "\x85", ".", ",", "!", ";", ":", "?", "...", "the", "Don", "CAM", "9", "12", "_", "\u212b", "\U00010400", "\u01c5", "\u2167"]
+    rng = random.Random(3)
+    texts = ["theİ?", "İ.", "CAMİ, ev", *("".join(rng.choice(alphabet) for _ in range(rng.randrange(14))) for _ in range(8000))]
+    for name, kind in (("word_bpe_49k.json", token_counts.PieceLengths), ("byte_bpe_50k.json", token_counts.WholeLengths)):
+        tok, counted = Tokenizer.from_file(queries.tokenizer_file(name)), token_counts.lengths_for(queries.tokenizer_file(name))
+        assert isinstance(counted, kind)
+        assert counted.count(texts) == [len(tok.encode(t, add_special_tokens=False).ids) for t in texts]
+    path = queries.tokenizer_file("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    assert token_counts.lengths_for(path).count(texts[:2000]) == [len(model.encode(t)) for t in texts[:2000]]
 
 
 def test_nearest_neighbours(spark):

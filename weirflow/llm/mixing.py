@@ -1,22 +1,26 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source's target comes from a share of all sizes split by weight; a source stops
-at ``cap`` times its own size and the excess goes to the others by weight (solved in
-one pass over the sorted caps). What a target holds of whole copies of its source is
-certain. The rest is a fixed-size Pareto order sample: every document gets a uniform
-number from its id, its odds are divided by the odds of inclusion, and documents are
-taken in that order until half of the next one would pass the remaining words.
+at ``cap`` times its own size and the excess goes to the others by weight. The level that
+the others reach is found by raising it over sums of all sources, so sources may be many.
+What a target holds of whole copies of its source is certain. The rest is a Pareto order
+sample of unequal probabilities: a document's odds of inclusion are those of its source's rest
+times the square root of its size over the source's mean (or a column that the caller
+prefers); every document gets a uniform number from its id, whose odds are divided by the odds of
+inclusion, and documents are taken in that order until half of the next one would pass
+the remaining words.
 
 The order is never sorted whole. Sizes are summed per source and slice of the rank
 axis (a fixed number of slices), the slice that holds the cut is found by a running
-sum, and only its rows are ordered, which gives one cut per source. Taking documents
+sum, and only its places are ordered, which gives one cut per source. Taking documents
 is then a comparison with that cut, so texts are never shuffled and a source with any
-share of all rows is read where it lies.
+share of all rows is read where it lies. Repeated rows share a place; where the cut falls
+among them, as many are taken as fit, counted over parts of them.
 
 Defined cases: a null text has size 0; a null source is a source of its own, last in
 order; null ids draw their number from the text; a source of size 0 has target 0 and
-gives nothing; rows that agree in id, size and text fall on the same side of a cut; an
-empty table gives an empty result; added columns replace clashing ones.
+gives nothing; an empty table gives an empty result; the columns that ``mix`` adds replace
+clashing ones, and ``mixed_rows`` returns the columns of ``docs`` as they are.
 """
 
 from __future__ import annotations
@@ -27,10 +31,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import WS, side
-from weirflow.plans.runtime import cut
+from weirflow.plans.runtime import Scratch
 
 #: Slices of the rank axis.
 SLICES = 4096
+#: Parts in which repeated rows at a cut are counted.
+TIE_PARTS = 64
 
 
 def n_words(text: Column) -> Column:
@@ -44,38 +50,54 @@ def uniform(doc_id: Column, text: Column, seed: str) -> Column:
     return (bits.cast("double") + 0.5) / F.lit(float(2**52))
 
 
-def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float) -> DataFrame:
-    """From (source, source_size), a row each, to (source, source_size, target, base, rest).
+def numbered(sizes: DataFrame, scratch: Scratch) -> DataFrame:
+    """Adds ``k``, the place of each source by code point, null last, from ranges that are numbered by themselves."""
+    ranged = scratch.keep(sizes.repartitionByRange(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
+    parts = ranged.groupBy("part").agg(F.count(F.lit(1)).alias("held"))  # a row for each range
+    ahead = parts.select("part", F.coalesce(F.sum("held").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"))
+    own = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last()))
+    return ranged.withColumn("own", own).join(F.broadcast(ahead), "part").withColumn("k", F.col("ahead") + F.col("own")).drop("part", "own", "ahead")
 
-    With sources sorted by cap over weight, those that stop at their cap are a prefix,
-    and the level of the others follows from running sums. ``base`` is the number of
+
+def targets(sizes: DataFrame, weights: Sequence[float], share: float, cap: float, scratch: Scratch) -> DataFrame:
+    """From (source, source_size, n), a row each, to (source, k, source_size, n, target, base, rest).
+
+    A source stops at its cap if the level reaches cap over weight. Leaving out those that stop
+    raises the level for the others, until none is left to stop. ``base`` is the number of
     certain copies and ``rest`` the words that the sample has to add.
     """
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), ((F.col("k") - 1) % len(weights) + 1).cast("int"))
-    ranked = sizes.withColumn("k", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))).withColumn("w", w)
-    all_rows = Window.orderBy(F.col("limit_ratio"), F.col("k"))
-    before = all_rows.rowsBetween(Window.unboundedPreceding, -1)
-    after = all_rows.rowsBetween(0, Window.unboundedFollowing)
-    every = all_rows.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    level = (F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after)
-    solved = (
-        ranked.withColumn("most", F.lit(cap) * F.col("source_size"))
-        .withColumn("limit_ratio", F.col("most") / F.col("w"))
-        .withColumn("level", level)
-        .withColumn("final_level", F.max(F.when(F.col("level") <= F.col("limit_ratio"), F.col("level"))).over(every))
-    )
-    target = F.when(F.coalesce(F.col("limit_ratio") <= F.col("final_level"), F.lit(True)), F.col("most")).otherwise(F.col("final_level") * F.col("w"))
+    capped = numbered(sizes, scratch).withColumn("w", w).withColumn("most", F.lit(cap) * F.col("source_size")).withColumn("limit_ratio", F.col("most") / F.col("w"))
+    capped = scratch.keep(capped)
+    wanted = share * (capped.agg(F.sum("source_size").alias("all")).first()["all"] or 0)
+    level, stopped = float("-inf"), -1
+    while level is not None:
+        stops = F.col("limit_ratio") <= F.lit(level)
+        at = capped.agg(F.count_if(stops).alias("n"), F.sum(F.when(stops, F.col("most"))).alias("most"), F.sum(F.when(~stops, F.col("w"))).alias("w")).first()
+        if at["n"] == stopped:
+            break
+        stopped = at["n"]
+        level = (wanted - (at["most"] or 0.0)) / at["w"] if at["w"] else None
+    reached = F.lit(True) if level is None else F.col("limit_ratio") <= F.lit(level)
+    target = F.when(reached, F.col("most")).otherwise(F.lit(level) * F.col("w"))
     return (
-        solved.withColumn("target", target)
+        capped.withColumn("target", target)
         .withColumn("base", F.when(F.col("source_size") == 0, 0).otherwise(F.floor(F.col("target") / F.col("source_size"))).cast("long"))
         .withColumn("rest", F.col("target") - F.col("base") * F.col("source_size"))
-        .select("source", "source_size", "target", "base", "rest")
+        .select("source", "k", "source_size", "n", "target", "base", "rest")
     )
 
 
-def rank_point(u: Column, inclusion: Column, prefer: Column) -> Column:
+def inclusion_odds(size: Column, prefer: Column | None) -> Column:
+    """Odds of a document of this size in a source with (source_size, n, rest)."""
+    share = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("rest") / F.col("source_size")))
+    like = F.sqrt(F.greatest(size, F.lit(1)).cast("double") / (F.col("source_size").cast("double") / F.col("n"))) if prefer is None else prefer
+    return share / (1 - share) * like
+
+
+def rank_point(u: Column, odds: Column) -> Column:
     """Pareto rank (random odds over inclusion odds), moved into (0, 1)."""
-    q = (u / (1 - u)) / (inclusion / (1 - inclusion) * prefer)
+    q = (u / (1 - u)) / odds
     return q / (1 + q)
 
 
@@ -90,64 +112,67 @@ def mix(
 ) -> DataFrame:
     """Adds ``size``, ``source_size``, ``target``, ``copies`` and ``taken`` (copies times size).
 
-    ``prefer`` names a positive column that multiplies a document's inclusion odds.
+    ``prefer`` names a positive column that takes the place of the size in a document's inclusion odds.
     """
-    like = F.col(prefer).cast("double") if prefer else F.lit(1.0)
-    facts = [n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), like.alias("like")]
-    narrow = cut(docs.select("doc_id", "source", *facts))
-    goal = cut(targets(narrow.groupBy("source").agg(F.sum("size").alias("source_size")), weights, share, cap))
+    added = ("size", "source_size", "target", "copies", "taken")
+    taken = _taken(docs, weights, share, cap, seed, prefer, slices)
+    return taken.select(*[F.col(f"row.`{c}`") for c in docs.columns if c not in added], *added)
+
+
+def _taken(docs: DataFrame, weights: Sequence[float], share: float, cap: float, seed: str, prefer: str | None, slices: int) -> DataFrame:
+    """(row, size, source_size, target, copies, taken): ``row`` is the input row."""
+    scratch = Scratch(docs.sparkSession)
+    like = F.col(prefer).cast("double") if prefer else F.lit(None).cast("double")
+    facts = [F.col("source"), F.col("doc_id"), n_words(F.col("text")).alias("size"), uniform(F.col("doc_id"), F.col("text"), seed).alias("u"), like.alias("like")]
+    narrow = scratch.keep(docs.select(*facts))
+    sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"))
+    goal = scratch.keep(targets(sizes, weights, share, cap, scratch))
     n_sources = goal.count()
-    inclusion = F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("rest") / F.col("source_size")))
-    point = rank_point(F.col("u"), inclusion, F.col("like"))
+    point = rank_point(F.col("u"), inclusion_odds(F.col("size"), F.col("like") if prefer else None))
+    slice_of = F.least(F.floor(F.col("p") * slices), F.lit(slices - 1)).cast("int")
+    place = F.struct("p", F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("doc_id"), "size")
 
     def placed(df: DataFrame, table: DataFrame) -> DataFrame:
-        joined = df.alias("d").join(side(table.alias("g"), n_sources), F.col("d.source").eqNullSafe(F.col("g.source")))
-        rest = [F.col(f"g.{c}") for c in table.columns if c != "source"]
-        return joined.select("d.*", *rest).withColumn("p", point)
+        """``df`` with its source's row of ``table`` and its place in the order."""
+        joined = df.alias("d").join(side(table.withColumnRenamed("source", "__source"), n_sources), F.col("d.source").eqNullSafe(F.col("__source"))).drop("__source")
+        return joined.withColumn("p", point).withColumn("slice", slice_of).withColumn("place", place)
 
-    slice_of = F.least(F.floor(F.col("p") * slices), F.lit(slices - 1)).cast("int")
-    open_goal = goal.where("rest > 0")
-    ordered = placed(narrow, open_goal).withColumn("slice", slice_of)
-    along = Window.partitionBy("source").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    ordered = placed(narrow, goal.where("rest > 0"))
+    along = Window.partitionBy("k").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
     held = (
-        ordered.groupBy("source", "slice", "rest").agg(F.sum("size").alias("in_slice"))
+        ordered.groupBy("k", "slice", "rest").agg(F.sum("size").alias("in_slice"))
         .withColumn("ahead", F.coalesce(F.sum("in_slice").over(along), F.lit(0)))
         .where((F.col("ahead") <= F.col("rest")) & (F.col("ahead") + F.col("in_slice") > F.col("rest")))
-        .select("source", F.col("slice").alias("cut_slice"), "ahead")
+        .select("k", F.col("slice").alias("cut_slice"), "ahead")
     )
-    held = cut(held)
-    at_cut = ordered.alias("d").join(side(held.alias("h"), n_sources), F.col("d.source").eqNullSafe(F.col("h.source")) & (F.col("d.slice") == F.col("h.cut_slice"))).select("d.*", "h.ahead")
-    inside = Window.partitionBy("source").orderBy("p", F.col("doc_id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, -1)
-    middle = F.col("ahead") + F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("size") / 2
-    place = F.struct("p", F.coalesce(F.col("doc_id"), F.lit(2**63 - 1)).alias("doc_id"), "size")
-    last = at_cut.withColumn("in_mix", middle <= F.col("rest")).groupBy("source").agg(F.max(F.when(F.col("in_mix"), place)).alias("last"))
-    cuts = (
-        goal.alias("g")
-        .join(held.alias("h"), F.col("g.source").eqNullSafe(F.col("h.source")), "left")
-        .join(last.alias("l"), F.col("g.source").eqNullSafe(F.col("l.source")), "left")
-        .select("g.*", "h.cut_slice", "l.last")
-    )
-    cuts = cut(cuts)
-
-    added = ("size", "source_size", "target", "copies", "taken")
-    keep = [F.col(f"d.`{c}`") for c in docs.columns if c not in added]
-    facts = docs.withColumns({"__size": n_words(F.col("text")), "__u": uniform(F.col("doc_id"), F.col("text"), seed), "__like": like})
-    p = rank_point(F.col("d.__u"), F.least(F.lit(1 - 1e-12), F.greatest(F.lit(1e-12), F.col("c.rest") / F.col("c.source_size"))), F.col("d.__like"))
-    slice_no = F.least(F.floor(p * slices), F.lit(slices - 1)).cast("int")
-    here = F.struct(p.alias("p"), F.coalesce(F.col("d.doc_id"), F.lit(2**63 - 1)).alias("doc_id"), F.col("d.__size").alias("size"))
-    chosen = (F.col("c.rest") > 0) & (
-        F.col("c.cut_slice").isNull() | (slice_no < F.col("c.cut_slice")) | ((slice_no == F.col("c.cut_slice")) & F.coalesce(here <= F.col("c.last"), F.lit(False)))
-    )
-    copies = (F.col("c.base") + F.coalesce(chosen, F.lit(False)).cast("long")).cast("long")
-    return (
-        facts.alias("d")
-        .join(side(cuts.alias("c"), n_sources), F.col("d.source").eqNullSafe(F.col("c.source")))
-        .select(*keep, F.col("d.__size").alias("size"), F.col("c.source_size"), F.col("c.target"), copies.alias("copies"))
-        .withColumn("taken", F.col("copies") * F.col("size"))
-    )
-
-
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
+    held = scratch.keep(held)
+    # Rows with one place are one here, so repeated rows are summed before they meet.
+    places = ordered.join(side(held, n_sources), "k").where("slice = cut_slice").groupBy("k", "rest", "ahead", "place").agg(F.count(F.lit(1)).alias("m"))
+    inside = Window.partitionBy("k").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.col("place.size")
+    left = F.col("rest") - (F.col("ahead") + F.coalesce(F.sum(size * F.col("m")).over(inside), F.lit(0)) + size / 2)
+    fit = F.when(left < 0, 0).when(size == 0, F.col("m")).otherwise(F.least(F.floor(F.try_divide(left, size)) + 1, F.col("m"))).cast("long")
+    last = places.withColumn("fit", fit).where("fit > 0").groupBy("k").agg(F.max(F.struct("place", "fit", "m")).alias("last"))
+    cuts = goal.join(held.drop("ahead"), "k", "left").join(last, "k", "left").select(*goal.columns, "cut_slice", F.col("last.place").alias("last"), F.col("last.fit").alias("fit"), F.col("last.m").alias("m"))
+    cuts = scratch.keep(cuts)
+
+    rows = placed(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *facts), cuts)
+    at_cut = F.col("slice") == F.col("cut_slice")
+    some = F.coalesce(at_cut & (F.col("place") == F.col("last")) & (F.col("fit") < F.col("m")), F.lit(False))
+    chosen = (F.col("rest") > 0) & (F.col("cut_slice").isNull() | (F.col("slice") < F.col("cut_slice")) | (at_cut & F.coalesce(F.col("place") <= F.col("last"), F.lit(False))))
+    rows = rows.withColumn("some", some).withColumn("chosen", F.coalesce(chosen, F.lit(False)))
+    if cuts.where("fit < m").limit(1).count():  # the cut of a source falls among repeated rows
+        tied = scratch.keep(rows.where("some").withColumn("part", (F.monotonically_increasing_id() % TIE_PARTS).cast("int")))
+        parts = tied.groupBy("k", "part").agg(F.count(F.lit(1)).alias("held"))
+        before = parts.select("k", "part", F.coalesce(F.sum("held").over(Window.partitionBy("k").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+        own = F.row_number().over(Window.partitionBy("k", "part").orderBy("place"))
+        tied = tied.withColumn("own", own).join(side(before, n_sources * TIE_PARTS), ["k", "part"]).withColumn("chosen", F.col("before") + F.col("own") <= F.col("fit"))
+        rows = rows.where(~F.col("some")).unionByName(tied.select(*rows.columns))
+    copies = (F.col("base") + F.col("chosen").cast("long")).cast("long")
+    return rows.select("row", "size", "source_size", "target", copies.alias("copies")).withColumn("taken", F.col("copies") * F.col("size"))
+
+
+def mixed_rows(docs: DataFrame, weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix", prefer: str | None = None, slices: int = SLICES) -> DataFrame:
     """The mix itself: every document as many times as it is taken, with the columns of ``docs``."""
-    out = mix(docs, **how).where("copies > 0")
-    return out.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _taken(docs, weights, share, cap, seed, prefer, slices).where("copies > 0")
+    return out.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")

@@ -210,7 +210,7 @@ def test_toxicity(spark, odd):
     plain = [" ".join(rng.choice("anre thion eding ofthe sted reat".split()) for _ in range(40)) for _ in range(300)]
     texts = [t + " you stupid idiot" * (i % 2) for i, t in enumerate(plain)]
     model = toxicity.fit(texts, [i % 2 for i in range(300)])
-    score = lambda *ts: model.scores(toxicity.Pooled(toxicity.Landmarks(model.landmarks))(list(ts)))
+    score = lambda *ts: model.scores(toxicity.Margins.of(model)(list(ts)))
     assert (score(plain[0] + " idiot stupid", plain[0] + " i d i o t, s.t.u.p.i.d") > 0.5).all() and (score(plain[0], "", "x" * 10_000) < 0.5).all()
     labels = spark.createDataFrame([(4, 1), (5, 0), (99, 1), (None, 1), (6, None)], "doc_id long, toxic int")
     assert toxicity.score_documents(odd, labels).count() == len(ODD)
@@ -472,6 +472,56 @@ def test_toxicity_knows_a_stem_under_any_ending():
     bad = [f"das ist ein grumbol{e} sage ich" for e in endings]  # only the stem tells the classes apart
     good = [f"das ist ein {s}{e} sage ich" for e in endings for s in ("tisch", "wald", "fenst")]
     model = toxicity.fit(good + bad, [0] * len(good) + [1] * len(bad))
-    pooled = toxicity.Pooled(toxicity.Landmarks(model.landmarks))
-    assert model.scores(pooled(["so ein grumbolvant", "so ein grum-bolvant"])).min() >= 0.5
-    assert model.scores(pooled(["das ist ein tischler", ""])).max() < 0.5
+    margins = toxicity.Margins.of(model)
+    assert model.scores(margins(["so ein grumbolvant", "so ein grum-bolvant"])).min() >= 0.5
+    assert model.scores(margins(["das ist ein tischler", ""])).max() < 0.5
+
+
+def test_toxicity_tolerates_letters_put_in(spark):
+    """Trained on labelled texts: insults with one letter or marks put in are found, near clean words are not."""
+    sf = SF.replace("0.001", "0.01")
+    model = toxicity.train(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    margins = toxicity.Margins.of(model)
+    bad = ["you idiot", "you idxiot", "you stuxpid", "you moxron", "you wxorthless", "such a m-o-ron", "an i_di_ot he is", "what an i d i o t", "disgustxing", "so pathxetic you are"]
+    good = ["good morning to you", "the idioms of a language", "a studio and moments of class", "worth the price", "the loose rosen", "stand up and paint", "the cloud and the lawn", "", "discussing a path"]
+    assert model.scores(margins(bad)).min() >= 0.5 > model.scores(margins(good)).max()
+
+
+def test_toxicity_in_four_scripts():
+    rng = random.Random(9)
+    insults = ["grumbolt", "дурачина", "καθίκι", "ბრიყვო"]
+    letters = ["abcdefghilmnoprstu", "абвгдежзиклмнопрсту", "αβγδεζηθικλμνοπρστ", "აბგდევზთიკლმნოპრსტ"]
+    word = lambda k: "".join(rng.choice(letters[k]) for _ in range(rng.randrange(3, 9)))
+    texts, toxic = [], []
+    for n in range(480):
+        k = n % 4
+        words = [word(k) for _ in range(12)]
+        if n % 3 == 0:
+            words[rng.randrange(12)] = insults[k]
+        texts.append(" ".join(words))
+        toxic.append(int(n % 3 == 0))
+    model = toxicity.fit(texts, toxic)
+    margins = toxicity.Margins.of(model)
+    assert len({c for w in model.landmarks for c in w}) > 62
+    for k, w in enumerate(insults):
+        spoiled = w[:3] + letters[k][0] + w[3:]
+        assert model.scores(margins([f"{word(k)} {w} {word(k)}", f"{word(k)} {spoiled} {word(k)}"])).min() >= 0.5
+    assert np.mean(model.scores(margins([" ".join(word(n % 4) for _ in range(12)) for n in range(200)])) < 0.5) > 0.97
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf = SF.replace("0.001", "0.01")
+    out = toxicity.score_documents(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    rows = out.where("held_out").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").toPandas()
+    assert rows[rows.toxic == 1].predicted.mean() >= 0.6 and rows[rows.toxic == 0].predicted.mean() <= 0.03
+
+
+def test_kernel_of_all_words_and_landmarks():
+    """The triples' table gives the kernel of the definition, also for words with few or repeated letters."""
+    words = ["nanana", "nananabc", "bababa", "connard", "conn", "idiot", "idxiot", "banana", "trash", "abcdefghijklmnop"]
+    marks = toxicity.Landmarks(words[:7])
+    got = marks.near([(w, False) for w in words])
+    for i, w in enumerate(words):
+        for j, z in enumerate(marks.words):
+            assert got[i, j] == pytest.approx(float(toxicity.kernel(toxicity.codes([w]), toxicity.codes([z]))[0]) ** toxicity.POWER, rel=1e-3, abs=1e-6)
+    assert marks.near([("idio", True)])[0, 5] == 0 and marks.near([("idiot", True)])[0, 5] == pytest.approx(1, rel=1e-3)

@@ -2,68 +2,78 @@
 
 The kernel of two words counts the letter triples they have in common as subsequences,
 each weighted by ``DECAY`` to the power of the stretch it spans in either word, and is
-normalised to 1 for equal words. Letters put in between ("i-d-i-o-t", "idxiot") widen
-the stretch and only lower the value. Words longer than ``WINDOW`` letters are
-compared by overlapping windows, words with endings by their heads of ``HEADS`` letters as well
-(with landmarks no longer than the head, so a stem counts in full under any ending), and single letters in a row ("i d i o t") are read as
+normalised to 1 for equal words; its ``POWER``, a kernel again, is used. Letters put in between
+("idxiot", "stuxpid") widen the stretch and only lower the value. It is worked out for every word and every
+landmark, by the triples that landmarks have, in any script.
+
+A text is a bag of words. Words that tell the classes apart in the labelled texts are toxic as far as
+those texts are; words that do not are clean. Landmarks are parts of the texts: telling words, the clean words nearest to them, and clean words
+at large. The kernel values of a word with them, multiplied by the inverse square root of the
+landmarks' own kernel matrix (Nyström), are the features of a linear machine with squared hinge loss.
+It learns telling words with letters put in between as well. A text's probability comes from the greatest
+margin of its words, the sum of the positive ones and the number of words, by a logistic fit over labelled texts,
+their sentences, and copies of these with letters put into telling words.
+
+A word is read by its letters ("m-o-ron" and "i_di_ot" are words; so are their runs of letters); words longer than ``WINDOW`` letters are
+read by overlapping windows, words with endings by their heads of ``HEADS`` letters as well
+(with landmarks no longer than the head, so a stem counts in full under any ending), and single letters in a row ("i d i o t") as
 one word as well, so whole texts are scored.
 
-A text's nearness to a landmark is the greatest kernel value of its words, as far as it
-exceeds ``FLOOR``. These values, multiplied by the inverse square root of the landmarks'
-own kernel matrix (Nyström), are the features of a linear machine with squared hinge
-loss, whose margins are turned into probabilities by a logistic fit.
-
-The machine is fitted on the driver on at most ``SAMPLE`` labelled rows (the rows with the
-lowest hash of their id and text, a documented bound), the landmarks being words that tell the
-classes apart there. The fitted model has a fixed size, whatever the input's, and is
-sent with the task. Scores depend on the text alone.
+The machine is fitted in one task on at most ``SAMPLE`` labelled rows and ``SAMPLE_BYTES`` bytes of text (the rows with the
+lowest hash of their id, documented bounds; longer texts are passed over there). The fitted model has a fixed size, whatever the
+input's, and is sent with the task. Scores depend on the text alone.
 
 Defined cases: a null text is empty, and an empty text gets the score of no evidence;
-null labels and labels of missing documents are left out of the fit; without labels of both classes every score
-is the share of toxic labels (0.0 without labels); repeated rows score alike; an empty
-table gives an empty result.
+null labels and labels of missing documents are left out of the fit; without labels of both classes, or without
+words that tell them apart, every score is the share of toxic labels (0.0 without labels); repeated rows
+score alike; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import pickle
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weirflow.llm.common import whole
 from weirflow.plans.runtime import ship
 
-#: Labelled rows in the fit, at most.
-SAMPLE = 5000
-#: Landmarks, at most, and up to how many words that may stand out by chance are taken.
+#: Labelled rows and bytes of their texts in the fit, at most.
+SAMPLE, SAMPLE_BYTES = 5000, 16 << 20
+#: Telling landmarks, at most, and how many words that may stand out by chance are taken where almost none is sure.
 LANDMARKS, FEW_LANDMARKS = 64, 12
-#: Weight of a letter's stretch in the kernel, and the letters of a subsequence.
-DECAY, LETTERS = 0.6, 3
+#: Landmarks among clean words: those nearest to the telling ones, and others.
+NEAR_CLEAN, OTHER_CLEAN = 32, 16
+#: Weight of a letter's stretch in the kernel, the letters of a subsequence, and the kernel's power.
+DECAY, LETTERS, POWER = 0.9, 3, 4
 #: Letters of a word compared at once.
 WINDOW = 16
 #: Lengths of the heads of words that are compared as well, and may be landmarks.
-HEADS = (4, 5, 6, 8)
-#: Kernel values up to this count as nothing in common.
-FLOOR = 0.5
-#: Least share of toxic texts among a landmark's texts.
-LEAST_SHARE = 0.6
+HEADS = (4, 5, 6, 7, 8)
+#: Least share of toxic texts among a telling word's texts.
+LEAST_SHARE = 0.4
 #: Words this near to a landmark already chosen are passed over.
 NEAR_REPEAT = 0.8
-#: Words whose kernel values are remembered in a worker, by generation.
-REMEMBERED = 400_000
-#: Pairs of words in one vectorised step.
-PAIRS = 40_000
+#: Clean words in the fit, copies of each telling word with a letter put in, and texts of a class in the logistic fit.
+CLEAN_WORDS, COPIES, CALIBRATE = 30_000, 12, 500
+#: Words whose margins are remembered in a worker, by generation.
+REMEMBERED = 300_000
+#: Pairs of words in one vectorised step, and cells of a table of triples.
+PAIRS, CELLS = 40_000, 4 << 20
 
 
-def codes(words: Sequence[str]) -> np.ndarray:
-    """Code points of words of at most ``WINDOW`` letters, padded with 0."""
-    joined = np.zeros((len(words), WINDOW), np.int32)
+def codes(words: Sequence[str], width: int = WINDOW) -> np.ndarray:
+    """Code points of words of at most ``width`` letters, padded with 0."""
+    joined = np.zeros((len(words), width), np.int32)
     for i, w in enumerate(words):
         joined[i, : len(w)] = np.frombuffer(w.encode("utf-32-le"), np.int32)
     return joined
@@ -103,8 +113,8 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(raw_kernel(a, b), own, out=np.zeros(len(a), np.float32), where=own > 0)
 
 
-_STRIP = " .,;:!?\"'()[]{}<>|*_~`´“”‘’«»¡¿…-–—/\\#&%$@+="
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]+){2,}[^\W\d_](?![^\s.,;:!?])")
+_RUNS = re.compile(r"[^\W\d_]+")
 
 
 def spread_words(text: str) -> list[str]:
@@ -112,6 +122,15 @@ def spread_words(text: str) -> list[str]:
     return ["".join(c for c in m if c.isalpha()) for m in _SPELLED.findall(text)]
 
 
+def tokens(text: str) -> set[str]:
+    """The different tokens of a text."""
+    low = text.lower()
+    found = set(low.split())
+    if len(low) > 4 and _SPELLED.search(low):
+        found.update(spread_words(low))
+    return found
+
+
 def windows(word: str) -> list[str]:
     """The word, or overlapping parts of at most ``WINDOW`` letters that cover it."""
     if len(word) <= WINDOW:
@@ -119,149 +138,171 @@ def windows(word: str) -> list[str]:
     return [word[i : i + WINDOW] for i in range(0, len(word) - WINDOW // 2, WINDOW // 2)]
 
 
-def heads(word: str) -> list[str]:
-    """The beginnings of a longer word, by its letters."""
-    if not word.isalpha():
-        word = "".join(filter(str.isalpha, word))
-    return [word[:n] for n in HEADS if len(word) > n]
+def parts(token: str) -> list[tuple[str, bool]]:
+    """What is compared of a token: (letters, whether they are the head of a longer word)."""
+    words = [token] if token.isalpha() else _RUNS.findall(token)
+    if len(words) > 1:
+        words.append("".join(words))
+    out = [(p, False) for w in words for p in windows(w) if len(p) >= LETTERS]
+    return out + [(w[:n], True) for w in words for n in HEADS if len(w) > n]
 
 
 @dataclass
 class Landmarks:
-    """Landmark words and what is needed to compare many words with them."""
+    """Landmark words and the triples they have, with their normalised weights."""
 
     words: list[str]
-    code: np.ndarray = field(init=False)
-    own: np.ndarray = field(init=False)
+    alphabet: dict[str, int] = field(init=False)
 
     def __post_init__(self) -> None:
-        self.code = codes(self.words)
-        self.own = own_kernel(self.code)
         self.size = np.array([len(w) for w in self.words])
-        alphabet = sorted({c for w in self.words for c in w})[:62]
-        self.bit = {c: 1 << i for i, c in enumerate(alphabet)}
-        self.mask = np.array([sum(self.bit.get(c, 0) for c in set(w)) for w in self.words], np.uint64)
-        self.need = np.array([max(3, -(-2 * len(set(w)) // 3)) if len(set(w)) > 2 else 1 for w in self.words])
-
-    def near(self, words: Sequence[str]) -> list[tuple[tuple[int, float], ...]]:
-        """For each word, the landmarks whose kernel value exceeds the floor, with what exceeds it.
-
-        Only pairs that share two thirds of the landmark's letters are worked out: with
-        fewer, too few triples are left to reach the floor.
-        """
-        index: dict[tuple[str, bool], list[int]] = {}  # each different part once, with the words it comes from
-        for k, w in enumerate(words):
-            for p in windows(w):
-                if len(p) >= LETTERS:
-                    index.setdefault((p, False), []).append(k)
-            for p in heads(w):
-                index.setdefault((p, True), []).append(k)
-        parts, of = [p for p, _ in index], list(index.values())
-        out: list[dict[int, float]] = [{} for _ in words]
-        if not parts or not self.words:
-            return [() for _ in words]
-        bit = self.bit.get
-        mask = np.array([sum({bit(c, 0) for c in p}) for p in parts], np.uint64)
-        shared = np.bitwise_count(mask[:, None] & self.mask[None, :])
-        reach = np.array([len(p) if head else WINDOW for p, head in index])
-        row, col = np.nonzero((shared >= self.need[None, :]) & (self.size[None, :] <= reach[:, None]))
-        if not len(row):
-            return [() for _ in words]
-        used = np.unique(row)
-        code = codes([parts[i] for i in used])
-        own = np.zeros(len(parts), np.float32)
-        own[used] = own_kernel(code)
-        at = np.searchsorted(used, row)
-        width = int((self.code != 0).sum(1).max())
-        for s in range(0, len(row), PAIRS):
-            r, c = row[s : s + PAIRS], col[s : s + PAIRS]
-            value = raw_kernel(code[at[s : s + PAIRS]], self.code[c][:, :width]) / np.sqrt(np.maximum(own[r] * self.own[c], 1e-30))
-            for i in np.flatnonzero(value > FLOOR):
-                v = (float(value[i]) - FLOOR) / (1 - FLOOR)
-                for k in of[r[i]]:
-                    if v > out[k].get(int(c[i]), 0.0):
-                        out[k][int(c[i])] = v
-        return [tuple(f.items()) for f in out]
-
-
-class Pooled:
-    """Greatest nearness to each landmark over the words of texts, with words remembered."""
-
-    def __init__(self, landmarks: Landmarks, remembered: int = REMEMBERED) -> None:
-        self.landmarks, self.remembered = landmarks, remembered
-        self.new: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
-
-    def __call__(self, texts: Sequence[str]) -> np.ndarray:
-        split = []
-        for t in texts:
-            low = t.lower()
-            tokens = set(low.split())
-            if len(low) > 4 and _SPELLED.search(low):
-                tokens.update(spread_words(low))
-            split.append(tokens)
-        missing: dict[str, list[str]] = {}
-        known: dict[str, tuple] = {}
-        for t in set().union(*split) - self.new.keys():
-            v = self.old.get(t)
-            if v is not None:
-                self.new[t] = v
-            else:
-                missing.setdefault(t.strip(_STRIP), []).append(t)
-        bare = list(missing)
-        for w, v in zip(bare, self.landmarks.near(bare), strict=True):
-            for t in missing[w]:
-                (self.new if len(t) <= 3 * WINDOW else known)[t] = v
-        out = np.zeros((len(texts), len(self.landmarks.words)))
-        new = self.new
-        for k, tokens in enumerate(split):
-            row = out[k]
-            for t in tokens:
-                v = new[t] if t in new else known[t]
-                for c, x in v:
-                    if x > row[c]:
-                        row[c] = x
-        if len(self.new) > self.remembered:
-            self.old, self.new = self.new, {}
-        return out
+        self.alphabet = {c: i for i, c in enumerate(sorted({c for w in self.words for c in w}), 1)}
+        base = len(self.alphabet) + 1
+        table: dict[int, np.ndarray] = {}
+        own = own_kernel(codes(self.words))
+        for z, w in enumerate(self.words):
+            at = [self.alphabet[c] for c in w]
+            for i, j, k in combinations(range(len(w)), 3):
+                row = table.setdefault((at[i] * base + at[j]) * base + at[k], np.zeros(len(self.words)))
+                row[z] += DECAY ** (k - i + 1) / np.sqrt(own[z])
+        self.triples = np.array(sorted(table), np.int64)
+        self.weights = np.array([table[t] for t in self.triples.tolist()], np.float32).reshape(len(table), len(self.words))
+
+    def near(self, found: Sequence[tuple[str, bool]]) -> np.ndarray:
+        """Kernel values of parts with all landmarks; those of heads with longer landmarks are 0."""
+        out = np.zeros((len(found), len(self.words)), np.float32)
+        length = np.array([len(p) for p, _ in found])
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            i, j, k = np.array(list(combinations(range(n), 3))).T
+            weight = (DECAY ** (k - i + 1)).astype(np.float32)
+            step = max(1, CELLS // max(len(i), len(self.triples)))
+            for s in range(0, len(at), step):
+                some = at[s : s + step]
+                out[some] = self._dots([found[x][0] for x in some.tolist()], (i, j, k), weight)
+        head = np.array([h for _, h in found])
+        out[head[:, None] & (self.size[None, :] > length[:, None])] = 0
+        return out**POWER
+
+    def _dots(self, words: list[str], triple: tuple, weight: np.ndarray) -> np.ndarray:
+        get, n, base = self.alphabet.get, len(words[0]), len(self.alphabet) + 1
+        letters = np.array([[get(c, 0) for c in w] for w in words], np.int64)
+        i, j, k = triple
+        code = (letters[:, i] * base + letters[:, j]) * base + letters[:, k]
+        place = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
+        row, col = np.nonzero(self.triples[place] == code)
+        flat = np.bincount(row * len(self.triples) + place[row, col], weights=weight[col], minlength=len(words) * len(self.triples))
+        dots = flat.reshape(len(words), -1).astype(np.float32) @ self.weights
+        own = own_kernel(codes(words, n))
+        return dots / np.sqrt(np.maximum(own, 1e-30))[:, None]
 
 
 @dataclass
 class Model:
+    """``weight`` holds each landmark's share in a word's margin, ``bias`` the margin of no evidence, ``bag`` what the features of a text count for."""
+
     landmarks: list[str]
-    project: np.ndarray
     weight: np.ndarray
     bias: float
-    slope: float
-    shift: float
+    bag: np.ndarray
+
+    def scores(self, features: np.ndarray) -> np.ndarray:
+        return _sigmoid(np.column_stack([features, np.ones(len(features))]) @ self.bag)
+
+    @classmethod
+    def constant(cls, share: float) -> Model:
+        share = float(np.clip(share, 1e-6, 1 - 1e-6))
+        return cls([], np.zeros(0), 0.0, np.array([0.0, 0.0, 0.0, np.log(share / (1 - share))]))
+
+
+class Margins:
+    """Margins of texts, with those of words remembered."""
+
+    def __init__(self, landmarks: Landmarks, weight: np.ndarray, bias: float, remembered: int = REMEMBERED) -> None:
+        self.landmarks, self.weight, self.bias, self.remembered = landmarks, weight, bias, remembered
+        self.new: dict = {}
+        self.old: dict = {}
+
+    @classmethod
+    def of(cls, model: Model) -> Margins:
+        return cls(Landmarks(model.landmarks), model.weight, model.bias)
+
+    def of_parts(self, found: Sequence[tuple[str, bool]]) -> np.ndarray:
+        if not found or not self.landmarks.words:
+            return np.full(len(found), self.bias)
+        return np.concatenate([self.landmarks.near(found[s : s + 20_000]) @ self.weight + self.bias for s in range(0, len(found), 20_000)])
+
+    def of_tokens(self, wanted: set[str]) -> dict[str, float]:
+        """Margins of tokens: the greatest of their parts'."""
+        out, new, split = {}, self.new, {}
+        unknown: dict[tuple[str, bool], None] = {}
+        for t in wanted:
+            v = new.get(t)
+            if v is None and (v := self.old.get(t)) is not None:
+                new[t] = v
+            if v is not None:
+                out[t] = v
+                continue
+            split[t] = own = parts(t)
+            for p in own:
+                if p not in new:
+                    if p in self.old:
+                        new[p] = self.old[p]
+                    else:
+                        unknown[p] = None
+        fresh = list(unknown)
+        new.update(zip(fresh, self.of_parts(fresh).tolist(), strict=True))
+        for t, own in split.items():
+            out[t] = v = max((new[p] for p in own), default=self.bias)
+            if len(t) <= 3 * WINDOW:
+                new[t] = v
+        if len(new) > self.remembered:
+            self.old, self.new = new, {}
+        return out
 
-    def margins(self, pooled: np.ndarray) -> np.ndarray:
-        return pooled @ self.project @ self.weight + self.bias
+    def of_bags(self, bags: Sequence[set[str]]) -> np.ndarray:
+        """For each bag of tokens: the greatest margin, the sum of the positive ones and, if there are any, the number of tokens, on a log scale."""
+        known = self.of_tokens(set().union(*bags))
+        out = np.zeros((len(bags), 3))
+        for k, bag in enumerate(bags):
+            own = [known[t] for t in bag]
+            worst = max(own, default=self.bias)
+            out[k] = (worst, np.log1p(sum(v for v in own if v > 0)), np.log1p(len(own))) if worst > 0 else (worst, 0.0, 0.0)
+        return out
 
-    def scores(self, pooled: np.ndarray) -> np.ndarray:
-        return _sigmoid(self.slope * self.margins(pooled) + self.shift)
+    def __call__(self, texts: Sequence[str]) -> np.ndarray:
+        return self.of_bags([tokens(t) for t in texts])
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
-def _tokens(text: str) -> set[str]:
-    low = text.lower()
-    words = {t.strip(_STRIP) for t in low.split()} | set(spread_words(low))
-    return {p for w in words for p in (*windows(w), *heads(w)) if len(p) >= LETTERS}
+def _contexts(texts: Sequence[str], wanted: set[str]) -> Counter:
+    """Between how many different neighbours parts stand."""
+    found: dict[str, set] = {w: set() for w in wanted}
+    for text in texts:
+        row = text.lower().split()
+        for k, t in enumerate(row):
+            for p, _ in parts(t):
+                if p in found:
+                    found[p].add((*row[max(0, k - 1) : k], None, *row[k + 1 : k + 2]))
+    return Counter({w: len(c) for w, c in found.items()})
+
 
+def telling_parts(texts: Sequence[set[str]], toxic: np.ndarray, whole_texts: Sequence[str]) -> tuple[dict[str, tuple[int, int]], list[str]]:
+    """Parts that tell the classes apart, most telling first, with how many toxic and clean texts have them; and parts that are no more toxic than any.
 
-def choose_landmarks(texts: Sequence[str], toxic: np.ndarray, most: int = LANDMARKS) -> list[str]:
-    """Words that tell the classes apart, most telling first, passing over near repeats of one already chosen."""
+    Copies of a text are no further evidence: a part counts for no more texts than it has different neighbours.
+    """
     seen: Counter[str] = Counter()
     bad: Counter[str] = Counter()
     for t, y in zip(texts, toxic, strict=True):
-        words = _tokens(t)
-        seen.update(words)
+        own = {p for w in t for p, _ in parts(w)}
+        seen.update(own)
         if y:
-            bad.update(words)
-    share = float(np.clip(toxic.mean(), 1e-9, 1 - 1e-9)) if len(texts) else 0.5
+            bad.update(own)
+    share = float(np.clip(toxic.mean(), 1e-9, 1 - 1e-9))
 
     def telling(w: str) -> float:
         """How unlikely so large a share of toxic texts is for a word of no account, in nats."""
@@ -270,70 +311,134 @@ def choose_landmarks(texts: Sequence[str], toxic: np.ndarray, most: int = LANDMA
             return 0.0
         return n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0))
 
-    sure = np.log(max(1, len(seen)))  # as many words are tried, some stand out by chance
+    sure = 1.2 * np.log(max(1, len(seen)))  # as many words are tried, some stand out by chance
     ranked = sorted(((telling(w), w) for w in bad if bad[w] >= 2 and bad[w] > seen[w] * max(LEAST_SHARE, share)), key=lambda x: (-x[0], -len(x[1]), x[1]))
+    ranked = [x for x in ranked if x[0] >= sure] or ranked[:FEW_LANDMARKS]
+    places = _contexts([t for t, y in zip(whole_texts, toxic, strict=True) if y], {w for _, w in ranked})
+    known = [w for value, w in ranked if value * min(1.0, (places[w] or bad[w]) / bad[w]) >= sure]
+    if len(known) < 3:  # too few labels to be sure of any
+        known = [w for _, w in ranked[:FEW_LANDMARKS]]
+    found = {w: (bad[w], seen[w] - bad[w]) for w in known}
+    # Of a word and its head, the head stays if it is found in more toxic texts (a stem), else the word.
+    for w in sorted(found, key=len, reverse=True):
+        for n in HEADS:
+            if n < len(w) and w in found and w[:n] in found:
+                del found[w if found[w[:n]][0] > 1.05 * found[w][0] else w[:n]]
+    return found, sorted(w for w in seen if bad[w] <= seen[w] * share and not any(w == x[: len(w)] for x in found))
+
+
+def _apart(telling: Sequence[str], most: int) -> list[str]:
+    """Telling words without those nearly equal to one before."""
     chosen: list[str] = []
-    chosen_set: set[str] = set()
-    for value, w in ranked[: 20 * most]:
-        if value < sure and len(chosen) >= FEW_LANDMARKS:
-            break
-        if any(h in chosen_set and bad[h] * seen[w] >= bad[w] * seen[h] * 0.95 for h in heads(w)):  # its stem stands for it
+    for w in telling[: 20 * most]:
+        if chosen and kernel(codes([w] * len(chosen)), codes(chosen)).max() > NEAR_REPEAT:
             continue
-        if chosen:
-            a = codes([w] * len(chosen))
-            if kernel(a, codes(chosen)).max() > NEAR_REPEAT:
-                continue
         chosen.append(w)
-        chosen_set.add(w)
         if len(chosen) == most:
             break
     return chosen
 
 
-def fit(texts: Sequence[str], toxic: Sequence[int], most: int = LANDMARKS, penalty: float = 0.01) -> Model:
-    """The machine for labelled texts."""
-    y = np.asarray(toxic, bool)
-    words = choose_landmarks(texts, y, most) if len(y) else []
-    if not words or y.all() or not y.any():
-        share = float(np.clip(y.mean() if len(y) else 0.0, 1e-6, 1 - 1e-6))
-        return Model(words, np.zeros((len(words), 1)), np.zeros(1), 0.0, 1.0, float(np.log(share / (1 - share))))
-    landmarks = Landmarks(words)
-    m = len(words)
-    i, j = np.divmod(np.arange(m * m), m)
-    gram = kernel(landmarks.code[i], landmarks.code[j]).reshape(m, m).astype(float)
-    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
-    keep = values > 1e-3
-    project = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
-    pooled = Pooled(landmarks)
-    x = np.concatenate([pooled(texts[k : k + 256]) for k in range(0, len(texts), 256)]) @ project
-    sign = np.where(y, 1.0, -1.0)
-    cost = np.where(y, 0.5 / y.mean(), 0.5 / (1 - y.mean())) / len(y)
-    w, b = np.zeros(m), 0.0
-    for _ in range(50):  # Newton steps on the squared hinge
-        margin = sign * (x @ w + b)
-        on = margin < 1
-        c = cost * on
-        xa = np.column_stack([x, np.ones(len(y))])
-        grad = xa.T @ (c * (x @ w + b - sign)) + penalty * np.append(w, 0)
-        hess = (xa * c[:, None]).T @ xa + penalty * np.diag(np.append(np.ones(m), 1e-3))
-        step = np.linalg.solve(hess, grad)
-        w, b = w - step[:-1], b - step[-1]
+def with_letter(word: str, rng: random.Random, letters: str) -> str:
+    """The word with one letter put in between."""
+    at = rng.randrange(1, len(word))
+    return word[:at] + rng.choice(letters) + word[at:]
+
+
+def _machine(x: np.ndarray, sign: np.ndarray, cost: np.ndarray, penalty: float) -> tuple[np.ndarray, float]:
+    """Newton steps on the squared hinge."""
+    xa = np.column_stack([x, np.ones(len(x))])
+    ridge = penalty * np.append(np.ones(x.shape[1]), 1e-3)
+    w = np.zeros(xa.shape[1])
+    for _ in range(50):
+        f = xa @ w
+        c = cost * (sign * f < 1)
+        step = np.linalg.solve((xa * c[:, None]).T @ xa + np.diag(ridge), xa.T @ (c * (f - sign)) + ridge * w)
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    f = x @ w + b
+    return w[:-1], float(w[-1])
+
+
+def _logistic(x: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
+    """Weights of the features, and of 1, in the log odds; margins never count against a text."""
+    xa = np.column_stack([x, np.ones(len(x))])
+    for _ in range(3):
+        w = _newton(xa, y, cost)
+        against = np.flatnonzero(w[:2] < 0)
+        if not len(against):
+            break
+        xa[:, against] = 0
+    return w
+
+
+def _newton(xa: np.ndarray, y: np.ndarray, cost: np.ndarray) -> np.ndarray:
     goal = np.where(y, (y.sum() + 1) / (y.sum() + 2), 1 / ((~y).sum() + 2))
-    slope, shift = 1.0, 0.0
-    for _ in range(100):  # logistic fit of the margins
-        p = _sigmoid(slope * f + shift)
-        r = p * (1 - p) + 1e-9
-        g = np.array([((p - goal) * f).sum() + 1e-3 * slope, (p - goal).sum()])
-        h = np.array([[(r * f * f).sum() + 1e-3, (r * f).sum()], [(r * f).sum(), r.sum()]])
-        step = np.linalg.solve(h, g)
+    w = np.zeros(xa.shape[1])
+    for _ in range(200):
+        p = _sigmoid(xa @ w)
+        step = np.linalg.solve((xa * (cost * (p * (1 - p) + 1e-9))[:, None]).T @ xa + 1e-3 * np.eye(len(w)), xa.T @ (cost * (p - goal)) + 1e-3 * w)
         step *= min(1.0, 2.0 / max(1e-12, np.abs(step).max()))
-        slope, shift = slope - step[0], shift - step[1]
+        w = w - step
         if np.abs(step).max() < 1e-8:
             break
-    return Model(words, project, w, float(b), float(slope), float(shift))
+    return w
+
+
+def _sentences(text: str) -> list[set[str]]:
+    return [tokens(t) for t in re.split(r"[.!?\n]+", text) if t.strip()]
+
+
+def fit(texts: Sequence[str], toxic: Sequence[int], most: int = LANDMARKS, penalty: float = 1e-4) -> Model:
+    """The machine for labelled texts."""
+    y = np.asarray(toxic, bool)
+    split = [tokens(t) for t in texts]
+    telling, clean = telling_parts(split, y, texts) if len(y) and y.any() and not y.all() else ({}, [])
+    if not telling or not clean:
+        return Model.constant(y.mean() if len(y) else 0.0)
+    rng = random.Random(5)
+    stems = _apart(list(telling), most)
+    rng.shuffle(clean)
+    clean = clean[:CLEAN_WORDS]
+    nearest = np.concatenate([Landmarks(stems).near([(w, False) for w in clean[s : s + 5000]]).max(1) for s in range(0, len(clean), 5000)])
+    hard = [clean[i] for i in np.argsort(-nearest, kind="stable")]
+    landmarks = Landmarks(stems + hard[:NEAR_CLEAN] + [w for w in clean[:OTHER_CLEAN] if w not in hard[:NEAR_CLEAN]])
+    gram = landmarks.near([(w, False) for w in landmarks.words]).astype(float)
+    values, vectors = np.linalg.eigh((gram + gram.T) / 2)
+    keep = values > 1e-3
+    project = vectors[:, keep] / np.sqrt(values[keep]) @ vectors[:, keep].T
+    letters = "".join(sorted({c for w in clean[:2000] for c in w}))
+    known = list(telling)[: 20 * most]
+    spoiled = [w for w in stems for _ in range(COPIES)]
+    good = list(dict.fromkeys(hard[:4000] + clean[:4000]))
+    # A telling word is toxic and clean as its texts are; with a letter put in, as the word is.
+    sure = np.array([(telling[w][0], telling[w][1]) for w in known + spoiled], float)
+    sure /= sure.sum(1, keepdims=True)
+    near = landmarks.near([(w, False) for w in known + [with_letter(w, rng, letters) for w in spoiled] + good]) @ project
+    x = np.concatenate([near, near[: len(sure)]])
+    sign = np.repeat([1.0, -1.0, -1.0], [len(sure), len(good), len(sure)])
+    cost = np.concatenate([sure[:, 0] / len(sure), np.full(len(good), 1 / len(good)), sure[:, 1] / len(sure)]) / 2
+    w, bias = _machine(x, sign, cost, penalty)
+    margins = Margins(landmarks, (project @ w).astype(np.float32), bias)
+    bags, marks, weight = [], [], []
+    for c in (True, False):
+        of = np.flatnonzero(y == c)[:CALIBRATE].tolist()
+        for i in of:
+            own = [split[i]]
+            parts_of = _sentences(texts[i])
+            if not c:
+                own += rng.sample(parts_of, min(2, len(parts_of)))
+            else:
+                value = margins.of_tokens(split[i])
+                worst = max(value, key=lambda t: (value[t], t), default="")
+                if value and value[worst] > 0:
+                    own += [next((s for s in parts_of if worst in s), {worst})]
+                    own += [{with_letter(t, rng, letters) if value.get(t, 0) > 0 and len(t) > 2 else t for t in b} for b in own]
+            bags += own
+            marks += [c] * len(own)
+            weight += [(y.mean() if c else 1 - y.mean()) / len(of) / len(own)] * len(own)
+    features = np.concatenate([margins.of_bags(bags[s : s + 256]) for s in range(0, len(bags), 256)])
+    return Model(landmarks.words, margins.weight, bias, _logistic(features, np.array(marks), np.array(weight) * len(bags) / sum(weight)))
 
 
 def fold(doc_id: Column) -> Column:
@@ -341,25 +446,36 @@ def fold(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5, F.lit(0))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LANDMARKS) -> Model:
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = LANDMARKS, sample_bytes: int = SAMPLE_BYTES) -> Model:
     """Fits on labelled documents outside the held-out fold."""
     used = labels.where((fold(F.col("doc_id")) != 0) & F.col("toxic").isNotNull()).select("doc_id", F.col("toxic").cast("int").alias("toxic"))
     chosen = used.orderBy(F.xxhash64("doc_id", "toxic"), "doc_id", "toxic").limit(sample)
     few = docs.select("doc_id", whole(F.col("text")).alias("text")).join(F.broadcast(chosen), "doc_id")
-    rows = few.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "toxic").limit(sample).collect()
-    return fit([r["text"] for r in rows], [r["toxic"] for r in rows], most)
+    held = few.select("doc_id", "toxic", F.xxhash64("doc_id", "text").alias("h"), F.octet_length("text").alias("n")).orderBy("h", "doc_id", "toxic").limit(sample)
+    size = Window.orderBy("h", "doc_id", "toxic")  # over the sample's rows at most
+    fits = held.where(F.col("n") <= sample_bytes // 16).withColumn("held", F.sum("n").over(size)).where(F.col("held") <= sample_bytes).select("doc_id", "toxic", "h").distinct()
+    rows = few.withColumn("h", F.xxhash64("doc_id", "text")).join(F.broadcast(fits), ["doc_id", "toxic", "h"]).dropDuplicates(["doc_id", "toxic", "h"]).select("text", "toxic", "h", "doc_id")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["h"], r["doc_id"], r["toxic"]))
+        model = fit([r["text"] for r in found], [r["toxic"] for r in found], most)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
+
+    ship(docs.sparkSession)
+    got = rows.repartition(1).mapInArrow(run, "model binary").collect()
+    return pickle.loads(got[0]["model"]) if got else Model.constant(0.0)
 
 
-_POOLS: dict[tuple[str, ...], Pooled] = {}
+_MARGINS: dict[tuple, Margins] = {}
 
 
-def pool_for(words: Sequence[str]) -> Pooled:
+def margins_for(model: Model) -> Margins:
     """Landmark tables and remembered words, kept between tasks of a worker."""
-    key = tuple(words)
-    if key not in _POOLS:
-        _POOLS.clear()
-        _POOLS[key] = Pooled(Landmarks(list(words)))
-    return _POOLS[key]
+    key = (*model.landmarks, model.bias, model.weight.tobytes())
+    if key not in _MARGINS:
+        _MARGINS.clear()
+        _MARGINS[key] = Margins.of(model)
+    return _MARGINS[key]
 
 
 def with_scores(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
@@ -370,13 +486,13 @@ def with_scores(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pooled = pool_for(model.landmarks)
+        margins = margins_for(model)
         for batch in batches:
             texts = batch.column(at)
             scores = np.zeros(batch.num_rows)
             for s in range(0, batch.num_rows, 512):
                 part = [t or "" for t in texts.slice(s, 512).to_pylist()]
-                scores[s : s + len(part)] = model.scores(pooled(part))
+                scores[s : s + len(part)] = model.scores(margins(part))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, to])
 
     return kept.mapInArrow(run, schema)

@@ -6,20 +6,21 @@ navigation, headers, footers, asides, forms, scripts, styles and elements whose
 id names an advert, a menu, a notice or comments never are article text; blocks inside
 ``article`` or ``main`` are, headers too, unless they are one of the other tags, hidden, or
 have one of the few whole class names of ``_NAMED_INSIDE``. What lies outside both is undecided, and there the
-host's suffix arrays decide: token streams of the undecided blocks of a host's pages are
-concatenated, and tokens that lie in a long substring found on a share of the host's pages
-are boilerplate. The runs that remain are kept. Passages that few pages share are no
+host's suffix arrays decide. Every page goes through them: token streams of the blocks outside
+articles of all pages of a host are concatenated, and tokens that lie in a long substring found on
+a share of the host's pages are boilerplate; a menu marked on some pages is known on those that
+do not mark it. The runs that remain are kept. Passages that few pages share are no
 boilerplate, and copies are one page: equal token streams, and those that such substrings
 cover almost wholly, which is found first, all together. A page with an article needs none
 of the undecided blocks, since the article is marked.
 
 Repetition alone would be a wrong test inside an article: passages that many articles
-share belong to each of them. That is why the suffix array works only where markup is silent.
+share belong to each of them. That is why the suffix arrays rule only where markup is silent.
 
-Pages with an ``article`` or ``main`` tag are finished where they are read (if all such
-elements are empty, with their undecided blocks). Only the others are counted and grouped,
+Pages are read twice: once for what lies outside articles, of which equal streams are one row with the number of
+different articles that have it, and at the end for the articles, so those are not shuffled. Arrays are grouped
 by host and a salt over token streams, so no group holds more than about ``PAGES_PER_ARRAY``
-pages of a host of any size. An array only counts the pages of its salt that hold each run of
+rows of a host of any size. An array only counts the pages of its salt that hold each run of
 ``REPEAT_TOKENS`` tokens; the counts are added up over the host by 64-bit hashes of the runs,
 and every salt reads the host's table, so the result does not depend on the salts.
 
@@ -46,7 +47,7 @@ from pyspark.sql.types import StructType
 
 from weirflow.llm.common import side
 from weirflow.llm.url_filter import host_of
-from weirflow.plans.runtime import cut, ship
+from weirflow.plans.runtime import Scratch, ship
 
 #: Tokens that a substring must have to count as boilerplate.
 REPEAT_TOKENS = 6
@@ -74,20 +75,25 @@ _NAMED = re.compile(
     r"(?:^|[\s_-])(?:ads?|adverts?|advertisement|banner|promo|sponsor(?:ed)?|sidebar|side-?bar|menu|nav(?:bar|igation)?|breadcrumbs?|foot(?:er)?|header|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|newsletter|subscribe|signup|share|social|related|recommend(?:ed|ations)?|comments?|replies|disqus|widget|pagination|pager|toolbar|copyright|legal|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
-#: Whole class names that mark a block inside ``article`` or ``main`` as no part of its text.
-_NAMED_INSIDE = frozenset("ad ads advert advertisement sponsored share sharing social-share comments comment-list related-posts".split())
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.DOTALL)
-_ATTR = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.IGNORECASE)
+#: Whole class names that mark a block inside ``article`` or ``main``, or an ``article`` itself, as no part of its text.
+_NAMED_INSIDE = frozenset("ad ads advert advertisement sponsored share sharing social-share comments comment comment-body comment-list comment-content related-posts".split())
+#: Quotes hold a value together only after an equals sign.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*>|<\?[^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>=]++|=\s*+(?:\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))?)*+)(?:>|\Z)", re.DOTALL)
+_ATTR = re.compile(r"([^\s=/>]+)(?:\s*=\s*(\"[^\"]*\"?|'[^']*'?|[^\s>]*))?")
 _ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
 
+_TELLING = frozenset("class id role hidden aria-hidden".split())
+
 #: What markup says about a block.
 NO, MAYBE, YES = 0, 1, 2
 
 
 def _is_boiler(attributes: str, in_main: bool = False) -> bool:
     for name, value in _ATTR.findall(attributes):
-        value = value.strip("\"'")
         name = name.lower()
+        if name not in _TELLING:
+            continue
+        value = value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
             return True
         if name == "role" and value.lower() in _ROLES:
@@ -101,7 +107,7 @@ def _is_boiler(attributes: str, in_main: bool = False) -> bool:
 
 
 def blocks(page: str) -> list[tuple[int, str]]:
-    """(verdict of the markup, text) of each block that has text, in page order."""
+    """(verdict of the markup, text) of each block that has text, in page order, without those of skipped elements."""
     out: list[tuple[int, str]] = []
     stack: list[tuple[str, int, bool]] = []  # name, verdict inside, whether this element set it
     state, pieces, at, n = MAYBE, [], 0, len(page)
@@ -126,10 +132,10 @@ def blocks(page: str) -> list[tuple[int, str]]:
         if skipped >= 0 and stack[-1][0] == "head" and page[at : m.start() if m else n].strip():
             resume()
         if m is None:
-            if state != NO:
+            if skipped < 0:
                 pieces.append(page[at:])
             break
-        if state != NO and m.start() > at:
+        if skipped < 0 and m.start() > at:
             pieces.append(page[at : m.start()])
         at = m.end()
         name = m[2]
@@ -153,7 +159,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                     break
             continue
         if name == "br":
-            pieces.append(" ") if state != NO else None
+            pieces.append(" ") if skipped < 0 else None
             continue
         if skipped >= 0 and stack[-1][0] == "head" and name not in _IN_HEAD:
             resume()
@@ -180,7 +186,7 @@ def blocks(page: str) -> list[tuple[int, str]]:
                 inside = YES
             elif name in _BOILER and not (name == "header" and in_main):
                 inside = NO
-            if attributes and name not in ("html", "body", "article", "main") and _is_boiler(attributes, in_main):
+            if attributes and name not in ("html", "body", "main") and _is_boiler(attributes, in_main or name == "article"):
                 inside = NO
         if inside != state:
             flush()
@@ -279,8 +285,8 @@ def run_hashes(tokens: np.ndarray, least: int = REPEAT_TOKENS) -> np.ndarray:
     return out.view(np.int64)
 
 
-def run_counts(streams: list[list[str]], least: int = REPEAT_TOKENS) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the runs of ``least`` tokens in some pages' streams, once each, and on how many of the pages each is found."""
+def run_counts(streams: list[list[str]], least: int = REPEAT_TOKENS, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the runs of ``least`` tokens in some pages' streams, once each, and on how many of the pages, by their weights, each is found."""
     if not any(len(s) >= least for s in streams):
         return np.zeros(0, np.int64), np.zeros(0, np.int64)
     hashes = _token_hashes(streams)
@@ -291,6 +297,8 @@ def run_counts(streams: list[list[str]], least: int = REPEAT_TOKENS) -> tuple[np
     run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(order))))[whole]
     pairs = np.unique(np.stack([run, page[order][whole]]), axis=1)
     _, first, pages = np.unique(pairs[0], return_index=True, return_counts=True)
+    if weight is not None:
+        pages = np.add.reduceat(np.asarray(weight, np.int64)[pairs[1]], first)
     at = np.full(len(starts), -1)
     at[run] = order[whole]
     joined = run_hashes(np.concatenate([np.append(h, np.uint64(0)) for h in hashes]), least)
@@ -305,14 +313,22 @@ def common_tokens(blocks: Iterable[list[str]], common: np.ndarray, least: int =
 
 
 def keep_unique(pages: Iterable[list[str]], common: np.ndarray, least: int = REPEAT_TOKENS) -> list[list[str]]:
-    """The undecided blocks of pages without the tokens that lie in a run whose hash is in ``common``."""
+    """The undecided blocks of pages without the tokens that lie in a run whose hash is in ``common``.
+
+    A block goes whole or loses stretches of at least ``least`` tokens: what a run reaches over from
+    the block before or after is not boilerplate for that.
+    """
     out = []
     for p, covered in common_tokens(pages, common, least):
         kept, at = [], 0
         for b in p:
-            rest = [t for t, c in zip(b, covered[at : at + len(b)], strict=True) if not c]
+            own = covered[at : at + len(b)]
             at += len(b)
-            kept.append(" ".join(rest))
+            edge = np.flatnonzero(np.diff(np.concatenate(([0], own.view(np.int8), [0]))))
+            gone = [(i, j) for i, j in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True) if j - i >= least or j - i == len(b)]
+            for i, j in reversed(gone):
+                del b[i:j]
+            kept.append(" ".join(b))
         out.append(kept)
     return out
 
@@ -323,55 +339,72 @@ def extract(pages: DataFrame, least: int = REPEAT_TOKENS, pages_per_array: int =
     ship(spark)
     kind = pages.schema["page_id"].dataType.simpleString()
 
-    def read(batches: Iterator[pa.RecordBatch], marked: bool) -> Iterator[pa.RecordBatch]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """What lies outside articles: of pages without one (``open``) the undecided blocks, of others all such."""
+        for batch in batches:
+            for start in range(0, batch.num_rows, 512):
+                part = batch.slice(start, 512)
+                found = [blocks(page) if page else [] for page in part.column(3).to_pylist()]
+                article = ["\n".join(b for v, b in f if v == YES) for f in found]
+                own = [[b for v, b in f if (v == MAYBE if not a else v != YES)] for f, a in zip(found, article, strict=True)]
+                marked = [[b for v, b in f if v == NO] if not a else [] for f, a in zip(found, article, strict=True)]
+                names = [hashlib.sha256((a or "\n".join(o)).encode("utf-8", "surrogatepass")).hexdigest() for a, o in zip(article, own, strict=True)]
+                text = pa.list_(pa.string())
+                columns = [part.column(0), part.column(1), part.column(2), pa.array([not a for a in article]), pa.array(own, text), pa.array(marked, text), pa.array(names)]
+                yield pa.RecordBatch.from_arrays(columns, names=["page_id", "url", "host", "open", "blocks", "marked", "layout"])
+
+    def articles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, batch.num_rows, 512):
                 part = batch.slice(start, 512)
-                found = [blocks(page) if page else [] for page in part.column(2).to_pylist()]
-                if marked:
-                    sure = [[b for v, b in f if v == YES] or [b for _, b in f] for f in found]
-                    texts = pa.array(["\n".join(f) for f in sure], pa.string())
-                else:
-                    texts = pa.array([[b for _, b in f] for f in found], pa.list_(pa.string()))
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["page_id", "url", "text" if marked else "blocks"])
+                texts = pa.array(["\n".join(b for v, b in blocks(page) if v == YES) or None if page else None for page in part.column(2).to_pylist()], pa.string())
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), texts], names=["page_id", "url", "text"]).filter(texts.is_valid())
 
     def count(group: pd.DataFrame) -> pd.DataFrame:
-        once = group.drop_duplicates("stream")
-        streams = lambda of: [[t for b in bs for t in b.split(" ")] for bs in once["blocks"][of]]
-        runs, found = run_counts(streams(~once["copied"]), least)
-        copies, _ = run_counts(streams(once["copied"]), least)
-        rows = {"run": np.append(runs, copies), "pages": np.append(found, 0 * copies), "copied": np.repeat([False, True], [len(runs), len(copies)])}
-        return pd.DataFrame({"host": group["host"].iloc[0], "salt": group["salt"].iloc[0], **rows})
+        streams = lambda rows, of: [[t for b in bs for t in b.split(" ")] for bs in rows[of]]
+        pages, beside = group[group["open"]].drop_duplicates("stream"), group[~group["open"]]
+        runs, found = run_counts(streams(pages[~pages["copied"]], "blocks"), least)
+        copies, _ = run_counts(streams(pages[pages["copied"]], "blocks"), least)
+        known, on = run_counts(streams(beside, "blocks"), least, beside["pages"].to_numpy())
+        rows = {"run": np.concatenate([runs, copies, known]), "pages": np.concatenate([found, 0 * copies, on]), "copied": np.repeat([False, True, False], [len(runs), len(copies), len(known)])}
+        return pd.DataFrame({"host": group["host"].iloc[0], "salt": group["salt"].iloc[0], "open": np.arange(len(rows["run"])) < len(runs) + len(copies), **rows})
 
     def find_copies(group: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
         found = [c.mean() >= COPY_SHARE for _, c in common_tokens(group["blocks"], common["run"].to_numpy(np.int64), least)]
-        return group.assign(copied=found)
+        return group.assign(copied=group["open"] & np.array(found, bool))
 
     def settle(group: pd.DataFrame, common: pd.DataFrame) -> pd.DataFrame:
+        group = group[group["open"]]
         kept = keep_unique(group["blocks"], common["run"].to_numpy(np.int64), least)
         return pd.DataFrame({"host": group["host"], "layout": group["layout"], "text": ["\n".join(b for b in bs if b) for bs in kept]})
 
     def with_common(distinct: DataFrame, then: Callable, schema: StructType | str) -> DataFrame:
         """``then`` on each salt's pages and those of its runs that are boilerplate on the host."""
-        counts = cut(distinct.groupBy("host", "salt").applyInPandas(count, "host string, salt long, run long, pages long, copied boolean"))
-        sizes = cut(distinct.groupBy("host").agg((F.count_distinct(F.when(~F.col("copied"), F.col("stream"))) + F.max(F.col("copied").cast("int"))).alias("n")))
+        counts = scratch.keep(distinct.groupBy("host", "salt").applyInPandas(count, "host string, salt long, open boolean, run long, pages long, copied boolean"))
+        sizes = scratch.keep(distinct.where("open").groupBy("host").agg((F.count_distinct(F.when(~F.col("copied"), F.col("stream"))) + F.max(F.col("copied").cast("int"))).alias("n")))
         found = counts.groupBy("host", "run").agg((F.sum("pages") + F.max(F.col("copied").cast("int"))).alias("pages"))
         need = F.greatest(F.lit(2), F.ceil(F.col("n") * SHARE), F.least(F.floor(F.col("n") / 2) + 1, F.lit(LEAST_PAGES)))
         common = found.join(side(sizes, sizes.count()), "host").where(F.col("pages") >= need).select("host", "run")
-        held = counts.select("host", "salt", "run").join(common, ["host", "run"])
+        held = counts.where("open").select("host", "salt", "run").join(common, ["host", "run"])
         return distinct.groupBy("host", "salt").cogroup(held.groupBy("host", "salt")).applyInPandas(then, schema)
 
-    rows = pages.select("page_id", "url", "html")
-    marked = F.coalesce(F.regexp_like("html", F.lit(r"(?i)<(?:article|main)[\s/>]")), F.lit(True))
-    done = rows.where(marked).mapInArrow(lambda it: read(it, True), f"page_id {kind}, url string, text string")
-    open_ = rows.where(~marked).mapInArrow(lambda it: read(it, False), f"page_id {kind}, url string, blocks array<string>")
-    open_ = cut(open_.withColumn("host", host_of(F.col("url"))).withColumn("layout", F.sha2(F.array_join("blocks", "\n"), 256)))
+    scratch = Scratch(spark)
+    rows = pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html")
+    outside = scratch.keep(rows.mapInArrow(read, f"page_id {kind}, url string, host string, open boolean, blocks array<string>, marked array<string>, layout string"))
     # Copies of a page are one page here, and get its text at the end.
-    distinct = open_.where(F.size("blocks") > 0).groupBy("host", "layout").agg(F.first("blocks").alias("blocks"))
-    distinct = cut(distinct.withColumn("stream", F.sha2(F.array_join("blocks", " "), 256)).withColumn("copied", F.lit(False)))
-    host_sizes = cut(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
+    stream = F.sha2(F.array_join("blocks", " "), 256)
+    silent = outside.where("open").where(F.size("blocks") > 0).groupBy("host", "layout").agg(F.first("blocks").alias("blocks"))
+    silent = silent.select("host", "layout", "blocks", stream.alias("stream"), F.lit(1).cast("long").alias("pages"), F.lit(True).alias("open"))
+    beside = outside.select("host", "layout", F.when(F.col("open"), F.col("marked")).otherwise(F.col("blocks")).alias("blocks")).where(F.size("blocks") > 0)
+    beside = beside.groupBy("host", stream.alias("stream")).agg(F.first("blocks").alias("blocks"), F.count_distinct("layout").alias("pages"))
+    beside = beside.select("host", F.lit("").alias("layout"), "blocks", "stream", "pages", F.lit(False).alias("open"))
+    # Only hosts with pages that mark no article have something to decide.
+    hosts = silent.select("host").distinct()
+    distinct = scratch.keep(silent.unionByName(beside.join(hosts, "host", "left_semi")).withColumn("copied", F.lit(False)))
+    host_sizes = scratch.keep(distinct.groupBy("host").agg(F.count(F.lit(1)).alias("n")))
     salted = distinct.join(side(host_sizes, host_sizes.count()), "host").withColumn("salt", F.pmod(F.xxhash64("stream"), F.ceil(F.col("n") / pages_per_array))).drop("n")
-    salted = cut(with_common(salted, find_copies, salted.schema))
-    texts = with_common(salted, settle, "host string, layout string, text string")
-    settled = open_.join(texts, ["host", "layout"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    salted = scratch.keep(with_common(salted, find_copies, salted.schema))
+    texts = scratch.keep(with_common(salted, settle, "host string, layout string, text string"))
+    settled = outside.where("open").join(texts, ["host", "layout"], "left").select("page_id", "url", F.coalesce("text", F.lit("")).alias("text"))
+    done = pages.select("page_id", "url", "html").mapInArrow(articles, f"page_id {kind}, url string, text string")
     return done.unionByName(settled).withColumn("n_chars", F.length("text").cast("long"))

@@ -230,6 +230,46 @@ def test_fingerprints(spark, odd):
     assert fingerprint.fingerprint_edits(odd.limit(0)).count() == 0
 
 
+def test_fingerprints_follow_each_other_over_many_ranges(spark):
+    """The next document is the next over all ranges, with clustered, repeated, negative and null ids."""
+    rng = random.Random(4)
+    ids = [rng.choice([rng.randrange(50), 10**12 + rng.randrange(3000), -rng.randrange(10**6)]) for _ in range(1500)]
+    ids += list(range(5000, 5800)) + [None] * 30
+    rows = [(i, f"text {k}") for k, i in enumerate(ids)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for size in (256, 3):
+        out = fingerprint.with_next(docs, "doc_id", "text", ["doc_id", "text"], rows_per_range=size).collect()
+        after = {r["text"]: (r["next_doc_id"], r["next_text"]) for r in out}
+        assert len(out) == len(rows) and sorted(t for _, t in after.values()) == sorted(t for _, t in rows)
+        keyed = sorted((i for i in ids if i is not None), reverse=True)
+        of = {t: i for i, t in rows}
+        assert all(n is None or of[t] is None or n <= of[t] or n == keyed[0] for t, (n, _) in after.items())
+        walk, t = set(), rows[0][1]
+        while t not in walk:
+            walk.add(t)
+            t = after[t][1]
+        assert len(walk) == len(rows)  # one cycle goes through all rows
+
+
+def test_fingerprints_merge_and_contain(spark):
+    """Sketches of parts merge into that of both, at any fraction; containment is of the shingles'."""
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(3000)]
+    rows = [(" ".join(rng.choices(words, k=n)), " ".join(rng.choices(words, k=m))) for n, m in ((0, 50), (3, 900), (200, 200), (40, 4000))]
+    rows += [(" ".join(words[10:200]), " ".join(words)), (" ".join(words[:900]), " ".join(words[300:]))]
+    for scale in (1, 4):
+        df = spark.createDataFrame(rows, "a string, b string")
+        for c in ("a", "b"):
+            df = fingerprint.with_sketch(df, c, f"{c}_s", scale)
+        out = df.select("a", "b", "a_s", "b_s", fingerprint.merge(F.col("a_s"), F.col("b_s")).alias("m"), fingerprint.containment(F.col("a_s"), F.col("b_s")).alias("c")).collect()
+        for r in out:
+            assert r["m"] == sorted(set(r["a_s"]) | set(r["b_s"]))
+            assert all(h <= fingerprint.threshold(scale) for h in r["m"])
+            a, b = _shingles(r["a"]), _shingles(r["b"])
+            true = len(a & b) / len(a) if a else 1.0
+            assert r["c"] == true if scale == 1 else not r["a_s"] or abs(r["c"] - true) < 0.2
+
+
 def test_fingerprint_likeness_is_the_jaccard_of_shingles(spark):
     rng = random.Random(8)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randrange(0, 14))) for _ in range(200)]

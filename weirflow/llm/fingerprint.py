@@ -72,23 +72,32 @@ def as_text(sketch: Column) -> Column:
 
 # --- the next row in a global order, without one partition holding everything ---------------
 
-#: Cut points taken from the order column's distribution, and ranges made inside each.
-QUANTILES, MOST_RANGES = 64, 64
+#: Cut points taken from the order column's distribution: at most so many, in so many groups; and ranges made inside each.
+QUANTILES, GROUPS, MOST_RANGES = 4096, 64, 64
 
 
 def _position(order: Column, text: Column, bounds: list[int], ranges: int) -> Column:
     """The number of a row's range in descending order; rows without a key come last, by hash."""
+    width = -(-max(1, len(bounds) - 1) // GROUPS)
+    groups = [bounds[i : i + width + 1] for i in range(0, max(1, len(bounds) - 1), width)]
 
-    def search(lo: int, hi: int) -> Column:
+    def group_of(lo: int, hi: int) -> Column:
         if lo == hi:
-            a, b = bounds[lo], bounds[lo + 1]
-            step = F.floor((order.cast("double") - a) * ranges / max(1, b - a)).cast("int")
-            return F.lit(lo * ranges) + F.least(F.greatest(step, F.lit(0)), F.lit(ranges - 1))
+            return F.lit(lo)
         mid = (lo + hi + 1) // 2
-        return F.when(order < bounds[mid], search(lo, mid - 1)).otherwise(search(mid, hi))
+        return F.when(order < groups[mid][0], group_of(lo, mid - 1)).otherwise(group_of(mid, hi))
 
     top = (len(bounds) - 1) * ranges
-    keyed = F.lit(top) - search(0, len(bounds) - 2) if len(bounds) > 1 else F.lit(0)
+    if len(bounds) > 1:
+        group = group_of(0, len(groups) - 1)
+        own = F.element_at(F.array(*[F.array(*[F.lit(b) for b in g]) for g in groups]), group + 1)
+        # Bounds of the group that are not above the key; the last bound of all closes the last range.
+        inside = F.least(F.greatest(F.size(F.filter(own, lambda b: b <= order)), F.lit(1)), F.size(own) - 1)
+        low, high = F.element_at(own, inside), F.element_at(own, inside + 1)
+        step = F.floor((order.cast("double") - low) * ranges / (high - low)).cast("int")
+        keyed = F.lit(top) - ((group * width + inside - 1) * ranges + F.least(F.greatest(step, F.lit(0)), F.lit(ranges - 1)))
+    else:
+        keyed = F.lit(0)
     by_hash = F.lit(top + 1) + F.shiftrightunsigned(F.xxhash64(text), 58).cast("int")
     return F.when(order.isNull(), by_hash).otherwise(keyed).cast("int")
 
@@ -97,20 +106,21 @@ def with_next(df: DataFrame, order: str, text: str, carry: list[str], prepare: C
     """Adds ``next_<c>`` for each carried column: its value in the next row by descending ``order``, and after the last row in the first.
 
     Rows are dealt into ranges of the order column, each range is ordered by itself,
-    and the first row of every range is also given to the range before it. Ranges are at
+    and the first row of every range is also given to the range before it. Ranges follow the number of
+    rows: quantiles of the order column and, beyond those, equal steps between them, at
     most ``QUANTILES * MOST_RANGES + 64``, which bounds the table of first rows.
     ``prepare`` adds columns to be carried; it runs once a row, before the shuffle.
     """
-    keys = df.agg(
-        F.percentile_approx(order, [i / QUANTILES for i in range(QUANTILES + 1)], 10_000).alias("q"), F.count(F.lit(1)).alias("n"), F.count_if(F.col(order).isNull()).alias("nulls")
-    ).first()
-    bounds = sorted(set(keys["q"] or []))
+    held = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(order).isNull()).alias("nulls")).first()
+    cuts = min(QUANTILES, max(1, held["n"] // rows_per_range))
+    quantiles = df.agg(F.percentile_approx(order, [i / cuts for i in range(cuts + 1)], 10 * max(1000, cuts)).alias("q")).first()["q"]
+    bounds = sorted(set(quantiles or []))
     if len(bounds) == 1:
         bounds.append(bounds[0] + 1)
-    ranges = min(MOST_RANGES, max(1, -(-keys["n"] // (QUANTILES * rows_per_range))))
+    ranges = min(MOST_RANGES, max(1, held["n"] // (QUANTILES * rows_per_range)))
     placed = df.withColumn("__range", _position(F.col(order), F.col(text), bounds, ranges))
     sort = [F.col(order).desc_nulls_last(), F.xxhash64(text), F.col(text)]
-    unkeyed = F.min(F.when(F.col(order).isNull(), F.xxhash64(text))) if keys["nulls"] else F.lit(None).cast("long")
+    unkeyed = F.min(F.when(F.col(order).isNull(), F.xxhash64(text))) if held["nulls"] else F.lit(None).cast("long")
     # The first key of every range: a few thousand rows at most, from the order column alone.
     firsts = placed.groupBy("__range").agg(F.max(order).alias("__top"), unkeyed.alias("__hash")).orderBy("__range").collect()
     before = {r["__range"]: firsts[i - 1]["__range"] for i, r in enumerate(firsts)}

@@ -113,6 +113,7 @@ def kernel(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.divide(raw_kernel(a, b), own, out=np.zeros(len(a), np.float32), where=own > 0)
 
 
+_STRIP = " .,;:!?\"'()[]{}<>|*_~`´“”‘’«»¡¿…-–—/\\#&%$@+="
 _SPELLED = re.compile(r"(?<!\S)(?:[^\W\d_][\s.\-_*]+){2,}[^\W\d_](?![^\s.,;:!?])")
 _RUNS = re.compile(r"[^\W\d_]+")
 
@@ -140,9 +141,15 @@ def windows(word: str) -> list[str]:
 
 def parts(token: str) -> list[tuple[str, bool]]:
     """What is compared of a token: (letters, whether they are the head of a longer word)."""
-    words = [token] if token.isalpha() else _RUNS.findall(token)
-    if len(words) > 1:
-        words.append("".join(words))
+    if token.isalpha():
+        n = len(token)
+        if n <= WINDOW:
+            return [(token, False), *((token[:k], True) for k in HEADS if k < n)] if n >= LETTERS else []
+        words = [token]
+    else:
+        words = _RUNS.findall(token)
+        if len(words) > 1:
+            words.append("".join(words))
     out = [(p, False) for w in words for p in windows(w) if len(p) >= LETTERS]
     return out + [(w[:n], True) for w in words for n in HEADS if len(w) > n]
 
@@ -152,21 +159,28 @@ class Landmarks:
     """Landmark words and the triples they have, with their normalised weights."""
 
     words: list[str]
-    alphabet: dict[str, int] = field(init=False)
+    alphabet: np.ndarray = field(init=False)
 
     def __post_init__(self) -> None:
-        self.size = np.array([len(w) for w in self.words])
-        self.alphabet = {c: i for i, c in enumerate(sorted({c for w in self.words for c in w}), 1)}
+        self.size = np.array([len(w) for w in self.words], np.int64)
+        self.alphabet = np.array(sorted({ord(c) for w in self.words for c in w}), np.int64)  # a letter is its place here, from 1
         base = len(self.alphabet) + 1
         table: dict[int, np.ndarray] = {}
         own = own_kernel(codes(self.words))
         for z, w in enumerate(self.words):
-            at = [self.alphabet[c] for c in w]
+            at = [int(np.searchsorted(self.alphabet, ord(c))) + 1 for c in w]
             for i, j, k in combinations(range(len(w)), 3):
                 row = table.setdefault((at[i] * base + at[j]) * base + at[k], np.zeros(len(self.words)))
                 row[z] += DECAY ** (k - i + 1) / np.sqrt(own[z])
         self.triples = np.array(sorted(table), np.int64)
-        self.weights = np.array([table[t] for t in self.triples.tolist()], np.float32).reshape(len(table), len(self.words))
+        weights = np.array([table[t] for t in self.triples.tolist()]).reshape(len(table), len(self.words))
+        has, self.landmark = np.nonzero(weights)  # the landmarks of each triple, end to end
+        self.weights = weights[has, self.landmark]
+        self.starts = np.searchsorted(has, np.arange(len(table) + 1))
+        self.direct = None
+        if 0 < base**3 <= CELLS:  # a table of all triples, unless letters are too many
+            self.direct = np.full(base**3, -1, np.int32)
+            self.direct[self.triples] = np.arange(len(self.triples))
 
     def near(self, found: Sequence[tuple[str, bool]]) -> np.ndarray:
         """Kernel values of parts with all landmarks; those of heads with longer landmarks are 0."""
@@ -176,25 +190,40 @@ class Landmarks:
             at = np.flatnonzero(length == n)
             i, j, k = np.array(list(combinations(range(n), 3))).T
             weight = (DECAY ** (k - i + 1)).astype(np.float32)
-            step = max(1, CELLS // max(len(i), len(self.triples)))
+            step = max(1, CELLS // 4 // len(i))
             for s in range(0, len(at), step):
                 some = at[s : s + step]
-                out[some] = self._dots([found[x][0] for x in some.tolist()], (i, j, k), weight)
+                rows, values = self._dots([found[x][0] for x in some.tolist()], (i, j, k), weight)
+                out[some[rows]] = values
         head = np.array([h for _, h in found])
         out[head[:, None] & (self.size[None, :] > length[:, None])] = 0
-        return out**POWER
-
-    def _dots(self, words: list[str], triple: tuple, weight: np.ndarray) -> np.ndarray:
-        get, n, base = self.alphabet.get, len(words[0]), len(self.alphabet) + 1
-        letters = np.array([[get(c, 0) for c in w] for w in words], np.int64)
+        np.square(out, out=out)
+        return np.square(out, out=out) if POWER == 4 else out ** (POWER / 2)
+
+    def _dots(self, words: list[str], triple: tuple, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Words that share a triple with a landmark, and their kernel values."""
+        n, base = len(words[0]), len(self.alphabet) + 1
+        code = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(-1, n).astype(np.int64)
+        letters = np.minimum(np.searchsorted(self.alphabet, code), len(self.alphabet) - 1)
+        letters = np.where(self.alphabet[letters] == code, letters + 1, 0)
         i, j, k = triple
-        code = (letters[:, i] * base + letters[:, j]) * base + letters[:, k]
-        place = np.minimum(np.searchsorted(self.triples, code), len(self.triples) - 1)
-        row, col = np.nonzero(self.triples[place] == code)
-        flat = np.bincount(row * len(self.triples) + place[row, col], weights=weight[col], minlength=len(words) * len(self.triples))
-        dots = flat.reshape(len(words), -1).astype(np.float32) @ self.weights
-        own = own_kernel(codes(words, n))
-        return dots / np.sqrt(np.maximum(own, 1e-30))[:, None]
+        wanted = (letters[:, i] * base + letters[:, j]) * base + letters[:, k]
+        if self.direct is not None:
+            place = self.direct[wanted]
+            row, col = np.nonzero(place >= 0)
+        else:
+            place = np.minimum(np.searchsorted(self.triples, wanted), len(self.triples) - 1)
+            row, col = np.nonzero(self.triples[place] == wanted)
+        if not len(row):
+            return row, np.zeros((0, len(self.words)), np.float32)
+        hit = place[row, col]
+        rows, at = np.unique(row, return_inverse=True)
+        many = self.starts[hit + 1] - self.starts[hit]
+        entry = np.arange(many.sum()) + np.repeat(self.starts[hit] - (np.cumsum(many) - many), many)
+        cell = np.repeat(at * len(self.words), many) + self.landmark[entry]
+        dots = np.bincount(cell, weights=np.repeat(weight[col], many) * self.weights[entry], minlength=len(rows) * len(self.words)).reshape(len(rows), -1)
+        own = own_kernel(code[rows].astype(np.int32))
+        return rows, (dots / np.sqrt(own)[:, None]).astype(np.float32)
 
 
 @dataclass
@@ -216,12 +245,13 @@ class Model:
 
 
 class Margins:
-    """Margins of texts, with those of words remembered."""
+    """Margins of texts, with those of words and their parts remembered."""
 
     def __init__(self, landmarks: Landmarks, weight: np.ndarray, bias: float, remembered: int = REMEMBERED) -> None:
         self.landmarks, self.weight, self.bias, self.remembered = landmarks, weight, bias, remembered
-        self.new: dict = {}
-        self.old: dict = {}
+        self.new: dict[str, float] = {}
+        self.old: dict[str, float] = {}
+        self.parts: dict[tuple[str, bool], float] = {}
 
     @classmethod
     def of(cls, model: Model) -> Margins:
@@ -233,32 +263,56 @@ class Margins:
         return np.concatenate([self.landmarks.near(found[s : s + 20_000]) @ self.weight + self.bias for s in range(0, len(found), 20_000)])
 
     def of_tokens(self, wanted: set[str]) -> dict[str, float]:
-        """Margins of tokens: the greatest of their parts'."""
-        out, new, split = {}, self.new, {}
-        unknown: dict[tuple[str, bool], None] = {}
+        """A table with the margins of these tokens, the greatest of their parts'; it holds until the next call."""
+        new, old = self.new, self.old
+        if len(new) > self.remembered:
+            self.old, self.new = new, {}
+            new, old = self.new, self.old
+        if len(self.parts) > self.remembered:
+            self.parts = {}
+        for t in self.transient:
+            old.pop(t, None)
+            new.pop(t, None)
+        bare: dict[str, None] = {}
+        alias = []
         for t in wanted:
-            v = new.get(t)
-            if v is None and (v := self.old.get(t)) is not None:
-                new[t] = v
+            if t in new:
+                continue
+            v = old.get(t)
             if v is not None:
-                out[t] = v
+                new[t] = v
                 continue
-            split[t] = own = parts(t)
+            w = t if t.isalpha() else t.strip(_STRIP)
+            if w != t:
+                alias.append((t, w))
+                if w in new:
+                    continue
+            bare[w] = None
+        index: dict[tuple[str, bool], int] = {}
+        place: list[int] = []
+        starts: list[int] = []
+        words: list[str] = []
+        for w in bare:
+            own = parts(w)
+            if not own:
+                new[w] = self.bias
+                continue
+            words.append(w)
+            starts.append(len(place))
             for p in own:
-                if p not in new:
-                    if p in self.old:
-                        new[p] = self.old[p]
-                    else:
-                        unknown[p] = None
-        fresh = list(unknown)
-        new.update(zip(fresh, self.of_parts(fresh).tolist(), strict=True))
-        for t, own in split.items():
-            out[t] = v = max((new[p] for p in own), default=self.bias)
-            if len(t) <= 3 * WINDOW:
-                new[t] = v
-        if len(new) > self.remembered:
-            self.old, self.new = new, {}
-        return out
+                place.append(index.setdefault(p, len(index)))
+        if words:
+            every = list(index)
+            values = np.array([self.parts.get(p, np.nan) for p in every])
+            fresh = np.flatnonzero(np.isnan(values))
+            values[fresh] = self.of_parts([every[i] for i in fresh.tolist()])
+            self.parts.update((every[i], values[i]) for i in fresh.tolist() if len(every[i][0]) < WINDOW)
+            new.update(zip(words, np.maximum.reduceat(values[place], starts).tolist(), strict=True))
+        new.update((t, new[w]) for t, w in alias)
+        self.transient = [t for t in (*words, *(t for t, _ in alias)) if len(t) > 3 * WINDOW]
+        return new
+
+    transient: Sequence[str] = ()
 
     def of_bags(self, bags: Sequence[set[str]]) -> np.ndarray:
         """For each bag of tokens: the greatest margin, the sum of the positive ones and, if there are any, the number of tokens, on a log scale."""
@@ -429,7 +483,8 @@ def fit(texts: Sequence[str], toxic: Sequence[int], most: int = LANDMARKS, penal
             if not c:
                 own += rng.sample(parts_of, min(2, len(parts_of)))
             else:
-                value = margins.of_tokens(split[i])
+                known = margins.of_tokens(split[i])
+                value = {t: known[t] for t in split[i]}
                 worst = max(value, key=lambda t: (value[t], t), default="")
                 if value and value[worst] > 0:
                     own += [next((s for s in parts_of if worst in s), {worst})]

@@ -66,7 +66,7 @@ NEAR_REPEAT = 0.8
 #: Clean words in the fit, copies of each telling word with a letter put in, and texts of a class in the logistic fit.
 CLEAN_WORDS, COPIES, CALIBRATE = 30_000, 12, 500
 #: Words whose margins are remembered in a worker, by generation.
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Pairs of words in one vectorised step, and cells of a table of triples.
 PAIRS, CELLS = 40_000, 4 << 20
 
@@ -344,41 +344,51 @@ def _contexts(texts: Sequence[str], wanted: set[str]) -> Counter:
     return Counter({w: len(c) for w, c in found.items()})
 
 
-def telling_parts(texts: Sequence[set[str]], toxic: np.ndarray, whole_texts: Sequence[str]) -> tuple[dict[str, tuple[int, int]], list[str]]:
-    """Parts that tell the classes apart, most telling first, with how many toxic and clean texts have them; and parts that are no more toxic than any.
+def telling_parts(texts: Sequence[str], toxic: np.ndarray, rng: random.Random) -> tuple[dict[str, tuple[int, int]], list[str]]:
+    """Parts that tell the classes apart, most telling first, with how many toxic and clean texts have them; and some parts that are no more toxic than any.
 
     Copies of a text are no further evidence: a part counts for no more texts than it has different neighbours.
     """
-    seen: Counter[str] = Counter()
-    bad: Counter[str] = Counter()
+    number: dict[str, int] = {}  # of each part
+    known: dict[str, np.ndarray] = {}  # the parts of each token
+    seen, bad = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
     for t, y in zip(texts, toxic, strict=True):
-        own = {p for w in t for p, _ in parts(w)}
-        seen.update(own)
+        lists = []
+        for w in tokens(t):
+            own = known.get(w)
+            if own is None:
+                own = known[w] = np.array([number.setdefault(p, len(number)) for p, _ in parts(w)], np.int32)
+            lists.append(own)
+        while len(number) > len(seen):
+            seen, bad = np.append(seen, np.zeros_like(seen)), np.append(bad, np.zeros_like(bad))
+        own = np.unique(np.concatenate(lists)) if lists else np.zeros(0, np.int32)
+        seen[own] += 1
         if y:
-            bad.update(own)
+            bad[own] += 1
+    del known
+    seen, bad = seen[: len(number)].astype(float), bad[: len(number)].astype(float)
     share = float(np.clip(toxic.mean(), 1e-9, 1 - 1e-9))
-
-    def telling(w: str) -> float:
-        """How unlikely so large a share of toxic texts is for a word of no account, in nats."""
-        n, p = seen[w], bad[w] / seen[w]
-        if p <= share:
-            return 0.0
-        return n * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0.0))
-
-    sure = 1.2 * np.log(max(1, len(seen)))  # as many words are tried, some stand out by chance
-    ranked = sorted(((telling(w), w) for w in bad if bad[w] >= 2 and bad[w] > seen[w] * max(LEAST_SHARE, share)), key=lambda x: (-x[0], -len(x[1]), x[1]))
+    # How unlikely so large a share of toxic texts is for a part of no account, in nats.
+    p = bad / np.maximum(seen, 1)
+    value = seen * (p * np.log(np.maximum(p, 1e-12) / share) + (1 - p) * np.log(np.maximum(1 - p, 1e-12) / (1 - share)))
+    sure = 1.2 * np.log(max(1, len(number)))  # as many parts are tried, some stand out by chance
+    names = list(number)
+    likely = np.flatnonzero((bad >= 2) & (bad > seen * max(LEAST_SHARE, share)))
+    ranked = sorted(((value[i], names[i], i) for i in likely.tolist()), key=lambda x: (-x[0], -len(x[1]), x[1]))
     ranked = [x for x in ranked if x[0] >= sure] or ranked[:FEW_LANDMARKS]
-    places = _contexts([t for t, y in zip(whole_texts, toxic, strict=True) if y], {w for _, w in ranked})
-    known = [w for value, w in ranked if value * min(1.0, (places[w] or bad[w]) / bad[w]) >= sure]
-    if len(known) < 3:  # too few labels to be sure of any
-        known = [w for _, w in ranked[:FEW_LANDMARKS]]
-    found = {w: (bad[w], seen[w] - bad[w]) for w in known}
+    places = _contexts([t for t, y in zip(texts, toxic, strict=True) if y], {w for _, w, _ in ranked})
+    chosen = [(w, i) for v, w, i in ranked if v * min(1.0, (places[w] or bad[i]) / bad[i]) >= sure]
+    if len(chosen) < 3:  # too few labels to be sure of any
+        chosen = [(w, i) for _, w, i in ranked[:FEW_LANDMARKS]]
+    found = {w: (int(bad[i]), int(seen[i] - bad[i])) for w, i in chosen}
     # Of a word and its head, the head stays if it is found in more toxic texts (a stem), else the word.
     for w in sorted(found, key=len, reverse=True):
         for n in HEADS:
             if n < len(w) and w in found and w[:n] in found:
                 del found[w if found[w[:n]][0] > 1.05 * found[w][0] else w[:n]]
-    return found, sorted(w for w in seen if bad[w] <= seen[w] * share and not any(w == x[: len(w)] for x in found))
+    clean = np.flatnonzero(bad <= seen * share).tolist()
+    some = (names[i] for i in rng.sample(clean, min(2 * CLEAN_WORDS, len(clean))))
+    return found, [w for w in some if not any(w == x[: len(w)] for x in found)][:CLEAN_WORDS]
 
 
 def _apart(telling: Sequence[str], most: int) -> list[str]:
@@ -446,14 +456,11 @@ def _sentences(text: str) -> list[set[str]]:
 def fit(texts: Sequence[str], toxic: Sequence[int], most: int = LANDMARKS, penalty: float = 1e-4) -> Model:
     """The machine for labelled texts."""
     y = np.asarray(toxic, bool)
-    split = [tokens(t) for t in texts]
-    telling, clean = telling_parts(split, y, texts) if len(y) and y.any() and not y.all() else ({}, [])
+    rng = random.Random(5)
+    telling, clean = telling_parts(texts, y, rng) if len(y) and y.any() and not y.all() else ({}, [])
     if not telling or not clean:
         return Model.constant(y.mean() if len(y) else 0.0)
-    rng = random.Random(5)
     stems = _apart(list(telling), most)
-    rng.shuffle(clean)
-    clean = clean[:CLEAN_WORDS]
     nearest = np.concatenate([Landmarks(stems).near([(w, False) for w in clean[s : s + 5000]]).max(1) for s in range(0, len(clean), 5000)])
     hard = [clean[i] for i in np.argsort(-nearest, kind="stable")]
     landmarks = Landmarks(stems + hard[:NEAR_CLEAN] + [w for w in clean[:OTHER_CLEAN] if w not in hard[:NEAR_CLEAN]])
@@ -478,13 +485,14 @@ def fit(texts: Sequence[str], toxic: Sequence[int], most: int = LANDMARKS, penal
     for c in (True, False):
         of = np.flatnonzero(y == c)[:CALIBRATE].tolist()
         for i in of:
-            own = [split[i]]
+            bag = tokens(texts[i])
+            own = [bag]
             parts_of = _sentences(texts[i])
             if not c:
                 own += rng.sample(parts_of, min(2, len(parts_of)))
             else:
-                known = margins.of_tokens(split[i])
-                value = {t: known[t] for t in split[i]}
+                known = margins.of_tokens(bag)
+                value = {t: known[t] for t in bag}
                 worst = max(value, key=lambda t: (value[t], t), default="")
                 if value and value[worst] > 0:
                     own += [next((s for s in parts_of if worst in s), {worst})]

@@ -130,20 +130,67 @@ def test_store_and_resources():
     assert order == [1, 2, -2, -1] and r.health() == "healthy"
 
 
-def test_live_windows_equal_replay_and_go_on_after_a_restart(spark, tmp_path):
+@pytest.mark.parametrize("policy", ["skip", "fail_fast", 1])
+@pytest.mark.parametrize("kind", ["count", "duration"])
+def test_live_windows_equal_replay_and_go_on_after_a_restart(spark, tmp_path, kind, policy):
+    """Two runs over the two halves of the events flush what one replay of all flushes, the tail included."""
     from pyspark.sql import functions as F
 
+    from weirflow.flow.stages import Count, Duration
+    from weirflow.functions.clock import micros
     from weirflow.operators import streams
     from weirflow.sources.tables import event_stream
     from weirflow.streaming import live
 
-    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("user_id < 5").orderBy("event_id")
+    day = 86_400_000_000
+    src = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("user_id < 5").withColumn("value", F.when(F.col("event_id") % 7 > 0, F.col("value"))).orderBy("event_id")
     half = src.approxQuantile("event_id", [0.5], 0.0)[0]
     path = [str(tmp_path / x) for x in ("in", "out", "cp")]
-    for k, part in enumerate((src.where(F.col("event_id") <= half), src.where(F.col("event_id") > half))):
+    for part in (src.where(F.col("event_id") <= half), src.where(F.col("event_id") > half)):
         part.coalesce(1).write.mode("append").parquet(path[0])
-        live.drain(live.count_windows(event_stream(spark, path[0]), "user_id", "event_id", "value", 3), path[1], path[2])
-    s = streams.Stream(src, "user_id", "event_id", F.col("event_type") != "error")
-    want = streams.flush(streams.count_windows(s, 3), s, "value").where("n = 3").select("user_id", "window", "max_value", "cursor")
-    got = spark.read.parquet(path[1]).select("user_id", "window", "max_value", "cursor")
-    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+        items = event_stream(spark, path[0]).withColumn("us", micros("ts"))
+        window = Count(3) if kind == "count" else Duration(day / 1e6)
+        live.drain(live.windows(items, "user_id", "event_id", "value", window, policy, "us"), path[1], path[2])
+    got = spark.read.parquet(path[1]).unionByName(live.tail(spark, path[2], "user_id"))
+    s = streams.Stream(src.withColumn("us", micros("ts")), "user_id", "event_id", F.col("event_type") != "error")
+    if policy != "skip":  # a key ends at its failure, and its open window is lost
+        ends = streams.error_budget(s, 0 if policy == "fail_fast" else 1).select("user_id", "failed_at")
+        s = streams.Stream(s.df.join(ends, "user_id").where(F.col("failed_at").isNull() | (F.col("event_id") < F.col("failed_at"))), "user_id", "event_id", s.ok)
+        first = src.groupBy("user_id").agg(F.min(micros("ts")).alias("first"))
+        s = streams.Stream(s.df.join(first, "user_id"), "user_id", "event_id", s.ok)
+    flushed = streams.count_windows(s, 3) if kind == "count" else streams.duration_windows(s, F.col("us"), day)
+    want = streams.flush(flushed, s, "value")
+    if policy != "skip":
+        last = want.groupBy("user_id").agg(F.max("window").alias("last"))
+        want = want.join(last, "user_id").join(ends, "user_id").where(F.col("failed_at").isNull() | (F.col("n") == 3 if kind == "count" else F.col("window") < F.col("last"))).select(*want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_greatest_value_ignores_nulls_and_puts_nan_first():
+    import math
+
+    from weirflow.streaming.live import greater
+
+    assert greater(None, 1.0) == 1.0 and greater(2.0, None) == 2.0 and greater(None, None) is None
+    assert math.isnan(greater(float("nan"), 1.0)) and math.isnan(greater(1.0, float("nan")))
+
+
+def test_inserting_twice_adds_nothing(spark, tmp_path):
+    from weirflow.sources.tables import insert_new
+
+    path, schema = str(tmp_path / "t"), "w string, a string, amount long"
+    rows = spark.createDataFrame([("x", "a", 1), ("x", "a", 2), ("x", None, 3), (None, None, 4)], schema)
+    assert insert_new(None, rows, ["w", "a"], path) == 3
+    more = rows.unionByName(spark.createDataFrame([("y", None, 5)], schema))
+    assert insert_new(spark.read.parquet(path), more, ["w", "a"], path) == 1
+    assert insert_new(spark.read.parquet(path), more, ["w", "a"], path) == 0
+    spark.catalog.refreshByPath(path)
+    assert spark.read.parquet(path).count() == 4
+
+
+def test_pages_behind_a_cursor(spark):
+    from weirflow.sources.tables import after
+
+    df = spark.range(10)
+    assert [r["id"] for r in after(df, "id", None, 3).collect()] == [0, 1, 2]
+    assert [r["id"] for r in after(df, "id", 7).collect()] == [8, 9]

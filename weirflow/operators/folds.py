@@ -9,32 +9,41 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from weirflow.plans.runtime import ship
 
 
 def fold(df: DataFrame, key: str, order: str, start: Callable[[], object], step: Callable, columns: list[str], schema: str) -> DataFrame:
-    """``step(state, *values)`` gives the new state and a tuple for ``schema`` after (key, order)."""
+    """``step(state, *values)`` gives the new state and a tuple for ``schema`` after (key, order).
+
+    Values arrive as Python values, with None for null; rows with a null key are one key.
+    """
     ship(df.sparkSession)
     types = dict(df.dtypes)
-    sorted_rows = df.select(key, order, *[c for c in columns if c not in (key, order)]).repartition(key).sortWithinPartitions(key, order)
-    names = [p.split()[0] for p in schema.split(",")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        state, current = None, object()
-        for part in batches:
+    values = [f"__v{i}" for i in range(len(columns))]
+    picked = df.select(df[key].alias(key), df[order].alias(order), *[df[c].alias(v) for c, v in zip(columns, values, strict=True)])
+    sorted_rows = picked.repartition(key).sortWithinPartitions(key, order)
+    made = to_arrow_schema(StructType.fromDDL(schema))
+    nobody = object()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state, current = None, nobody
+        for batch in batches:
             out = []
-            for row in zip(part[key], part[order], *[part[c] for c in columns], strict=True):
-                if row[0] != current:
+            keys, *rest = [batch.column(i).to_pylist() for i in (0, *range(2, batch.num_columns))]
+            for row in zip(keys, *rest, strict=True):
+                if current is nobody or row[0] != current:
                     state, current = start(), row[0]
-                state, emitted = step(state, *row[2:])
+                state, emitted = step(state, *row[1:])
                 out.append(emitted)
-            made = pd.DataFrame(out, columns=names, index=part.index)
-            yield pd.concat([part[[key, order]], made], axis=1)
+            columns_out = [pa.array([o[i] for o in out], f.type) for i, f in enumerate(made)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns_out], names=[key, order, *made.names])
 
-    return sorted_rows.mapInPandas(run, f"{key} {types[key]}, {order} {types[order]}, {schema}")
+    return sorted_rows.mapInArrow(run, f"`{key}` {types[key]}, `{order}` {types[order]}, {schema}")
 
 
 # --- circuit breaker ---------------------------------------------------------------------
@@ -42,20 +51,24 @@ def fold(df: DataFrame, key: str, order: str, start: Callable[[], object], step:
 CLOSED, OPEN, HALF_OPEN = "closed", "open", "half_open"
 
 
-def breaker_step(threshold: int, cooldown: int):
-    """Sequential calls: (state, failures, opened_at); a half-open breaker lets one trial through."""
+def breaker_step(threshold: int, cooldown: int, trials: int = 1):
+    """Sequential calls: (state, count, opened_at), where the count is of failures in a row, or of trials won when half open.
+
+    A half-open breaker closes when all its trials are won and opens at the first that fails.
+    """
 
     def step(state, at: int, failed: bool):
-        mode, failures, opened = state
+        mode, count, opened = state
         if mode == OPEN:
             if at - opened < cooldown:
                 return state, (False, OPEN)
-            mode = HALF_OPEN
+            mode, count = HALF_OPEN, 0
         if failed:
-            failures += 1
-            if mode == HALF_OPEN or failures >= threshold:
+            if mode == HALF_OPEN or count + 1 >= threshold:
                 return (OPEN, 0, at), (True, OPEN)
-            return (CLOSED, failures, opened), (True, CLOSED)
+            return (CLOSED, count + 1, opened), (True, CLOSED)
+        if mode == HALF_OPEN and count + 1 < trials:
+            return (HALF_OPEN, count + 1, opened), (True, HALF_OPEN)
         return (CLOSED, 0, opened), (True, CLOSED)
 
     return step
@@ -123,6 +136,22 @@ def hysteresis_step(high: float, low: float):
     return step
 
 
+def mode_windows_step(high: float, low: float, calm: int, alert: int):
+    """Windows of ``calm`` items, and of ``alert`` items once a window's greatest value has reached ``high``, until one's stays down to ``low``.
+
+    The state is (alert, window, items held, their greatest value); the window and its mode are emitted for each item.
+    """
+
+    def step(state, value: float):
+        on, window, held, top = state
+        if held >= (alert if on else calm):
+            on, window, held, top = (top > low if on else top >= high), window + 1, 0, None
+        top = value if top is None else max(top, value)
+        return (on, window, held + 1, top), (window, "alert" if on else "calm")
+
+    return step
+
+
 def negotiation_step(floor: int, rounds: int, hopeless: float):
     """Offers drop by each row's reduction until they fit the budget (deal) or are hopeless after many rounds."""
 

@@ -54,15 +54,43 @@ def flush(windows: DataFrame, s: Stream, value: str) -> DataFrame:
 
 
 def fail_fast(s: Stream, n: int) -> DataFrame:
-    """For each key, windows flushed before the first failed item, their cursor, and whether it failed."""
+    """For each key, windows flushed before the first failed item, their cursor, and whether it failed; one shuffle."""
     failed = F.sum((~s.ok).cast("int")).over(s.by_key(upto=True))
-    seen = s.df.withColumn("__failed", failed)
-    keys = seen.groupBy(s.key).agg(F.count_if(F.col("__failed") == 0).alias("good"), (F.max("__failed") > 0).alias("failed"))
-    before = Stream(seen.where("__failed = 0"), s.key, s.order, F.lit(True))
-    last = F.when(F.col("failed"), F.floor(F.col("good") / n)).otherwise(F.ceil(F.col("good") / n)).cast("long")
-    windows = count_windows(before, n).groupBy(s.key, "window").agg(F.max(s.order).alias("cursor"))
-    kept = windows.join(keys.withColumn("windows", last), s.key).where("window < windows").groupBy(s.key).agg(F.max("cursor").alias("cursor"))
-    return keys.withColumn("windows", last).join(kept, s.key, "left").select(s.key, "windows", "cursor", "failed")
+    seen = s.df.withColumn("__failed", failed).withColumn("__at", F.row_number().over(s.by_key()))
+    before, broken = F.col("__failed") == 0, F.max("__failed") > 0
+    good = F.count_if(before)
+    full, last = (F.max(F.when(c, F.col(s.order))) for c in (before & (F.col("__at") % n == 0), before))
+    return seen.groupBy(s.key).agg(
+        F.when(broken, F.floor(good / n)).otherwise(F.ceil(good / n)).cast("long").alias("windows"), F.when(broken, full).otherwise(last).alias("cursor"), broken.alias("failed")
+    )
+
+
+def skip_and_continue(s: Stream, n: int) -> DataFrame:
+    """For each key, windows flushed, items kept and items dropped."""
+    kept = F.count_if(s.ok)
+    return s.df.groupBy(s.key).agg(F.ceil(kept / n).cast("long").alias("windows"), kept.alias("kept"), F.count_if(~s.ok).alias("dropped"))
+
+
+def hysteresis(s: Stream, value: str, high: float, low: float) -> DataFrame:
+    """(key, order, mode): alert from ``high`` on, calm again from ``low`` down; the last value that decided holds."""
+    flips = F.when(F.col(value) >= high, True).when(F.col(value) <= low, False)
+    alert = F.coalesce(F.last(flips, ignorenulls=True).over(s.by_key(upto=True)), F.lit(False))
+    return s.df.select(s.key, s.order, F.when(alert, "alert").otherwise("calm").alias("mode"))
+
+
+def poll(s: Stream, ready: Column, most_errors: int) -> DataFrame:
+    """For each key, the polls until one is ready or more errors than allowed came in a row, and which it was.
+
+    A poll that is neither ready nor an error is pending and clears the errors in a row.
+    """
+    island = F.sum(s.ok.cast("int")).over(s.by_key(upto=True))
+    marked = s.df.withColumn("__at", F.row_number().over(s.by_key()).cast("long")).withColumn("__good", island)
+    streak = F.sum((~s.ok).cast("int")).over(Window.partitionBy(s.key, "__good").orderBy(s.order).rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ends = F.when(s.ok & ready, F.struct("__at", F.lit("ready").alias("outcome"), F.col(s.order).alias("ended_at"))).when(
+        streak > most_errors, F.struct("__at", F.lit("failed").alias("outcome"), F.col(s.order).alias("ended_at"))
+    )
+    first = marked.withColumn("__end", ends).groupBy(s.key).agg(F.min("__end").alias("e"), F.max("__at").alias("n"))
+    return first.select(s.key, F.coalesce("e.__at", "n").alias("polls"), F.coalesce("e.outcome", F.lit("pending")).alias("outcome"), F.col("e.ended_at").alias("ended_at"))
 
 
 def error_budget(s: Stream, most: int) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +25,26 @@ def after(df: DataFrame, order: str, cursor, limit: int | None = None) -> DataFr
     return rows.orderBy(order).limit(limit) if limit else rows
 
 
-def insert_new(target: DataFrame | None, rows: DataFrame, keys: list[str], path: str) -> None:
-    """Appends rows whose key is neither in the target nor twice among them."""
+def insert_new(target: DataFrame | None, rows: DataFrame, keys: list[str], path: str) -> int:
+    """Appends rows whose key is neither in the target nor twice among them, and gives how many; null is a key like any other.
+
+    The rows are written to a folder beside the table first and then moved in, so a failed insert adds none of them.
+    """
     fresh = rows.dropDuplicates(keys)
-    (fresh if target is None else fresh.join(target.select(*keys), keys, "left_anti")).write.mode("append").parquet(path)
+    if target is not None:
+        known = target.select(*[F.col(k).alias(f"__{k}") for k in keys]).distinct()
+        fresh = fresh.join(known, reduce(and_, (F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys)), "left_anti")
+    spark = rows.sparkSession
+    jvm = spark._jvm.org.apache.hadoop.fs
+    staged, into = jvm.Path(f"{path.rstrip('/')}__new-{uuid.uuid4().hex}"), jvm.Path(path)
+    fs = into.getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        fresh.write.parquet(staged.toString())
+        n = spark.read.schema(fresh.schema).parquet(staged.toString()).count()
+        fs.mkdirs(into)
+        for status in fs.listStatus(staged):
+            if status.getPath().getName().startswith("part-"):
+                fs.rename(status.getPath(), jvm.Path(into, status.getPath().getName()))
+    finally:
+        fs.delete(staged, True)
+    return n

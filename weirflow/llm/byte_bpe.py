@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import whole
+from weirflow.llm.common import take_over, whole
 from weirflow.plans.runtime import ship
 
 #: Words and matches whose ids are remembered, by generation, and the most characters of one.
@@ -286,6 +286,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weirflow.llm.token_counts import by_bytes
 
+        take_over("byte_bpe", _LOADED.clear)
         bpe = vocabulary(ranks, pattern)
         digits = bpe.digits.__getitem__
         for batch in batches:
@@ -308,6 +309,7 @@ def encode_ids(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
     doc_type = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("byte_bpe", _LOADED.clear)
         bpe = vocabulary(ranks, pattern)
         for batch in batches:
             ids = bpe.encode_many(batch.column(1).to_pylist())
@@ -322,6 +324,7 @@ def decode_ids(encoded: DataFrame, ranks: str, pattern: str) -> DataFrame:
     doc_type = encoded.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("byte_bpe", _LOADED.clear)
         bpe = vocabulary(ranks, pattern)
         for batch in batches:
             raw = [bpe.decode(i or ()) for i in batch.column(1).to_pylist()]

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +29,30 @@ def side(df: DataFrame, rows: int) -> DataFrame:
 def whole(text: Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(text, F.lit(""))
+
+
+# --- in Python workers -------------------------------------------------------------------------
+
+_HELD: dict[str, Callable[[], None]] = {}
+
+
+def trim() -> None:
+    """Gives freed memory back to the machine, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def take_over(owner: str, clear: Callable[[], None] = lambda: None) -> None:
+    """Called where an operator's task begins in a worker: what another operator remembered there is dropped.
+
+    Workers are reused from stage to stage, so that memory would stay taken while the next operator works.
+    """
+    others = [o for o in _HELD if o != owner]
+    for o in others:
+        _HELD.pop(o)()
+    _HELD[owner] = clear
+    if others:
+        trim()

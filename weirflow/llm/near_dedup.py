@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import whole
+from weirflow.llm.common import take_over, trim, whole
 from weirflow.plans.runtime import Scratch, ship
 
 #: Words in a shingle and the least similarity of near duplicates.
@@ -54,7 +54,7 @@ BLOCK_NODES, BLOCK_ELEMENTS = 1024, 1 << 21
 #: Nodes of a larger bucket that each of its blocks gets.
 CENTRES = 8
 #: Bytes of text hashed at once, and elements whose darts are thrown at once.
-BATCH_BYTES, THROWN = 2 << 20, 1 << 20
+BATCH_BYTES, THROWN = 1 << 20, 1 << 20
 #: Columns of a matrix product.
 COLUMNS = 2048
 
@@ -69,7 +69,7 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-@lru_cache(2)
+@lru_cache(1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of an odd number and of its inverse modulo 2^64."""
     with np.errstate(over="ignore"):
@@ -103,7 +103,7 @@ def shingles(data: np.ndarray, ends: np.ndarray, n: int = SHINGLE, short: bool =
     start, stop = np.flatnonzero(head), np.flatnonzero(tail) + 1
     if not len(start):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    up, back = _powers(1 << max(16, (size + 1).bit_length()))
+    up, back = _powers(1 << max(21, (size + 1).bit_length()))
     total = np.concatenate(([_U(0)], np.cumsum((data.astype(_U) + _U(1)) * up[:size], dtype=_U)))
     word = mixed((total[stop] - total[start]) * back[start] + (stop - start).astype(_U))
     doc = np.searchsorted(ends, start, side="right")
@@ -395,12 +395,14 @@ def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) ->
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weirflow.llm.token_counts import by_bytes
 
+        take_over("near_dedup", _powers.cache_clear)
         for batch in batches:
             for start, n in by_bytes(batch.column(2), BATCH_BYTES):
                 part = batch.slice(start, n)
                 found, mass = text_bands(part.column(2), weighted)
                 flat = pa.FixedSizeListArray.from_arrays(pa.array(found.ravel()), BANDS).cast(pa.list_(pa.int64()))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), flat, pa.array(mass)], names=["rid", "text_key", "bands", "mass"])
+        trim()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from weirflow.llm.token_counts import by_bytes
@@ -412,6 +414,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) ->
                 starts = np.concatenate(([0], ends))
                 packed = pa.array([element[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), packed], names=["node", "elements"])
+        trim()
 
     rows = scratch.keep(keyed.mapInArrow(read, "rid long, text_key string, bands array<long>, mass long"))
     once = rows.groupBy("text_key").agg(F.min("rid").alias("rid"), F.first("bands").alias("bands"), F.first("mass").alias("mass"))

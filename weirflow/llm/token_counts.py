@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import whole
+from weirflow.llm.common import take_over, whole
 from weirflow.plans.runtime import ship
 
 #: Bytes of text sent to the encoder at once.
@@ -132,6 +132,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes
     doc_type = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("token_counts", _KNOWN.clear)
         lengths = lengths_for(tokenizer)
         for batch in batches:
             texts = batch.column(2)

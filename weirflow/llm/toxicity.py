@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import whole
+from weirflow.llm.common import take_over, trim, whole
 from weirflow.plans.runtime import ship
 
 #: Labelled rows and bytes of their texts in the fit, at most.
@@ -522,6 +522,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = sorted((r for b in batches for r in b.to_pylist()), key=lambda r: (r["h"], r["doc_id"], r["toxic"]))
         model = fit([r["text"] for r in found], [r["toxic"] for r in found], most)
+        del found
+        trim()
         yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
     ship(docs.sparkSession)
@@ -549,6 +551,7 @@ def with_scores(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
     at = kept.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        take_over("toxicity", _MARGINS.clear)
         margins = margins_for(model)
         for batch in batches:
             texts = batch.column(at)

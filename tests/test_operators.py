@@ -93,7 +93,7 @@ def test_native_hysteresis_equals_the_fold(spark):
 def test_mode_windows_of_the_sensor_example(spark):
     readings = [70, 71, 73, 85, 88, 76, 71, 90, 68, 73, 74, 95, 88, 60]
     df = spark.createDataFrame([(1, i, float(v)) for i, v in enumerate(readings)], "k int, seq int, v double")
-    out = folds.fold(df, "k", "seq", lambda: (False, 0, 0, None), folds.mode_windows_step(80, 70, 3, 1), ["v"], "window long, mode string").orderBy("seq").collect()
+    out = folds.fold(df, "k", "seq", lambda: (False, 0, 0, None), folds.mode_windows_step(80, 70, 3, 1), ["v"], "window long, mode string, v double").orderBy("seq").collect()
     assert [r["window"] for r in out] == [0, 0, 0, 1, 1, 1, 2, 3, 4, 5, 5, 5, 6, 7]
     assert [r["mode"] for r in out] == ["calm"] * 6 + ["alert"] * 3 + ["calm"] * 3 + ["alert"] * 2
 

@@ -139,7 +139,7 @@ def hysteresis_step(high: float, low: float):
 def mode_windows_step(high: float, low: float, calm: int, alert: int):
     """Windows of ``calm`` items, and of ``alert`` items once a window's greatest value has reached ``high``, until one's stays down to ``low``.
 
-    The state is (alert, window, items held, their greatest value); the window and its mode are emitted for each item.
+    The state is (alert, window, items held, their greatest value); each item is emitted with its window and the mode.
     """
 
     def step(state, value: float):
@@ -147,7 +147,7 @@ def mode_windows_step(high: float, low: float, calm: int, alert: int):
         if held >= (alert if on else calm):
             on, window, held, top = (top > low if on else top >= high), window + 1, 0, None
         top = value if top is None else max(top, value)
-        return (on, window, held + 1, top), (window, "alert" if on else "calm")
+        return (on, window, held + 1, top), (window, "alert" if on else "calm", value)
 
     return step
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weirflow.functions.clock import micros
-from weirflow.operators import folds, recovery, splits, streams, text
+from weirflow.flow.resilience import Retry
+from weirflow.flow.schedule import Backoff
+from weirflow.operators import batches, folds, recovery, schedules, splits, streams, text
 from weirflow.plans.registry import query
 from weirflow.plans.runtime import table
 
@@ -19,11 +21,6 @@ def events(spark: SparkSession, sf_dir: str) -> streams.Stream:
     return streams.Stream(df, "user_id", "event_id", F.col("event_type") != "error")
 
 
-def plain(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
-    """A SQL statement over tables named in braces."""
-    return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})
-
-
 _E = "e AS (SELECT event_id, user_id, event_type, value, epoch_us(ts) AS us, event_type <> 'error' AS ok FROM events)"
 _W = f"{_E}, w AS (SELECT *, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 3 AS win FROM e WHERE ok)"
 _F = f"{_W}, f AS (SELECT user_id, win::BIGINT AS \"window\", count(*)::BIGINT AS n, max(value) AS max_value, max(event_id) AS cursor FROM w GROUP BY ALL)"
@@ -47,9 +44,7 @@ def stream_duration_window(spark, sf_dir):
 
 @query(f"WITH {_F}, d AS (SELECT user_id, count(*) FILTER (NOT ok)::BIGINT AS dropped FROM e GROUP BY 1) SELECT user_id, coalesce(count(f.n), 0)::BIGINT AS windows, coalesce(sum(f.n), 0)::BIGINT AS kept, any_value(dropped) AS dropped FROM d LEFT JOIN f USING (user_id) GROUP BY 1")
 def stream_skip_and_continue(spark, sf_dir):
-    s = events(spark, sf_dir)
-    kept = F.count_if(s.ok)
-    return s.df.groupBy("user_id").agg(F.ceil(kept / 3).cast("long").alias("windows"), kept.alias("kept"), F.count_if(~s.ok).alias("dropped"))
+    return streams.skip_and_continue(events(spark, sf_dir), 3)
 
 
 @query(f"""WITH {_E}, x AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS bad FROM e),
@@ -106,8 +101,30 @@ SELECT user_id, event_id, rn, value >= 120 AS alert FROM o WHERE rn = 1
 UNION ALL SELECT o.user_id, o.event_id, o.rn, CASE WHEN h.alert THEN o.value > 20 ELSE o.value >= 120 END FROM h JOIN o ON o.user_id = h.user_id AND o.rn = h.rn + 1)
 SELECT user_id, event_id, CASE WHEN alert THEN 'alert' ELSE 'calm' END AS mode FROM h""")
 def stream_hysteresis(spark, sf_dir):
+    return streams.hysteresis(events(spark, sf_dir), "value", 120.0, 20.0)
+
+
+@query(f"""WITH RECURSIVE {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM e WHERE ok), c AS (
+SELECT user_id, event_id, rn, value, 0::BIGINT AS win, 1 AS held, value AS top, false AS alert FROM o WHERE rn = 1
+UNION ALL
+SELECT user_id, event_id, rn, value, CASE WHEN ended THEN win + 1 ELSE win END, CASE WHEN ended THEN 1 ELSE held + 1 END, CASE WHEN ended THEN value ELSE greatest(top, value) END,
+CASE WHEN NOT ended THEN alert WHEN alert THEN top > 20 ELSE top >= 120 END
+FROM (SELECT o.user_id, o.event_id, o.rn, o.value, c.win, c.held, c.top, c.alert, c.held >= CASE WHEN c.alert THEN 1 ELSE 3 END AS ended FROM c JOIN o ON o.user_id = c.user_id AND o.rn = c.rn + 1))
+SELECT user_id, win AS "window", CASE WHEN any_value(alert) THEN 'alert' ELSE 'calm' END AS mode, count(*)::BIGINT AS n, max(value) AS max_value, max(event_id) AS cursor FROM c GROUP BY 1, 2""")
+def stream_mode_windows(spark, sf_dir):
+    """Windows of three items while calm and of one while alert; a window's greatest value switches the mode."""
     s = events(spark, sf_dir)
-    return folds.fold(s.df, "user_id", "event_id", lambda: False, folds.hysteresis_step(120.0, 20.0), ["value"], "mode string")
+    made = folds.fold(s.good(), "user_id", "event_id", lambda: (False, 0, 0, None), folds.mode_windows_step(120.0, 20.0, 3, 1), ["value"], "window long, mode string, value double")
+    return made.groupBy("user_id", "window").agg(F.max("mode").alias("mode"), F.count(F.lit(1)).alias("n"), F.max("value").alias("max_value"), F.max("event_id").alias("cursor"))
+
+
+@query(f"""WITH {_W}, b AS (SELECT w.*, strlen(props) AS bytes FROM w JOIN events USING (event_id))
+SELECT user_id, win::BIGINT AS "window", round(avg(value), 6) AS mean_value, max(value) AS max_value, sum(bytes)::BIGINT AS n_bytes FROM b GROUP BY ALL""".replace("w.*", "w.user_id, w.win, w.value"))
+def stream_window_sizes(spark, sf_dir):
+    """Mean, greatest value and bytes of each window."""
+    df = table(spark, sf_dir, "events").select("event_id", "user_id", "value", F.octet_length("props").cast("long").alias("bytes"), (F.col("event_type") != "error").alias("ok"))
+    kept = streams.count_windows(streams.Stream(df, "user_id", "event_id", F.col("ok")), 3)
+    return kept.groupBy("user_id", "window").agg(F.round(F.avg("value"), 6).alias("mean_value"), F.max("value").alias("max_value"), F.sum("bytes").alias("n_bytes"))
 
 
 # --- batches ----------------------------------------------------------------------------------
@@ -124,23 +141,39 @@ def items(spark, sf_dir) -> DataFrame:
 
 @query(f"WITH {_B} SELECT l_orderkey, (rn - 1)::BIGINT AS idx, CASE WHEN ok THEN l_quantity * 10 END AS value, CASE WHEN NOT ok THEN 'task_execution' END AS error FROM b")
 def batch_ordered_slots(spark, sf_dir):
-    return items(spark, sf_dir).select("l_orderkey", "idx", F.when(F.col("ok"), F.col("l_quantity") * 10).alias("value"), F.when(~F.col("ok"), "task_execution").alias("error"))
+    return batches.slots(items(spark, sf_dir), ["l_orderkey", "idx"], batches.failing(F.col("ok")), F.col("l_quantity") * 10)
 
 
 @query("SELECT l_orderkey, count(*) FILTER (l_returnflag <> 'R')::BIGINT AS n_ok, count(*) FILTER (l_returnflag = 'R')::BIGINT AS n_error, round(coalesce(sum(l_quantity) FILTER (l_returnflag <> 'R'), 0), 4) AS ok_sum FROM lineitem GROUP BY 1")
 def batch_partial_failure(spark, sf_dir):
-    ok = F.col("l_returnflag") != "R"
-    return table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(
-        F.count_if(ok).alias("n_ok"), F.count_if(~ok).alias("n_error"), F.round(F.coalesce(F.sum(F.when(ok, F.col("l_quantity"))), F.lit(0.0)), 4).alias("ok_sum")
-    )
+    df = table(spark, sf_dir, "lineitem")
+    return batches.finish(batches.slots(df, ["l_orderkey"], batches.failing(F.col("l_returnflag") != "R"), F.col("l_quantity")), "l_orderkey")
 
 
 @query("""SELECT event_id, CASE WHEN event_id % 5 < 3 THEN event_id % 5 + 1 ELSE 3 END::BIGINT AS attempts, event_id % 5 < 3 AS succeeded FROM events""")
 def batch_item_retry(spark, sf_dir):
     """Item i fails its first i mod 5 attempts; three attempts are allowed."""
-    tried = table(spark, sf_dir, "events").select("event_id", F.explode(F.sequence(F.lit(1), F.lit(3))).alias("attempt")).withColumn("ok", F.col("attempt") > F.col("event_id") % 5)
-    first = F.min(F.when(F.col("ok"), F.col("attempt")))
-    return tried.groupBy("event_id").agg(F.coalesce(first, F.lit(3)).cast("long").alias("attempts"), first.isNotNull().alias("succeeded"))
+    tried, succeeded = batches.attempts(F.col("event_id") % 5, 3)
+    return table(spark, sf_dir, "events").select("event_id", tried.alias("attempts"), succeeded.alias("succeeded"))
+
+
+@query("SELECT event_id, CASE WHEN value <= 100 THEN value END AS value, CASE WHEN value > 100 THEN 'timeout' END AS error FROM events")
+def attempt_timeout(spark, sf_dir):
+    """Items whose work takes longer (values are seconds) than an attempt may are errors of their own kind."""
+    return batches.slots(table(spark, sf_dir, "events"), ["event_id"], batches.late(F.col("value"), 100), F.col("value"))
+
+
+@query("SELECT page_id, CASE WHEN starts_with(url, 'https://') THEN strlen(url)::BIGINT END AS value, CASE WHEN NOT starts_with(url, 'https://') THEN 'task_execution' END AS error FROM pages")
+def scheme_slots(spark, sf_dir):
+    """Addresses of one scheme are worked on, others are errors in their slots."""
+    url = F.coalesce("url", F.lit(""))
+    return batches.slots(table(spark, sf_dir, "pages"), ["page_id"], batches.failing(F.startswith(url, F.lit("https://"))), F.octet_length(url).cast("long"))
+
+
+@query("SELECT d.doc_id, l.toxic, CASE WHEN l.doc_id IS NULL THEN 'key_not_found' END AS error FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id")
+def lookup_or_error(spark, sf_dir):
+    """A label for each document, or the error of a missing key."""
+    return batches.lookup(table(spark, sf_dir, "documents").select("doc_id"), table(spark, sf_dir, "labels"), "doc_id", "toxic")
 
 
 # --- splits -----------------------------------------------------------------------------------
@@ -195,13 +228,21 @@ def router_route(spark, sf_dir):
     return table(spark, sf_dir, "events").groupBy(route.alias("route")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(f"WITH {_E}, {_R} SELECT user_id, min(rn) FILTER (event_type = 'purchase')::BIGINT AS polls, min(event_id) FILTER (event_type = 'purchase') AS ready_at FROM o GROUP BY 1")
+@query(f"""WITH {_E}, {_R}, p AS (SELECT user_id, min(rn) FILTER (event_type = 'purchase')::BIGINT AS found, min(event_id) FILTER (event_type = 'purchase') AS ended_at, max(rn)::BIGINT AS n FROM o GROUP BY 1)
+SELECT user_id, coalesce(found, n) AS polls, CASE WHEN found IS NULL THEN 'pending' ELSE 'ready' END AS outcome, ended_at FROM p""")
 def poll_until_ready(spark, sf_dir):
-    """The first purchase of a user is the answer a poll waits for."""
-    s = events(spark, sf_dir)
-    ready = F.col("event_type") == "purchase"
-    polled = s.df.withColumn("rn", F.row_number().over(s.by_key()).cast("long"))
-    return polled.groupBy("user_id").agg(F.min(F.when(ready, F.col("rn"))).alias("polls"), F.min(F.when(ready, F.col("event_id"))).alias("ready_at"))
+    """The first purchase of a user is the answer a poll waits for, whatever errors come before."""
+    return streams.poll(events(spark, sf_dir), F.col("event_type") == "purchase", 2**31 - 1)
+
+
+@query(f"""WITH {_E}, {_R}, g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS good FROM o),
+k AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, good ORDER BY event_id) AS streak FROM g),
+f AS (SELECT user_id, min(rn) FILTER (event_type = 'purchase' OR streak > 1)::BIGINT AS found, max(rn)::BIGINT AS n FROM k GROUP BY 1)
+SELECT f.user_id, coalesce(found, n) AS polls, CASE WHEN found IS NULL THEN 'pending' WHEN k.event_type = 'purchase' THEN 'ready' ELSE 'failed' END AS outcome, k.event_id AS ended_at
+FROM f LEFT JOIN k ON k.user_id = f.user_id AND k.rn = f.found""")
+def poll_error_budget(spark, sf_dir):
+    """One error in a row is allowed; any other answer clears the count."""
+    return streams.poll(events(spark, sf_dir), F.col("event_type") == "purchase", 1)
 
 
 @query(f"WITH {_E} SELECT event_id, greatest(us, 1704067200000000 + (value * 1000)::BIGINT * 1000000)::BIGINT AS due_us FROM e")
@@ -223,34 +264,42 @@ def stepped_pages(spark, sf_dir):
 
 @query("SELECT s_suppkey, k::INTEGER AS attempt, least((100 + s_nationkey) * pow(2, k), 30000)::DOUBLE AS delay_ms FROM supplier, range(6) r(k)")
 def retry_schedule(spark, sf_dir):
-    base = F.lit(100) + F.col("s_nationkey")
-    tries = table(spark, sf_dir, "supplier").select("s_suppkey", base.alias("base"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("attempt"))
-    return tries.select("s_suppkey", "attempt", F.least(F.col("base") * F.pow(F.lit(2.0), "attempt"), F.lit(30000.0)).alias("delay_ms"))
+    """Pauses before six retries, from a base that differs from supplier to supplier."""
+    tries = table(spark, sf_dir, "supplier").select("s_suppkey", (F.col("s_nationkey") + 100).alias("base"), F.explode(F.sequence(F.lit(0), F.lit(5))).alias("attempt"))
+    return tries.select("s_suppkey", "attempt", schedules.retry_delay(Retry(), F.col("attempt"), F.col("base")).alias("delay_ms"))
 
 
 @query(f"""WITH {_E}, g AS (SELECT *, sum(ok::INT) OVER (PARTITION BY user_id ORDER BY event_id) AS good FROM e),
 k AS (SELECT *, sum((NOT ok)::INT) OVER (PARTITION BY user_id, good ORDER BY event_id)::BIGINT AS streak FROM g)
-SELECT event_id, streak, CASE WHEN ok THEN 0.0 ELSE least(1000 * pow(2, streak - 1), 8000) END::DOUBLE AS delay_ms, streak >= 3 AS tripped FROM k""")
+SELECT event_id, streak, CASE WHEN ok THEN 0.0 ELSE least(pow(2, streak - 1), 8) END::DOUBLE AS delay_s, streak >= 3 AS tripped FROM k""")
 def scheduler_backoff(spark, sf_dir):
     s = events(spark, sf_dir)
+    policy = Backoff(1, 2, 8, 0.0, 3)
     island = s.df.withColumn("good", F.sum(s.ok.cast("int")).over(s.by_key(upto=True)))
     streak = F.sum((~s.ok).cast("int")).over(Window.partitionBy("user_id", "good").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0))
-    delay = F.when(s.ok, 0.0).otherwise(F.least(1000 * F.pow(F.lit(2.0), F.col("streak") - 1), F.lit(8000.0)))
-    return island.withColumn("streak", streak).select("event_id", "streak", delay.alias("delay_ms"), (F.col("streak") >= 3).alias("tripped"))
+    counted = island.withColumn("streak", streak)
+    return counted.select("event_id", "streak", schedules.backoff_delay(policy, F.col("streak")).alias("delay_s"), schedules.tripped(policy, F.col("streak")).alias("tripped"))
 
 
 @query(f"""WITH {_E} SELECT event_id, (coalesce(sum((value * 1000)::BIGINT + 60000) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start_ms FROM e""")
 def scheduler_fixed_delay(spark, sf_dir):
     """Runs start a minute after the one before has ended; values are seconds of work."""
-    s = events(spark, sf_dir)
-    took = F.round(F.col("value") * 1000).cast("long") + 60000
-    return s.df.select("event_id", F.coalesce(F.sum(took).over(s.by_key().rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start_ms"))
+    took = F.round(F.col("value") * 1000).cast("long")
+    return events(spark, sf_dir).df.select("event_id", schedules.fixed_delay_start("user_id", "event_id", took, 60000).alias("start_ms"))
 
 
 @query(f"WITH {_E} SELECT event_id, ((us // {HOUR // 4} + 1) * {HOUR // 4})::BIGINT AS next_us FROM e")
 def scheduler_cron(spark, sf_dir):
     """The next instant after each event at which ``0 */15 * * * *`` fires."""
-    return events(spark, sf_dir).df.select("event_id", ((F.floor(F.col("us") / (HOUR // 4)) + 1) * (HOUR // 4)).cast("long").alias("next_us"))
+    return events(spark, sf_dir).df.select("event_id", schedules.next_cron("0 */15 * * * *", F.col("us")).alias("next_us"))
+
+
+@query(f"""WITH {_E}, d AS (SELECT unnest(generate_series(date_trunc('day', min(ts)), max(ts) + INTERVAL 40 DAY, INTERVAL 1 DAY)) AS day FROM events),
+c AS (SELECT epoch_us(day) + (h * 3600 + 10 * 60 + 30)::BIGINT * 1000000 AS fires FROM d, (VALUES (9), (13), (17)) v(h) WHERE (dayofmonth(day) = 1 OR dayofmonth(day) = 15 OR dayofmonth(day) >= 28) AND dayofweek(day) BETWEEN 1 AND 5)
+SELECT event_id, c.fires::BIGINT AS next_us FROM e ASOF JOIN c ON e.us < c.fires""")
+def scheduler_cron_calendar(spark, sf_dir):
+    """The next instant after each event of a schedule with hours, days of the month and weekdays."""
+    return events(spark, sf_dir).df.select("event_id", schedules.next_cron("30 10 9-17/4 1,15,28-31 * 1-5", F.col("us")).alias("next_us"))
 
 
 # --- folds ------------------------------------------------------------------------------------------
@@ -269,6 +318,20 @@ def circuit_breaker(spark, sf_dir):
     return folds.fold(rows, "user_id", "event_id", lambda: (folds.CLOSED, 0, 0), folds.breaker_step(2, DAY), ["us", "failed"], "admitted boolean, state string")
 
 
+@query(f"""WITH RECURSIVE {_E}, {_R}, c AS (
+SELECT user_id, event_id, rn, true AS admitted, CASE WHEN ok THEN 'closed' ELSE 'open' END AS state, 0 AS won, CASE WHEN ok THEN 0 ELSE us END::BIGINT AS opened FROM o WHERE rn = 1
+UNION ALL
+SELECT user_id, event_id, rn, admitted, CASE WHEN NOT admitted OR NOT ok THEN 'open' WHEN half AND won + 1 < 2 THEN 'half_open' ELSE 'closed' END,
+CASE WHEN admitted AND ok AND half AND won + 1 < 2 THEN won + 1 ELSE 0 END, CASE WHEN admitted AND NOT ok THEN us ELSE opened END
+FROM (SELECT o.user_id, o.event_id, o.rn, o.ok, o.us, c.opened, CASE WHEN c.state = 'half_open' THEN c.won ELSE 0 END AS won, c.state <> 'closed' AS half, NOT (c.state = 'open' AND o.us - c.opened < {DAY}) AS admitted
+  FROM c JOIN o ON o.user_id = c.user_id AND o.rn = c.rn + 1))
+SELECT user_id, event_id, admitted, state FROM c""")
+def half_open_trials(spark, sf_dir):
+    """A breaker that opens at one failure and closes when two trials in a row succeed."""
+    rows = events(spark, sf_dir).df.withColumn("failed", F.col("event_type") == "error")
+    return folds.fold(rows, "user_id", "event_id", lambda: (folds.CLOSED, 0, 0), folds.breaker_step(1, DAY, 2), ["us", "failed"], "admitted boolean, state string")
+
+
 _COST = "(event_id % 3)::BIGINT"
 
 
@@ -449,23 +512,47 @@ def queue_batches(spark, sf_dir):
 
 
 _PREP = "'" + "','".join(text.PREPOSITIONS) + "'"
-_TOK = f"""t AS (SELECT doc_id, source, regexp_replace(unnest(regexp_split_to_array(lower(text), '\\s+')), '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g') AS w FROM documents),
-a AS (SELECT doc_id, source, count(*)::BIGINT AS total_words, count(*) FILTER (w IN ({_PREP}))::BIGINT AS hits, count(DISTINCT w) FILTER (w IN ({_PREP}))::BIGINT AS unique_prepositions FROM t WHERE w <> '' GROUP BY 1, 2)"""
+_TOK = f"""t AS (SELECT doc_id, regexp_replace(unnest(regexp_split_to_array(lower(text), '\\s+')), '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g') AS w FROM documents),
+c AS (SELECT doc_id, count(*)::BIGINT AS total_words, count(*) FILTER (w IN ({_PREP}))::BIGINT AS hits, count(DISTINCT w) FILTER (w IN ({_PREP}))::BIGINT AS unique_prepositions FROM t WHERE w <> '' GROUP BY 1),
+a AS (SELECT d.doc_id, d.source, coalesce(total_words, 0) AS total_words, coalesce(unique_prepositions, 0) AS unique_prepositions, round(CASE WHEN total_words > 0 THEN hits * 100.0::DOUBLE / total_words ELSE 0 END, 6) AS density
+FROM documents d LEFT JOIN c USING (doc_id))"""
 
 
-@query(f"WITH {_TOK} SELECT doc_id, total_words, unique_prepositions, round(CASE WHEN total_words > 0 THEN hits * 100.0::DOUBLE / total_words ELSE 0 END, 6) AS density FROM a")
+@query(f"WITH {_TOK} SELECT doc_id, total_words, unique_prepositions, density FROM a")
 def doc_prepositions(spark, sf_dir):
     return text.prepositions(table(spark, sf_dir, "documents")).select("doc_id", "total_words", "unique_prepositions", "density")
 
 
-@query(f"""WITH {_TOK} SELECT doc_id, source, unique_prepositions,
-row_number() OVER (PARTITION BY source ORDER BY unique_prepositions DESC, round(hits * 100.0::DOUBLE / total_words, 6) DESC, doc_id)::BIGINT AS rank FROM a""")
+@query(f"""WITH {_TOK} SELECT doc_id, source, unique_prepositions, row_number() OVER (PARTITION BY source ORDER BY unique_prepositions DESC, density DESC, doc_id)::BIGINT AS rank FROM a""")
 def doc_prepositions_rank(spark, sf_dir):
     """Ranks inside each source, so that no task orders the whole corpus."""
     best = Window.partitionBy("source").orderBy(F.desc("unique_prepositions"), F.desc("density"), "doc_id")
     return text.prepositions(table(spark, sf_dir, "documents")).select("doc_id", "source", "unique_prepositions", F.row_number().over(best).cast("long").alias("rank"))
 
 
+@query(f"""WITH t AS (SELECT source, regexp_replace(unnest(regexp_split_to_array(lower(text), '\\s+')), '^[^\\p{{L}}]+|[^\\p{{L}}]+$', '', 'g') AS w FROM documents), u AS (SELECT DISTINCT source, w FROM t WHERE w IN ({_PREP}))
+SELECT source, count(*)::BIGINT AS n_distinct, array_to_string(list_slice(list_sort(list(w)), 1, 10), ' ') AS first_ten FROM u GROUP BY 1""")
+def batch_set_union(spark, sf_dir):
+    """The union of the prepositions of a source's documents, and ten of them."""
+    found = text.prepositions(table(spark, sf_dir, "documents")).select("source", F.explode(F.array_distinct("hits")).alias("w")).distinct()
+    return found.groupBy("source").agg(F.count(F.lit(1)).alias("n_distinct"), F.array_join(F.slice(F.sort_array(F.collect_list("w")), 1, 10), " ").alias("first_ten"))
+
+
+@query("SELECT count(DISTINCT source)::BIGINT AS n_sources, count(DISTINCT lang)::BIGINT AS n_langs, count(DISTINCT lang || '/' || source)::BIGINT AS n_pairs FROM documents")
+def global_distinct(spark, sf_dir):
+    """Distinct values over all groups, each group brought down to its own first."""
+    pairs = table(spark, sf_dir, "documents").select("lang", "source").distinct()
+    both = F.when(F.col("lang").isNotNull() & F.col("source").isNotNull(), F.struct("lang", "source"))
+    return pairs.agg(F.countDistinct("source").alias("n_sources"), F.countDistinct("lang").alias("n_langs"), F.countDistinct(both).alias("n_pairs"))
+
+
+@query("SELECT source, arg_min(doc_id, (n_chars, doc_id)) AS shortest, arg_max(doc_id, (n_chars, doc_id)) AS longest FROM documents GROUP BY 1")
+def ranking_ends(spark, sf_dir):
+    """First and last of a ranking, without ordering it."""
+    place = F.struct("n_chars", "doc_id")
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("doc_id", place).alias("shortest"), F.max_by("doc_id", place).alias("longest"))
+
+
 @query("SELECT source, count(*)::BIGINT AS n_docs, round(avg(n_chars), 6) AS avg_chars, count(DISTINCT lang)::BIGINT AS n_langs FROM documents GROUP BY 1")
 def mapreduce_by_source(spark, sf_dir):
     return table(spark, sf_dir, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.round(F.avg("n_chars"), 6).alias("avg_chars"), F.countDistinct("lang").alias("n_langs"))
@@ -530,3 +617,56 @@ def ledger_balance(spark, sf_dir):
     """The first posting of a (customer, priority) key counts, reverted ones go, accounts without any have 0."""
     orders, customers = table(spark, sf_dir, "orders"), table(spark, sf_dir, "customer").select("c_custkey")
     return recovery.balances(orders, customers)
+
+
+@query("SELECT c_custkey, substr(c_name, 14) AS name_key FROM customer WHERE starts_with(c_name, 'Customer#0000')")
+def key_prefix_strip(spark, sf_dir):
+    """Keys with a prefix, without it."""
+    return table(spark, sf_dir, "customer").where(F.startswith("c_name", F.lit("Customer#0000"))).select("c_custkey", F.expr("substring(c_name, 14)").alias("name_key"))
+
+
+@query("""SELECT p_partkey, CASE WHEN contains(p_name, 'widget') THEN 'count' WHEN contains(p_name, 'cold') THEN 'customer' ELSE 'revenue' END AS kind, starts_with(p_name, 'small') AS small, strlen(p_name)::BIGINT AS n_bytes FROM part""")
+def substring_case(spark, sf_dir):
+    name = F.col("p_name")
+    kind = F.when(F.contains(name, F.lit("widget")), "count").when(F.contains(name, F.lit("cold")), "customer").otherwise("revenue")
+    return table(spark, sf_dir, "part").select("p_partkey", kind.alias("kind"), F.startswith(name, F.lit("small")).alias("small"), F.octet_length(name).cast("long").alias("n_bytes"))
+
+
+@query("""WITH v AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'nan'::DOUBLE WHEN event_id % 11 = 0 THEN 'inf'::DOUBLE WHEN event_id % 13 = 0 THEN '-inf'::DOUBLE ELSE value END AS v FROM events)
+SELECT CASE WHEN isnan(v) OR isinf(v) THEN 'invalid' ELSE 'valid' END AS route, count(*)::BIGINT AS n, round(sum(CASE WHEN isnan(v) OR isinf(v) THEN 0 ELSE v END), 2) AS total FROM v GROUP BY 1""")
+def finite_route(spark, sf_dir):
+    """What is no number, or infinite, goes another way."""
+    i = F.col("event_id")
+    odd = F.when(i % 7 == 0, F.lit(float("nan"))).when(i % 11 == 0, F.lit(float("inf"))).when(i % 13 == 0, F.lit(float("-inf"))).otherwise(F.col("value"))
+    finite = ~F.isnan("v") & (F.abs("v") < float("inf"))
+    checked = table(spark, sf_dir, "events").select(odd.alias("v")).select(F.when(finite, "valid").otherwise("invalid").alias("route"), F.when(finite, F.col("v")).otherwise(0.0).alias("v"))
+    return checked.groupBy("route").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
+
+
+@query("""SELECT user_id, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, max('{"cursor":' || event_id || ',"k":' || json_extract(props, '$.k')::BIGINT || '}') AS blob FROM events GROUP BY 1""")
+def json_props(spark, sf_dir):
+    """A field read from JSON, and a cursor written as JSON."""
+    read = table(spark, sf_dir, "events").select("user_id", "event_id", F.from_json("props", "k long")["k"].alias("k"))
+    return read.groupBy("user_id").agg(F.sum("k").alias("total"), F.max(F.to_json(F.struct(F.col("event_id").alias("cursor"), "k"))).alias("blob"))
+
+
+@query("""WITH p AS (SELECT vec_id // 2 AS pair, vec_id % 2 AS side, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+m AS (SELECT a.pair, list_transform(range(64), lambda x: list_sum(list_transform(range(8), lambda k: a.v[(x // 8) * 8 + k + 1] * b.v[k * 8 + x % 8 + 1]))) AS c FROM p a JOIN p b ON a.pair = b.pair AND a.side = 0 AND b.side = 1)
+SELECT pair::BIGINT AS pair, round(list_sum(c), 6) AS total, round(list_sum(list_transform(range(8), lambda i: c[i * 9 + 1])), 6) AS trace FROM m""")
+def matrix_products(spark, sf_dir):
+    """Neighbouring vectors as 8 x 8 matrices, multiplied."""
+    return text.matrix_products(table(spark, sf_dir, "embeddings"), 8)
+
+
+@query("SELECT event_type AS metric, count(*)::BIGINT AS n, row_number() OVER (ORDER BY event_type)::BIGINT AS line FROM events GROUP BY 1")
+def metrics_report(spark, sf_dir):
+    """The report in order of its keys; there are as many rows as metrics."""
+    counts = table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("line", F.row_number().over(Window.orderBy("metric")).cast("long")).orderBy("metric")
+
+
+@query("SELECT o_orderkey, (k - 1)::INTEGER AS item, o_totalprice * k AS amount FROM orders, range(1, 4) r(k) WHERE k <= o_orderkey % 3 + 1")
+def batch_load_items(spark, sf_dir):
+    """A table function: each order gives one to three items."""
+    loaded = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", F.explode(F.sequence(F.lit(0), (F.col("o_orderkey") % 3).cast("int"))).alias("item"))
+    return loaded.select("o_orderkey", "item", (F.col("o_totalprice") * (F.col("item") + 1)).alias("amount"))

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -41,6 +42,14 @@ def test_url_rules(spark):
         got = judge_urls(df, queries.URL_RULES, inline_rules=inline).orderBy("page_id").collect()
         assert [r["rule"] for r in got] == want
         assert [r["verdict"] for r in got][3:6] == ["block", "allow", "block"]
+    # Repeated rows are judged alike, of equally long rules the greater text wins, and other columns stay as they are.
+    odd = spark.createDataFrame([(1, "http://ab.cd/", "k"), (1, "http://ab.cd/", "k"), (2, None, "n"), (2, None, "n")], "page_id long, url string, __key string").withColumn("__best", F.lit(7))
+    ties = [UrlRule("allow", "ab.cd"), UrlRule("block", "ab.cd", "/"), UrlRule("block", "cd")]
+    for inline in (256, 0):
+        got = judge_urls(odd, ties, inline_rules=inline)
+        assert got.columns == ["page_id", "url", "__key", "__best", "host", "path", "rule", "verdict"]
+        rows = sorted(map(tuple, got.collect()))
+        assert rows == [(1, "http://ab.cd/", "k", 7, "ab.cd", "/", "ab.cd/", "block")] * 2 + [(2, None, "n", 7, "", "", None, "allow")] * 2
     assert judge_urls(df.limit(0), queries.URL_RULES).count() == 0
     with pytest.raises(ValueError):
         UrlRule("maybe", "com")
@@ -511,6 +520,30 @@ def test_nearest_neighbours(spark):
     assert set(few.vec_id) == {1, 2}
 
 
+@pytest.mark.parametrize("split", [10**9, 300])
+def test_nearest_neighbours_over_many_lists(spark, monkeypatch, split):
+    """Dozens of lists with replicated boundaries, a graph and a ratio; and long lists with inner lists."""
+    monkeypatch.setattr(ann, "PER_LIST", 64)
+    monkeypatch.setattr(ann, "GROUP", 128)
+    monkeypatch.setattr(ann, "SPLIT", split)
+    if split == 300:
+        monkeypatch.setattr(ann, "MOST_LISTS", 6)
+    rng = np.random.default_rng(5)
+    heart = rng.normal(size=(60, 12)) * 3
+    x = (heart[rng.integers(60, size=4000)] + rng.normal(size=(4000, 12))).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    out = ann.search(df, F.col("vec_id") % 20 == 0, 20).toPandas()
+    assert out.groupby("query_id").size().tolist() == [20] * 200
+    y, hit = x.astype(float), 0
+    for q, part in out.groupby("query_id"):
+        score = y @ y[q]
+        score[q] = -np.inf
+        assert np.allclose(part.sort_values("rank").score, np.sort(score[part.vec_id.to_numpy()])[::-1], atol=1e-9)
+        assert part.vec_id.is_unique
+        hit += len(set(np.argsort(-score, kind="stable")[:20]) & set(part.vec_id))
+    assert hit >= 0.9 * 4000
+
+
 def test_byte_bpe_equals_the_library(spark, odd):
     import base64
 
@@ -535,19 +568,87 @@ def test_byte_bpe_equals_the_library(spark, odd):
     assert Counter(bytes(r["bytes"]) for r in back) == Counter((r[1] or "").encode() for r in ODD)
 
 
-def test_pipeline(spark, odd, tmp_path):
+def _plain_mix(rows, weights=(3, 1, 2), share=1.5, cap=2.0):
+    """doc_id -> copies, of (doc_id, text, source) without null or repeated ids."""
+    size = {i: len([w for w in re.split(r"[ \t-\r]+", t or "") if w]) for i, t, _ in rows}
+    sources = sorted({s for *_, s in rows}, key=lambda s: (s is None, (s or "").encode()))
+    own = {s: sum(size[i] for i, _, x in rows if x == s) for s in sources}
+    w = {s: float(weights[k % len(weights)]) for k, s in enumerate(sources)}
+    stopped: set = set()
+    while True:
+        left = share * sum(own.values()) - sum(cap * own[s] for s in stopped)
+        level = left / sum(w[s] for s in sources if s not in stopped) if len(stopped) < len(sources) else float("inf")
+        more = {s for s in sources if cap * own[s] / w[s] <= level} - stopped
+        if not more:
+            break
+        stopped |= more
+    copies = {}
+    for s in sources:
+        target = cap * own[s] if s in stopped else level * w[s]
+        base = int(target // own[s]) if own[s] else 0
+        rest = target - base * own[s]
+        members = [i for i, _, x in rows if x == s]
+        odds = rest / own[s] / (1 - rest / own[s]) if 0 < rest < own[s] else 0
+        rank = {}
+        for i in members:
+            u = (int(hashlib.md5(f"{i}:mix".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            q = u / (1 - u) / (odds * (max(size[i], 1) / (own[s] / len(members))) ** 0.5) if odds else 0
+            rank[i] = (q / (1 + q), i)
+        taken = 0
+        for i in sorted(members, key=rank.get):
+            copies[i] = base + (rest > 0 and taken + size[i] / 2 <= rest)
+            taken += size[i]
+    return copies
+
+
+def test_pipeline_against_plain_versions(spark):
+    """Each stage's rows by plain Python on all rows, and the whole by them one after the other."""
+    import base64
+
     import corpus_pipeline
+    import tiktoken
 
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = sorted((r["doc_id"], r["text"] or "", r["source"]) for r in docs.collect())
+    marks = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 5}
+    model = toxicity.train(docs, labels)
+    assert marks and len(marks) <= toxicity.SAMPLE
+    margins = toxicity.Margins.of(model)
+    clean = [r for r in rows if model.scores(margins([r[1]]))[0] < corpus_pipeline.TOXIC_SCORE]
+    assert Counter(r["doc_id"] for r in corpus_pipeline.drop_toxic(spark, docs, SF).collect()) == Counter(r[0] for r in clean)
+    found = _classes([(i, t) for i, t, _ in clean])
+    heads = [r for k, r in enumerate(clean) if found[k] == k]
+    copies = _plain_mix(heads)
+    with open(queries.tokenizer_file("byte_bpe_50k.tiktoken"), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    enc = tiktoken.Encoding("own", pat_str=queries.split_pattern(), mergeable_ranks=ranks, special_tokens={})
+    want = Counter()
+    for i, t, _ in heads:
+        ids = enc.encode_ordinary(t)
+        want[i, len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(t.encode()).hexdigest()] += copies[i]
     out = corpus_pipeline.run(spark, SF)
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    kept = corpus_pipeline.drop_toxic(spark, docs, SF)
-    assert kept.columns == docs.columns
-    one = corpus_pipeline.drop_near_duplicates(spark, kept, SF)
-    mixed = corpus_pipeline.mix_sources(spark, one, SF)
-    assert out.count() == mixed.count()
-    assert Counter(r["doc_id"] for r in out.collect()) == Counter(r["doc_id"] for r in mixed.collect())
-    rows = [(r["doc_id"], r["text"]) for r in one.collect()]
-    assert len(set(_classes(rows))) == len(rows)
+    assert Counter(map(tuple, out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect())) == +want
+
+
+def test_pipeline_on_odd_rows_and_nothing(spark, odd, tmp_path):
+    """Nulls, empty and long texts, repeated rows and clashing names go through; only the last stage changes the columns."""
+    import corpus_pipeline
+
+    labels = spark.createDataFrame([(4, 1, 1), (1, 0, 0), (2, 0, 0), (3, 0, 0), (5, None, 0), (7, 1, 0), (None, 1, 1), (6, 1, None), (99, 0, 1)], "doc_id long, quality int, toxic int")
+    for name, docs in (("odd", odd), ("none", odd.limit(0))):
+        sf = str(tmp_path / name)
+        docs.write.parquet(f"{sf}/documents.parquet")
+        labels.write.parquet(f"{sf}/labels.parquet")
+        at = spark.read.parquet(f"{sf}/documents.parquet")
+        for _, stage in corpus_pipeline.STAGES[:-1]:
+            out = stage(spark, at, sf)
+            assert out.columns == odd.columns
+            assert set(map(tuple, out.collect())) <= set(ODD)
+            at = out
+        out = corpus_pipeline.run(spark, sf)
+        assert out.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and (out.count() > 0) == (name == "odd")
+    kept = near_dedup.deduplicated(odd).collect()
+    assert len(kept) == 6  # wordless texts, the two ways to write one sentence, and four others
 
 
 def test_toxicity_knows_a_stem_under_any_ending():

@@ -11,11 +11,17 @@ nearest, as long as they are not nearer to one already chosen. Queries walk a gr
 the centroids held in memory, from neighbour to neighbour, and search the lists whose
 centroid's distance is within a ratio of the nearest found. The ratio is fitted on the
 sample, so that the lists it selects hold the wanted share of true neighbours. Lists with
-near centroids share a group of bounded size, longer ones are cut into chunks, and a query
+near centroids share a group of bounded size, and a query
 meets its lists of a group at once, so that it gets one short answer from each group;
 products are exact, in double precision.
 
-Fitting is bounded by ``SAMPLE`` rows; every row is indexed.
+The graph in memory has at most ``MOST_LISTS`` centroids, whatever the table's size. Beyond that lists grow, and one of
+more than ``SPLIT`` vectors gets centroids of its own, fitted on a bounded share of it; its
+vectors are put on inner lists, boundaries replicated as before, and queries that reach it choose
+among the inner lists by the same ratio. So the vectors that a query meets follow the ratio and not the table's
+size, and centroids of inner lists are never all in one place. A list that is still longer than a group is cut into chunks.
+
+Fitting is bounded by ``SAMPLE`` rows, and by ``PER_INNER`` rows for each inner list; every row is indexed.
 
 Defined cases: vectors that are null, empty, zero, of another than the commonest length, or hold null or non-finite components
 take no part; null ids are no queries and no candidates; equal scores go to the smaller id;
@@ -35,12 +41,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.plans.runtime import cut, ship
+from weirflow.llm.common import side
+from weirflow.plans.runtime import Scratch, ship
 
 #: Rows in the fit, at most, and centroids, at most.
 SAMPLE, MOST_LISTS = 20_000, 4096
 #: Distinct vectors for each centroid that the number of lists aims at, and listed rows in a group.
 PER_LIST, GROUP = 256, 8192
+#: Vectors beyond which a list gets inner lists, and rows for each of these in their fit.
+SPLIT, PER_INNER = 32_768, 24
 #: Distinct query vectors that may meet a group of lists at once.
 QUERIES = 100_000
 #: Lists a vector may stand on, and how much farther than the nearest they may be.
@@ -207,14 +216,15 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, id_column: str =
     """(query_id, rank, vec_id, score) of the rows that ``is_query`` selects, against all rows but their own."""
     spark = vectors.sparkSession
     ship(spark)
+    scratch = Scratch(spark)
     rows = vectors.where(usable(F.col(vector)) & F.col(id_column).isNotNull()).select(F.col(id_column).cast("long").alias("id"), is_query.alias("asks"), F.col(vector).cast("array<double>").alias("v"))
     length = rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "d").first()
     name = F.concat(F.hex(F.xxhash64("v")), F.hex(F.hash("v").cast("long")))  # 96 bits stand for a vector's value
     rows = rows.where(F.size("v") == (length["d"] if length else 0)).withColumn("key", name)
     # A distinct vector with the ids it answers with; the group limit runs before the shuffle.
     smallest = rows.select("key", "id", "v").dropDuplicates(["key", "id"]).withColumn("r", F.row_number().over(Window.partitionBy("key").orderBy("id"))).where(F.col("r") <= top + 1)
-    distinct = cut(smallest.groupBy("key").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")))
-    asked = cut(rows.where("asks").groupBy("key").agg(F.first("v").alias("v")))
+    distinct = scratch.keep(smallest.groupBy("key").agg(F.first("v").alias("v"), F.sort_array(F.collect_list("id")).alias("ids")))
+    asked = scratch.keep(rows.where("asks").groupBy("key").agg(F.first("v").alias("v")))
     facts = distinct.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x)).alias("norm2")).first()
     if not facts["n"]:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
@@ -230,20 +240,27 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, id_column: str =
             lists = index.probes(x) if probing else index.lists_of(x)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(lists, pa.list_(pa.int32()))], names=[*batch.schema.names, "lists"])
 
-    # Lists are dealt to groups of neighbouring centroids, and a list too large for its share is cut into chunks.
-    group_of = np.argsort(np.argsort(index.graph.centroids[:, 0], kind="stable"), kind="stable") * groups // n_lists
     stored = distinct.repartition(spread(spark)).mapInArrow(lambda it: on_lists(it, False), "key string, v array<double>, ids array<long>, lists array<int>")
-    stored = cut(stored.withColumn("list", F.explode("lists")).drop("lists"))
-    counts = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks")).collect()  # at most MOST_LISTS rows
-    homes = cut(spark.createDataFrame([(r["list"], int(group_of[r["list"]]), r["chunks"]) for r in counts], "list int, grp int, chunks int"))
+    stored = scratch.keep(stored.select("key", "v", "ids", F.explode(F.col("lists").cast("array<long>")).alias("list")))
+    probing = asked.repartition(spread(spark)).mapInArrow(lambda it: on_lists(it, True), "key string, v array<double>, lists array<int>")
+    probing = probing.select("key", "v", F.explode(F.col("lists").cast("array<long>")).alias("list"))
+    counts = stored.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()  # at most MOST_LISTS rows
+    long_ones = [(r["list"], -(-r["n"] // GROUP), r["n"]) for r in counts if r["n"] > SPLIT]
+    if long_ones:
+        stored, probing = inner_lists(stored, probing, long_ones, index, scratch)
+    # Lists are dealt to groups of neighbouring centroids, inner lists are groups of their own, and a list too large for its share is cut into chunks.
+    group_of = (np.argsort(np.argsort(index.graph.centroids[:, 0], kind="stable"), kind="stable") * groups // n_lists).tolist()
+    outer = spark.createDataFrame([(c, int(g)) for c, g in enumerate(group_of)], "list long, grp long")
+    sizes = stored.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / GROUP).cast("int").alias("chunks"))
+    homes = scratch.keep(sizes.join(F.broadcast(outer), "list", "left").select("list", F.coalesce("grp", "list").alias("grp"), "chunks"))
+    n_homes = homes.count()
     parts = max(1, -(-asked.count() // QUERIES))  # very many queries are dealt into parts, which each meet every group
     stored = (
-        stored.join(F.broadcast(homes.toDF("list", "grp", "chunks")), "list")
+        stored.join(side(homes.toDF("list", "grp", "chunks"), n_homes), "list")
         .withColumn("chunk", F.pmod(F.xxhash64("key"), F.col("chunks")).cast("int"))
         .withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     )
-    probing = asked.repartition(spread(spark)).mapInArrow(lambda it: on_lists(it, True), "key string, v array<double>, lists array<int>")
-    meets = probing.withColumn("list", F.explode("lists")).join(F.broadcast(homes), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    meets = probing.join(side(homes, n_homes), "list").withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     meets = meets.groupBy("key", "grp", "chunk").agg(F.first("v").alias("v"), F.collect_list("list").alias("lists")).withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
     best = top + 1
 
@@ -286,13 +303,65 @@ def search(vectors: DataFrame, is_query: Column, top: int = 20, id_column: str =
     leading = met.dropDuplicates(["key", "near"]).withColumn("r", F.row_number().over(along)).where(F.col("r") <= best)
     answers = leading.groupBy("key").agg(F.collect_list(F.struct("score", "ids")).alias("found"))
     flat = F.flatten(F.transform("found", lambda f: F.transform(f["ids"], lambda i: F.struct((-f["score"]).alias("down"), i.alias("id")))))
-    answers = cut(answers.select("key", F.slice(F.array_sort(flat), 1, best).alias("near")))
+    answers = scratch.keep(answers.select("key", F.slice(F.array_sort(flat), 1, best).alias("near")))
     asking_rows = rows.where("asks").select(F.col("id").alias("query_id"), "key").distinct()
     final = asking_rows.join(answers, "key").select("query_id", F.slice(F.filter("near", lambda f: f["id"] != F.col("query_id")), 1, top).alias("near"))
     out = final.select("query_id", F.posexplode("near").alias("p", "f"))
     return out.select("query_id", (F.col("p") + 1).cast("int").alias("rank"), F.col("f.id").alias("vec_id"), (-F.col("f.down")).alias("score"))
 
 
+#: Inner list ``i`` of list ``c`` is numbered ``(c + 1) * INNER + i``, beyond all outer lists.
+INNER = 1 << 32
+
+
+def inner_lists(stored: DataFrame, probing: DataFrame, long_ones: list[tuple[int, int, int]], index: Index, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """Stored vectors and queries with inner lists in place of long ones, given as (list, inner lists, vectors)."""
+    spark, norm2, ratio = stored.sparkSession, index.norm2, index.ratio
+    sizes = F.broadcast(spark.createDataFrame(long_ones, "list long, inner long, n long"))  # at most MOST_LISTS rows
+    one_in = F.greatest(F.lit(1), F.floor(F.col("n") / (F.col("inner") * PER_INNER)))
+
+    def fit_list(rows: pd.DataFrame) -> pd.DataFrame:
+        c = balanced_centroids(lifted(np.stack(rows["v"].to_numpy()), norm2), int(rows["inner"].iloc[0]))
+        return pd.DataFrame({"list": rows["list"].iloc[0], "c": list(c)})
+
+    fitted = stored.join(sizes, "list").where(F.pmod(F.xxhash64("key", F.lit("fit")), one_in) == 0)
+    centroids = scratch.keep(fitted.groupBy("list").applyInPandas(fit_list, "list long, c array<double>"))
+
+    def dealt(df: DataFrame, share: Column) -> DataFrame:
+        """Rows of long lists in parts of bounded size, each of which meets its list's centroids."""
+        return df.join(sizes, "list").withColumn("of", share).withColumn("part", F.pmod(F.xxhash64("key"), F.col("of")))
+
+    def met(df: DataFrame, share: Column, choose, schema: str) -> DataFrame:
+        rows = dealt(df, share)
+        known = centroids.join(sizes, "list").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), share - 1))).select("list", "part", "c")
+        return rows.groupBy("list", "part").cogroup(known.groupBy("list", "part")).applyInPandas(choose, schema)
+
+    def place(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        lists = assign(lifted(np.stack(rows["v"].to_numpy()), norm2), np.stack(known["c"].to_numpy())) if len(rows) else []
+        at = np.repeat(np.arange(len(rows)), [len(x) for x in lists])
+        inner = np.array([i for x in lists for i in x], np.int64)
+        out = rows.iloc[at]
+        return pd.DataFrame({"key": out["key"], "v": out["v"], "ids": out["ids"], "list": (out["list"].to_numpy() + 1) * INNER + inner})
+
+    def probe(rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(rows):
+            return pd.DataFrame({"key": [], "v": [], "list": []})
+        q, c = np.stack(rows["v"].to_numpy()), np.stack(known["c"].to_numpy())
+        unit = q * (np.sqrt(norm2) / np.sqrt((q * q).sum(1)))[:, None]
+        d = distances(np.column_stack([unit, np.zeros(len(q))]), c)
+        few = min(4, len(c)) - 1
+        at, inner = np.nonzero(d <= np.maximum(d.min(1) * ratio, np.partition(d, few, axis=1)[:, few])[:, None])
+        out = rows.iloc[at]
+        return pd.DataFrame({"key": out["key"], "v": out["v"], "list": (out["list"].to_numpy() + 1) * INNER + inner})
+
+    names = F.broadcast(spark.createDataFrame([(c,) for c, *_ in long_ones], "list long"))
+    asking = scratch.keep(probing)
+    inner = met(stored, F.ceil(F.col("n") / GROUP), place, "key string, v array<double>, ids array<long>, list long")
+    reached = met(asking, F.lit(max(1, -(-asking.count() // (GROUP * len(long_ones))))).cast("long"), probe, "key string, v array<double>, list long")
+    stored = scratch.keep(stored.join(names, "list", "left_anti").select("key", "v", "ids", "list").unionByName(inner))
+    return stored, asking.join(names, "list", "left_anti").select("key", "v", "list").unionByName(reached)
+
+
 def spread(spark) -> int:
     """Partitions for work that is heavier than its rows are wide."""
     return max(2 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))

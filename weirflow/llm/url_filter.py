@@ -91,20 +91,29 @@ def judge_urls(df: DataFrame, rules: Sequence[UrlRule], url: str = "url", defaul
     """Adds ``host``, ``path``, ``rule`` (null without a fitting rule) and ``verdict``."""
     index = rarest_tokens(list(dict.fromkeys(rules)))
     key = F.concat(host_of(F.col(url)), path_of(F.col(url)))
+    name, best = _free(df, "key"), _free(df, "best")
     if len(index) <= inline_rules:
-        best = _inline(key, index)
-        return _finish(df.withColumn("__key", key).withColumn("__best", best), url, default)
+        return _finish(df.withColumn(best, _inline(key, index)), url, default, best)
     spark = df.sparkSession
     listed = spark.createDataFrame([(t, r.text, len(r.text), r.action, r.regex) for r, t in index.items()], "token string, rule string, n int, action string, regex string")
-    urls = df.select(key.alias("__key")).distinct()
+    # Keys without a host fetch no rule, so the null addresses, which may be many, stay out of the join.
+    keyed = df.withColumn(name, F.when(key != "", key))
+    urls = keyed.select(name).where(F.col(name).isNotNull()).distinct()
     hits = (
-        urls.select("__key", F.explode(_url_tokens(F.col("__key"))).alias("token"))
+        urls.select(name, F.explode(_url_tokens(F.col(name))).alias("token"))
         .join(side(listed, len(index)), "token")
-        .where(F.regexp_like("__key", F.col("regex")))
-        .groupBy("__key")
-        .agg(F.max(F.struct("n", "rule", "action")).alias("__best"))
+        .where(F.regexp_like(name, F.col("regex")))
+        .groupBy(name)
+        .agg(F.max(F.struct("n", "rule", "action")).alias(best))
     )
-    return _finish(df.withColumn("__key", key).join(hits, "__key", "left"), url, default)
+    return _finish(keyed.join(hits, name, "left").drop(name), url, default, best)
+
+
+def _free(df: DataFrame, name: str) -> str:
+    """A column name that the input does not have."""
+    while (name := f"__{name}") in df.columns:
+        pass
+    return name
 
 
 def _inline(key: Column, index: dict[UrlRule, str]) -> Column:
@@ -119,11 +128,6 @@ def _inline(key: Column, index: dict[UrlRule, str]) -> Column:
     return _best(F.filter(fetched, lambda c: F.regexp_like(key, c["regex"])))
 
 
-def _finish(df: DataFrame, url: str, default: str) -> DataFrame:
-    return (
-        df.withColumn("host", host_of(F.col(url)))
-        .withColumn("path", path_of(F.col(url)))
-        .withColumn("rule", F.col("__best.rule"))
-        .withColumn("verdict", F.coalesce(F.col("__best.action"), F.lit(default)))
-        .drop("__key", "__best")
-    )
+def _finish(df: DataFrame, url: str, default: str, best: str) -> DataFrame:
+    added = {"host": host_of(F.col(url)), "path": path_of(F.col(url)), "rule": F.col(f"{best}.rule"), "verdict": F.coalesce(F.col(f"{best}.action"), F.lit(default))}
+    return df.withColumns(added).drop(best)

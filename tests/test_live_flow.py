@@ -681,3 +681,52 @@ def test_validation():
     for bad in ("* * * * *", "61 * * * * *", "* * 25 * * *"):
         with pytest.raises(ConfigurationError):
             schedule.Scheduler().cron("c", hang, bad)
+
+
+def test_decorated_stages():
+    w, seen = flow()
+
+    @w.on("way", "router")
+    def way(c):
+        return "work"
+
+    @w.on("work", retry=resilience.Retry.fixed(1, 0))
+    def work(c):
+        return "end"
+
+    assert w.exit("end").run("way") == "end" and work(None) == "end"
+    testing.assert_path(seen, "way", "work", "end")
+    with pytest.raises(ConfigurationError):
+        w.on("x", "stream")
+
+
+def test_resources_by_kind_and_their_health():
+    events = []
+
+    class Mute:
+        def health(self):
+            raise OSError
+
+    held = store.Resources({"a": testing.CountedResource("a", events, health="degraded"), "b": testing.CountedResource("b", events, health="degraded")})
+    assert held.worst() == ("a", "degraded") and held.get("a", testing.CountedResource).name == "a"
+    held.insert("c", Mute())
+    assert held.check() == {"a": "degraded", "b": "degraded", "c": "unhealthy"} and held.health() == "unhealthy"
+    for wrong in (("d", None), ("a", int)):
+        with pytest.raises(ConfigurationError):
+            held.get(*wrong)
+    with pytest.raises(ConfigurationError):
+        held.insert("a", 1)
+
+
+@pytest.mark.parametrize("failing", range(4))
+def test_a_failure_at_any_step_undoes_what_was_done(failing):
+    """Exhaustive: whichever stage fails, the completed ones before it are undone, last first, and the log is cleared."""
+    w, _ = flow()
+    undone = []
+    for k in range(4):
+        w.compensated(f"s{k}", (lambda c: 1 / 0) if k == failing else (lambda c, k=k: (f"s{k + 1}", k)), undone.append)
+    w.exit("s4")
+    with pytest.raises(StateError) as e:
+        w.run("s0")
+    assert e.value.state == f"s{failing}" and undone == list(range(failing))[::-1]
+    assert (w.log.load("run") == []) == (failing > 0)  # with nothing to undo, the log is kept

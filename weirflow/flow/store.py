@@ -49,8 +49,34 @@ class Resources:
 
     def __exit__(self, *_) -> None:
         for r in reversed(list(self.held.values())):
-            getattr(r, "teardown", lambda: None)()
+            try:
+                getattr(r, "teardown", lambda: None)()
+            except Exception:  # noqa: BLE001, S110  the others still go down
+                pass
+
+    def get(self, name: str, kind: type | None = None):
+        """A resource by name, of the kind wanted."""
+        if name not in self.held:
+            raise ConfigurationError(f"no resource {name!r}")
+        found = self.held[name]
+        if kind is not None and not isinstance(found, kind):
+            raise ConfigurationError(f"resource {name!r} is no {kind.__name__}")
+        return found
+
+    def check(self) -> dict[str, str]:
+        """The health of each resource; one that cannot tell is unhealthy."""
+        out = {}
+        for name, r in self.held.items():
+            try:
+                out[name] = getattr(r, "health", lambda: "healthy")()
+            except Exception:  # noqa: BLE001
+                out[name] = "unhealthy"
+        return out
 
     def health(self) -> str:
         """The worst; of equals the first."""
-        return max((getattr(r, "health", lambda: "healthy")() for r in self.held.values()), key=HEALTH.index, default="healthy")
+        return max(self.check().values(), key=HEALTH.index, default="healthy")
+
+    def worst(self) -> tuple[str, str] | None:
+        """The resource that decides the health, and its health."""
+        return max(self.check().items(), key=lambda x: HEALTH.index(x[1]), default=None)

@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -43,7 +45,21 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: While tables are written: shuffle files go as soon as the writing ends, and Arrow batches stay small, since texts may be long.
+SPARING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
+
+
+@contextmanager
+def sparing(spark: SparkSession) -> Iterator[None]:
+    """Settings of this session that spare disk and memory, put back afterwards."""
+    before = {k: spark.conf.get(k, None) for k in SPARING}
+    for k, v in SPARING.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class Scratch:
@@ -57,12 +73,8 @@ class Scratch:
 
     def keep(self, df: DataFrame) -> DataFrame:
         path, self.made = f"{self.folder}/{self.made}", self.made + 1
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
-        try:
+        with sparing(self.spark):
             df.write.parquet(path)
-        finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

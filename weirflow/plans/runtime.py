@@ -71,7 +71,10 @@ class Scratch:
     def __init__(self, spark: SparkSession) -> None:
         self.spark, self.folder, self.made = spark, f"{checkpoint_dir(spark)}/scratch-{uuid.uuid4().hex}", 0
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, narrow: bool = False) -> DataFrame:
+        """``df`` as a table; a narrow one is written by no more tasks than run at once, so loops do not leave thousands of small files."""
+        if narrow:
+            df = df.coalesce(max(2, self.spark.sparkContext.defaultParallelism))
         path, self.made = f"{self.folder}/{self.made}", self.made + 1
         with sparing(self.spark):
             df.write.parquet(path)

@@ -306,17 +306,17 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
 
     Labels pass along edges and then jump to their own label's label, until none changes.
     """
-    both = scratch.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct())
-    labels = scratch.keep(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")))
+    both = scratch.keep(edges.select(F.col("a").alias("node"), F.col("b").alias("to")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("to"))).distinct(), narrow=True)
+    labels = scratch.keep(both.groupBy("node").agg(F.least(F.col("node"), F.min("to")).alias("label")), narrow=True)
     while True:
         heard = both.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("heard"))
-        stepped = scratch.keep(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved")))
+        stepped = scratch.keep(labels.join(heard, "node").select("node", F.least("label", "heard").alias("label"), (F.col("heard") < F.col("label")).alias("moved")), narrow=True)
         scratch.drop(labels)
         if not stepped.where("moved").limit(1).count():
             scratch.drop(both)
             return stepped.select("node", "label")
         up = stepped.select(F.col("node").alias("label"), F.col("label").alias("higher"))
-        labels = scratch.keep(stepped.join(up, "label", "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label")))
+        labels = scratch.keep(stepped.join(up, "label", "left").select("node", F.least("label", F.coalesce("higher", "label")).alias("label")), narrow=True)
         scratch.drop(stepped)
 
 
@@ -371,17 +371,17 @@ def join_blocks(member: DataFrame, sets: DataFrame, labels: DataFrame, similar:
     counts = classed.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("mass").alias("mass"))
     main = counts.groupBy("band").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.count(F.lit(1)).alias("labels"), F.sum("n").alias("n"), F.sum("mass").alias("mass"), F.max(F.struct("n", "label", "mass")).alias("top"))
     outside = _blocks(F.col("n") - F.col("top.n"), F.col("mass") - F.col("top.mass")).alias("rows")
-    open_ = scratch.keep(main.where("labels > 1").select("band", "main", outside))
+    open_ = scratch.keep(main.where("labels > 1").select("band", "main", outside), narrow=True)
     row, column = _block_of("node", "band", "rows"), _block_of("node", "band", "blocks")
     along = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
     own = F.when(F.col("label") != F.col("main"), F.transform(along("blocks"), lambda j: F.struct(row.alias("i"), j.alias("j"))))
     all_ = F.transform(along("rows"), lambda i: F.struct(i.alias("i"), column.alias("j")))
     cell = F.explode(F.array_distinct(F.concat(F.coalesce(own, F.array().cast("array<struct<i:int,j:int>>")), all_)))
     cells = classed.join(open_, "band").select("band", "node", "label", cell.alias("cell")).select("band", "cell.i", "cell.j", "node", F.col("label").alias("id"))
-    found = scratch.keep(join_cells(cells, sets, similar))
+    found = scratch.keep(join_cells(cells, sets, similar).distinct(), narrow=True)
     scratch.drop(classed, open_)
     merged = components(found, scratch).toDF("label", "least")
-    return scratch.keep(labels.join(merged, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("least", "label").alias("label")))
+    return scratch.keep(labels.join(merged, "label", "full").select(F.coalesce("node", "label").alias("node"), F.coalesce("least", "label").alias("label")), narrow=True)
 
 
 def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) -> DataFrame:
@@ -426,7 +426,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) ->
         .where((F.col("n") > 2) | ((F.col("n") == 2) & (F.col("least") >= F.col("most") * (similar - 1e-9))))
     )
     buckets = sizes.groupBy("low", "high", "sign", "n", "mass").agg(F.min("band").alias("band")).select("band", _blocks(F.col("n"), F.col("mass")).alias("blocks"))
-    member = scratch.keep(member.join(scratch.keep(buckets), "band").select("band", "node", "mass", F.greatest(F.col("blocks"), F.lit(1)).alias("blocks")))
+    member = scratch.keep(member.join(scratch.keep(buckets, narrow=True), "band").select("band", "node", "mass", F.greatest(F.col("blocks"), F.lit(1)).alias("blocks")))
     shared = member.select("node").distinct().join(nodes.select("node", "rid", "text_key"), "node")
     # One text of each node; equal rows are brought down to one before the shuffle.
     texts = keyed.dropDuplicates(["rid", "text_key"]).join(shared, ["rid", "text_key"]).select("node", "text")
@@ -434,19 +434,19 @@ def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) ->
     large = member.where("blocks > 1")
     centres = large.groupBy("band", "blocks", F.pmod(F.xxhash64("node"), F.lit(CENTRES))).agg(F.min("node").alias("node")).select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
     cells = member.select("band", _block_of("node", "band", "blocks").alias("block"), "node").unionByName(centres).withColumn("id", F.col("node"))
-    found = scratch.keep(join_cells(cells, sets, similar))
+    found = scratch.keep(join_cells(cells, sets, similar).distinct(), narrow=True)
     labels = components(found, scratch)
     if large.limit(1).count():
         labels = join_blocks(large, sets, labels, similar, scratch)
     scratch.drop(found, sets, member)
     named = nodes.select("text_key", "node", "rid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = scratch.keep(named.select("text_key", "rid", "label"))
+    named = scratch.keep(named.select("text_key", "rid", "label"), narrow=True)
     scratch.drop(nodes)
     heads = named.groupBy("label").agg(F.min(F.struct("rid", "text_key")).alias("head")).select("label", "head.rid", "head.text_key")
     first = heads.groupBy("rid").agg(F.min("text_key").alias("first"))
     name = F.when(F.col("text_key") == F.col("first"), F.col("rid")).otherwise(row_id(F.lit(None), F.col("text_key")))
     heads = heads.join(first, "rid").select("label", F.col("rid").alias("head_rid"), F.col("text_key").alias("head_key"), name.alias("class_id"))
-    named = scratch.keep(named.join(heads, "label").select("text_key", "head_rid", "head_key", "class_id"))
+    named = scratch.keep(named.join(heads, "label").select("text_key", "head_rid", "head_key", "class_id"), narrow=True)
     kept = (F.col("rid") == F.col("head_rid")) & (F.col("text_key") == F.col("head_key"))
     return rows.select("rid", "text_key").join(named, "text_key").select("rid", "text_key", "class_id", kept.alias("kept"))
 

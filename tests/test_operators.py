@@ -160,3 +160,44 @@ def test_prepositions_of_empty_and_odd_texts(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, " 12 -- "), (4, "In (the) in-to into! 'OVER' 1about2 x")], "doc_id long, text string")
     got = {r["doc_id"]: (r["total_words"], r["unique_prepositions"], r["density"]) for r in text.prepositions(df).collect()}
     assert got == {1: (0, 0, 0.0), 2: (0, 0, 0.0), 3: (0, 0, 0.0), 4: (7, 4, round(400 / 7, 6))}
+
+
+def test_tiers_in_order_with_filter_and_wait():
+    step, state, seen = folds.multi_step(folds.bucket_step(3, 2000), folds.window_step(4, 10_000), folds.window_step(100, 10**6)), None, []
+    for at, cost, only in ((0, 2, None), (0, 2, None), (2000, 2, None), (2000, 1, [2]), (3000, 0, None), (10_000, 3, [2, 3])):
+        state, out = step(state, at, cost, only)
+        seen.append(out)
+    assert seen == [(True, 0, 0), (False, 1, 2000), (True, 0, 0), (False, 2, 8000), (True, 0, 0), (True, 0, 0)]
+
+
+def test_writes_replayed_equal_the_live_store(spark):
+    import random
+
+    from weirflow.flow.store import Store
+    from weirflow.operators import stores
+
+    rng, live, lists = random.Random(4), Store(), Store()
+    rows = [(n, rng.choice("abcde"), str(rng.randrange(9)), rng.random() < 0.2) for n in range(200)]
+    for _, k, v, removed in rows:
+        live.pop(k, None) if removed else live.__setitem__(k, v)
+        lists.append(k, v)
+    log = spark.createDataFrame(rows, "seq int, key string, value string, removed boolean")
+    assert {r["key"]: r["value"] for r in stores.last_write(log, "key", "seq", F.col("value"), F.col("removed")).collect()} == dict(live)
+    assert {r["key"]: r["appended"].split(",") for r in stores.appended(log, "key", "seq", "value").collect()} == dict(lists)
+
+
+def test_health_and_dangling_edges_equal_the_live_ones(spark):
+    from weirflow.flow import graph, store
+    from weirflow.flow.errors import ConfigurationError
+    from weirflow.flow.testing import CountedResource
+    from weirflow.operators import stores
+
+    levels = [0, 1, 2, 2, 1]
+    held = store.Resources({k: CountedResource(str(k), [], health=store.HEALTH[v]) for k, v in enumerate(levels)})
+    df = spark.createDataFrame([(1, k, v) for k, v in enumerate(levels)], "g int, k int, v int")
+    r = stores.health(df, "g", "k", F.col("v")).first()
+    assert (r["resource"], r["health"]) == held.worst()
+    edges = spark.createDataFrame([("a", "b"), ("a", "b"), ("b", "nowhere")], "from_state string, missing string")
+    assert [tuple(x) for x in stores.dangling(edges, ["a", "b"]).collect()] == [("b", "nowhere")]
+    with pytest.raises(ConfigurationError):
+        graph.Workflow().split("b", [], "nowhere").exit("end").validate()

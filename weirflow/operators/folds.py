@@ -7,7 +7,7 @@ any size never has to fit into memory. The same step functions drive the live fo
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -90,6 +90,11 @@ def bucket_step(capacity: int, micros_per_token: int):
             credit -= need
         return (credit, at), (admitted, credit)
 
+    def wait(state, at: int, cost: int) -> int:
+        """Microseconds until the cost is admitted, from the state of a refusal at this instant."""
+        return cost * micros_per_token - state[0]
+
+    step.wait = wait
     return step
 
 
@@ -105,23 +110,31 @@ def window_step(limit: int, length: int):
             used += cost
         return (start, used), (admitted, used)
 
+    step.wait = lambda state, at, cost: state[0] + length - at
     return step
 
 
-def multi_step(first, second):
-    """Two tiers debited in order, all or nothing; the first tier that refuses is named (0 for none)."""
+#: A refused call is tried again after a millisecond at least.
+LEAST_WAIT = 1000
 
-    def step(state, at: int, cost: int):
-        a, b = state if state else (None, None)
-        a_kept, (a_kept_ok, _) = first(a, at, 0)
-        b_kept, (_, _) = second(b, at, 0)
-        a_new, (a_ok, _) = first(a, at, cost)
-        if not a_ok:
-            return (a_kept, b_kept), (False, 1)
-        b_new, (b_ok, _) = second(b, at, cost)
-        if not b_ok:
-            return (a_kept, b_kept), (False, 2)
-        return (a_new, b_new), (True, 0)
+
+def multi_step(*tiers):
+    """Tiers debited in order, all or nothing; the first that refuses is named (from 1, 0 for none) with the microseconds until it might not.
+
+    ``only`` may name the tiers of a call (from 1); others are left as they are.
+    """
+
+    def step(state, at: int, cost: int, only: Sequence[int] | None = None):
+        held = list(state) if state else [None] * len(tiers)
+        kept = [tier(s, at, 0)[0] for tier, s in zip(tiers, held, strict=True)]
+        new = list(kept)
+        for k, tier in enumerate(tiers):
+            if only and k + 1 not in only:
+                continue
+            new[k], (ok, _) = tier(kept[k], at, cost)
+            if not ok:
+                return tuple(kept), (False, k + 1, max(tier.wait(new[k], at, cost), LEAST_WAIT))
+        return tuple(new), (True, 0, 0)
 
     return step
 

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from weirflow.functions.clock import micros
 from weirflow.flow.resilience import Retry
 from weirflow.flow.schedule import Backoff
-from weirflow.operators import batches, folds, recovery, schedules, splits, streams, text
+from weirflow.operators import batches, folds, recovery, schedules, splits, stores, streams, text
 from weirflow.plans.registry import query
 from weirflow.plans.runtime import table
 
@@ -358,17 +358,18 @@ def window_limiter(spark, sf_dir):
 
 
 @query(f"""WITH RECURSIVE {_E}, {_R}, c AS (
-SELECT user_id, event_id, rn, us, us AS start, (3 * {DAY} - {_COST} * {DAY})::BIGINT AS credit, {_COST} AS used, true AS admitted, 0 AS tier FROM o WHERE rn = 1
+SELECT user_id, event_id, rn, us, us AS start, (3 * {DAY} - {_COST} * {DAY})::BIGINT AS credit, {_COST} AS used, true AS admitted, 0 AS tier, 0::BIGINT AS retry_after FROM o WHERE rn = 1
 UNION ALL
-SELECT user_id, event_id, rn, us, start, CASE WHEN a AND b THEN credit - cost * {DAY} ELSE credit END, CASE WHEN a AND b THEN used + cost ELSE used END, a AND b, CASE WHEN NOT a THEN 1 WHEN NOT b THEN 2 ELSE 0 END
+SELECT user_id, event_id, rn, us, start, CASE WHEN a AND b THEN credit - cost * {DAY} ELSE credit END, CASE WHEN a AND b THEN used + cost ELSE used END, a AND b, CASE WHEN NOT a THEN 1 WHEN NOT b THEN 2 ELSE 0 END,
+CASE WHEN NOT a THEN greatest(cost * {DAY} - credit, 1000) WHEN NOT b THEN greatest(start + {3 * DAY} - us, 1000) ELSE 0 END
 FROM (SELECT *, cost = 0 OR cost * {DAY} <= credit AS a, cost = 0 OR used + cost <= 4 AS b
   FROM (SELECT o.user_id, o.event_id, o.rn, o.us, o.event_id % 3 AS cost, least(3 * {DAY}, c.credit + o.us - c.us)::BIGINT AS credit,
     CASE WHEN o.us - c.start >= {3 * DAY} THEN o.us ELSE c.start END AS start, CASE WHEN o.us - c.start >= {3 * DAY} THEN 0 ELSE c.used END AS used FROM c JOIN o ON o.user_id = c.user_id AND o.rn = c.rn + 1)))
-SELECT user_id, event_id, admitted, tier FROM c""")
+SELECT user_id, event_id, admitted, tier, retry_after FROM c""")
 def multi_rate_limiter(spark, sf_dir):
     rows = events(spark, sf_dir).df.withColumn("cost", F.col("event_id") % 3)
     step = folds.multi_step(folds.bucket_step(3, DAY), folds.window_step(4, 3 * DAY))
-    return folds.fold(rows, "user_id", "event_id", lambda: None, step, ["us", "cost"], "admitted boolean, tier int")
+    return folds.fold(rows, "user_id", "event_id", lambda: None, step, ["us", "cost"], "admitted boolean, tier int, retry_after long")
 
 
 @query(f"""WITH RECURSIVE {_E}, {_R}, c AS (
@@ -449,14 +450,13 @@ def checkpoint_conflicts(spark, sf_dir):
 @query(f"WITH {_E} SELECT user_id, arg_max(event_type, event_id) AS value FROM e GROUP BY 1 HAVING arg_max(event_type, event_id) <> 'error'")
 def store_last_write(spark, sf_dir):
     """Puts by user, the last one wins; an error event removes the key."""
-    return events(spark, sf_dir).df.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("value")).where("value <> 'error'")
+    return stores.last_write(events(spark, sf_dir).df, "user_id", "event_id", F.col("event_type"), F.col("event_type") == "error")
 
 
 @query(f"WITH {_E} SELECT user_id, string_agg(event_type, ',' ORDER BY event_id) AS appended FROM e WHERE event_type IN ('purchase', 'signup') GROUP BY 1")
 def store_append(spark, sf_dir):
     kept = events(spark, sf_dir).df.where(F.col("event_type").isin("purchase", "signup"))
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    return kept.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ",").alias("appended"))
+    return stores.appended(kept, "user_id", "event_id", "event_type")
 
 
 @query("""WITH h AS (SELECT s_nationkey, s_suppkey, CASE WHEN s_acctbal < 0 THEN 2 WHEN s_acctbal < 2000 THEN 1 ELSE 0 END AS severity FROM supplier)
@@ -464,14 +464,12 @@ SELECT s_nationkey, ['healthy', 'degraded', 'unhealthy'][max(severity) + 1] AS h
 def resource_health(spark, sf_dir):
     """The worst health of a group; of equals the first registered counts."""
     severity = F.when(F.col("s_acctbal") < 0, 2).when(F.col("s_acctbal") < 2000, 1).otherwise(0)
-    rated = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", severity.alias("severity"))
-    worst = rated.groupBy("s_nationkey").agg(F.max_by(F.struct("severity", "s_suppkey"), F.struct("severity", -F.col("s_suppkey"))).alias("w"))
-    return worst.select("s_nationkey", F.element_at(F.array(F.lit("healthy"), F.lit("degraded"), F.lit("unhealthy")), F.col("w.severity") + 1).alias("health"), F.col("w.s_suppkey").alias("resource"))
+    return stores.health(table(spark, sf_dir, "supplier"), "s_nationkey", "s_suppkey", severity)
 
 
 @query("SELECT event_type AS metric, count(*)::BIGINT AS n, round(sum(value), 2) AS total, max(value) AS greatest FROM events GROUP BY 1")
 def metrics_rollup(spark, sf_dir):
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 2).alias("total"), F.max("value").alias("greatest"))
+    return stores.histogram(table(spark, sf_dir, "events"), "event_type", "value")
 
 
 _EDGES = f"""{_E}, t AS (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS dst FROM e)"""
@@ -481,14 +479,13 @@ _EDGES = f"""{_E}, t AS (SELECT event_type AS src, lead(event_type) OVER (PARTIT
 def workflow_validate(spark, sf_dir):
     """Edges of the observed graph that lead to no registered state."""
     s = events(spark, sf_dir)
-    edges = s.df.select(F.col("event_type").alias("from_state"), F.lead("event_type").over(s.by_key()).alias("missing")).where("missing is not null").distinct()
-    return edges.join(F.broadcast(spark.createDataFrame([("click",), ("view",), ("signup",)], "missing string")), "missing", "left_anti").select("from_state", "missing")
+    edges = s.df.select(F.col("event_type").alias("from_state"), F.lead("event_type").over(s.by_key()).alias("missing")).where("missing is not null")
+    return stores.dangling(edges, ("click", "view", "signup"))
 
 
 @query(f"WITH {_E} SELECT user_id, string_agg(event_type, '>' ORDER BY event_id) AS path, count(*)::BIGINT AS steps FROM e GROUP BY 1")
 def transition_path(spark, sf_dir):
-    ordered = F.array_sort(F.collect_list(F.struct("event_id", "event_type")))
-    return events(spark, sf_dir).df.groupBy("user_id").agg(F.array_join(F.transform(ordered, lambda x: x["event_type"]), ">").alias("path"), F.count(F.lit(1)).alias("steps"))
+    return stores.appended(events(spark, sf_dir).df, "user_id", "event_id", "event_type", ">").select("user_id", F.col("appended").alias("path"), (F.size(F.split("appended", ">"))).cast("long").alias("steps"))
 
 
 # --- data operations ------------------------------------------------------------------------------------------

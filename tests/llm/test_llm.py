@@ -364,6 +364,16 @@ def test_near_duplicates_against_brute_force(spark, odd):
     assert near_dedup.near_duplicates(odd.limit(0)).count() == 0 == near_dedup.deduplicated(odd.limit(0)).count()
 
 
+def test_key_filter_keeps_all_keys_and_drops_most_others(spark):
+    from weirflow.llm.common import maybe_in
+
+    df = spark.range(20_000).select(F.md5(F.col("id").cast("string")).alias("k"), "id")
+    wanted = df.where("id % 40 = 0")
+    kept = {r["id"] for r in maybe_in(df, "k", wanted, wanted.count()).collect()}
+    assert {i for i in range(20_000) if i % 40 == 0} <= kept and len(kept) < 0.15 * 20_000
+    assert maybe_in(df, "k", df.limit(0), 0).count() == 0
+
+
 def test_one_id_on_different_texts(spark):
     """Two texts under one id are two nodes, and each finds its own near copies."""
     a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))

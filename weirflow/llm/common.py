@@ -26,6 +26,25 @@ def side(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df
 
 
+#: Bits of a key filter, at most; 16 MB, which is broadcast.
+FILTER_BITS = 1 << 27
+_SLOT = 1 << 15
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """``df`` without most rows whose ``key`` is not among the ``n`` of ``keys``, before they are shuffled for a join that removes the rest.
+
+    A bitmap has a bit for each key's hash, 16 for every key as long as it stays within ``FILTER_BITS``; its size is bounded, so it is broadcast.
+    """
+    bits = min(FILTER_BITS, max(_SLOT, 1 << (16 * max(n, 1)).bit_length()))
+    place = F.pmod(F.xxhash64(key), F.lit(bits))
+    slot, bit = F.floor(place / _SLOT).cast("int"), (place % _SLOT).cast("int")
+    table = keys.select(slot.alias("__slot"), bit.alias("__bit")).groupBy("__slot").agg(F.bitmap_construct_agg("__bit").alias("__bits"))
+    byte = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    is_set = byte.bitwiseAND(F.call_function("shiftleft", F.lit(1), (F.col("__bit") % 8).cast("int"))) != 0
+    return df.withColumns({"__slot": slot, "__bit": bit}).join(F.broadcast(table), "__slot").where(is_set).select(*df.columns)
+
+
 def whole(text: Column) -> Column:
     """Null texts count as empty."""
     return F.coalesce(text, F.lit(""))

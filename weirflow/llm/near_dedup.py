@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import take_over, trim, whole
+from weirflow.llm.common import maybe_in, take_over, trim, whole
 from weirflow.plans.runtime import Scratch, ship
 
 #: Words in a shingle and the least similarity of near duplicates.
@@ -427,9 +427,10 @@ def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) ->
     )
     buckets = sizes.groupBy("low", "high", "sign", "n", "mass").agg(F.min("band").alias("band")).select("band", _blocks(F.col("n"), F.col("mass")).alias("blocks"))
     member = scratch.keep(member.join(scratch.keep(buckets, narrow=True), "band").select("band", "node", "mass", F.greatest(F.col("blocks"), F.lit(1)).alias("blocks")))
-    shared = member.select("node").distinct().join(nodes.select("node", "rid", "text_key"), "node")
-    # One text of each node; equal rows are brought down to one before the shuffle.
-    texts = keyed.dropDuplicates(["rid", "text_key"]).join(shared, ["rid", "text_key"]).select("node", "text")
+    shared = scratch.keep(member.select("node").distinct().join(nodes.select("node", "rid", "text_key"), "node"), narrow=True)
+    # One text of each node that shares a bucket; others, and equal rows but one, go before the shuffle.
+    few = maybe_in(keyed, "text_key", shared, shared.count())
+    texts = few.dropDuplicates(["rid", "text_key"]).join(shared, ["rid", "text_key"]).select("node", "text")
     sets = scratch.keep(texts.mapInArrow(gather, "node long, elements binary"))
     large = member.where("blocks > 1")
     centres = large.groupBy("band", "blocks", F.pmod(F.xxhash64("node"), F.lit(CENTRES))).agg(F.min("node").alias("node")).select("band", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), "node")
@@ -438,7 +439,7 @@ def classes(docs: DataFrame, similar: float = SIMILAR, weighted: bool = True) ->
     labels = components(found, scratch)
     if large.limit(1).count():
         labels = join_blocks(large, sets, labels, similar, scratch)
-    scratch.drop(found, sets, member)
+    scratch.drop(found, sets, member, shared)
     named = nodes.select("text_key", "node", "rid").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     named = scratch.keep(named.select("text_key", "rid", "label"), narrow=True)
     scratch.drop(nodes)

@@ -45,6 +45,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+#: Bytes of a Parquet row group, which each writing task holds in memory.
+ROW_GROUP = 32 << 20
 #: While tables are written: shuffle files go as soon as the writing ends, and Arrow batches stay small, since texts may be long.
 SPARING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxBytesPerBatch": str(8 << 20)}
 
@@ -77,7 +79,7 @@ class Scratch:
             df = df.coalesce(max(2, self.spark.sparkContext.defaultParallelism))
         path, self.made = f"{self.folder}/{self.made}", self.made + 1
         with sparing(self.spark):
-            df.write.parquet(path)
+            df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

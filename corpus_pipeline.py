@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from weirflow.llm import byte_bpe, mixing, near_dedup, toxicity
 from weirflow.llm.queries import split_pattern, tokenizer_file
-from weirflow.plans.runtime import checkpoint_dir, sparing, table
+from weirflow.plans.runtime import ROW_GROUP, checkpoint_dir, sparing, table
 
 TOXIC_SCORE = 0.5
 
@@ -53,6 +53,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (_, stage) in enumerate(STAGES):
         out = stage(spark, docs, sf_dir)
         with sparing(spark):
-            out.write.parquet(f"{folder}/{k}")
+            out.write.option("parquet.block.size", ROW_GROUP).parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs

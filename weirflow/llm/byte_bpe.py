@@ -39,9 +39,9 @@ from weirflow.llm.common import take_over, whole
 from weirflow.plans.runtime import ship
 
 #: Words and matches whose ids are remembered, by generation, and the most characters of one.
-REMEMBERED, LONGEST_KEPT = 200_000, 48
+REMEMBERED, LONGEST_KEPT = 160_000, 48
 #: Bytes of text taken from Arrow at once.
-BATCH_BYTES = 1 << 20
+BATCH_BYTES = 1 << 19
 
 _BITS = 6
 _MASK = (1 << _BITS) - 1

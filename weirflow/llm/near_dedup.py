@@ -54,7 +54,7 @@ BLOCK_NODES, BLOCK_ELEMENTS = 1024, 1 << 21
 #: Nodes of a larger bucket that each of its blocks gets.
 CENTRES = 8
 #: Bytes of text hashed at once, and elements whose darts are thrown at once.
-BATCH_BYTES, THROWN = 1 << 20, 1 << 20
+BATCH_BYTES, THROWN = 1 << 19, 1 << 19
 #: Columns of a matrix product.
 COLUMNS = 2048
 
@@ -103,7 +103,7 @@ def shingles(data: np.ndarray, ends: np.ndarray, n: int = SHINGLE, short: bool =
     start, stop = np.flatnonzero(head), np.flatnonzero(tail) + 1
     if not len(start):
         return np.zeros(0, _U), np.zeros(0, np.int64)
-    up, back = _powers(1 << max(21, (size + 1).bit_length()))
+    up, back = _powers(1 << max(20, (size + 1).bit_length()))
     total = np.concatenate(([_U(0)], np.cumsum((data.astype(_U) + _U(1)) * up[:size], dtype=_U)))
     word = mixed((total[stop] - total[start]) * back[start] + (stop - start).astype(_U))
     doc = np.searchsorted(ends, start, side="right")

@@ -66,7 +66,7 @@ NEAR_REPEAT = 0.8
 #: Clean words in the fit, copies of each telling word with a letter put in, and texts of a class in the logistic fit.
 CLEAN_WORDS, COPIES, CALIBRATE = 30_000, 12, 500
 #: Words whose margins are remembered in a worker, by generation.
-REMEMBERED = 200_000
+REMEMBERED = 120_000
 #: Pairs of words in one vectorised step, and cells of a table of triples.
 PAIRS, CELLS = 40_000, 4 << 20
 

@@ -48,7 +48,7 @@ from weirflow.llm.common import take_over, trim, whole
 from weirflow.plans.runtime import ship
 
 #: Labelled rows and bytes of their texts in the fit, at most.
-SAMPLE, SAMPLE_BYTES = 5000, 16 << 20
+SAMPLE, SAMPLE_BYTES = 5000, 8 << 20
 #: Telling landmarks, at most, and how many words that may stand out by chance are taken where almost none is sure.
 LANDMARKS, FEW_LANDMARKS = 64, 12
 #: Landmarks among clean words: those nearest to the telling ones, and others.
@@ -66,7 +66,7 @@ NEAR_REPEAT = 0.8
 #: Clean words in the fit, copies of each telling word with a letter put in, and texts of a class in the logistic fit.
 CLEAN_WORDS, COPIES, CALIBRATE = 30_000, 12, 500
 #: Words whose margins are remembered in a worker, by generation.
-REMEMBERED = 120_000
+REMEMBERED = 200_000
 #: Pairs of words in one vectorised step, and cells of a table of triples.
 PAIRS, CELLS = 40_000, 4 << 20
 
@@ -124,9 +124,9 @@ def spread_words(text: str) -> list[str]:
 
 
 def tokens(text: str) -> set[str]:
-    """The different tokens of a text."""
+    """The different tokens of a text, without marks at their edges."""
     low = text.lower()
-    found = set(low.split())
+    found = {t if t.isalpha() else t.strip(_STRIP) for t in set(low.split())}
     if len(low) > 4 and _SPELLED.search(low):
         found.update(spread_words(low))
     return found
@@ -273,21 +273,14 @@ class Margins:
         for t in self.transient:
             old.pop(t, None)
             new.pop(t, None)
-        bare: dict[str, None] = {}
-        alias = []
+        bare = []
         for t in wanted:
-            if t in new:
-                continue
-            v = old.get(t)
-            if v is not None:
-                new[t] = v
-                continue
-            w = t if t.isalpha() else t.strip(_STRIP)
-            if w != t:
-                alias.append((t, w))
-                if w in new:
-                    continue
-            bare[w] = None
+            if t not in new:
+                v = old.get(t)
+                if v is None:
+                    bare.append(t)
+                else:
+                    new[t] = v
         index: dict[tuple[str, bool], int] = {}
         place: list[int] = []
         starts: list[int] = []
@@ -308,8 +301,7 @@ class Margins:
             values[fresh] = self.of_parts([every[i] for i in fresh.tolist()])
             self.parts.update((every[i], values[i]) for i in fresh.tolist() if len(every[i][0]) < WINDOW)
             new.update(zip(words, np.maximum.reduceat(values[place], starts).tolist(), strict=True))
-        new.update((t, new[w]) for t, w in alias)
-        self.transient = [t for t in (*words, *(t for t, _ in alias)) if len(t) > 3 * WINDOW]
+        self.transient = [t for t in words if len(t) > 3 * WINDOW]
         return new
 
     transient: Sequence[str] = ()

@@ -39,7 +39,7 @@ from weirflow.llm.common import take_over, whole
 from weirflow.plans.runtime import ship
 
 #: Words and matches whose ids are remembered, by generation, and the most characters of one.
-REMEMBERED, LONGEST_KEPT = 160_000, 48
+REMEMBERED, LONGEST_KEPT = 180_000, 48
 #: Bytes of text taken from Arrow at once.
 BATCH_BYTES = 1 << 19
 
@@ -196,9 +196,7 @@ class ByteBpe:
         kept, old = self.matches
         kept_words, old_words = self.words
         split: dict[str, list[str]] = {}
-        for w in words:
-            if w in kept_words:
-                continue
+        for w in words - kept_words.keys():
             if (ids := old_words.get(w)) is not None:
                 kept_words[w] = ids
             elif w.isalpha():
@@ -209,9 +207,7 @@ class ByteBpe:
                 split[w] = self.pattern.findall(" " + w)
         wanted = matches.union(*split.values())
         missing = []
-        for m in wanted:
-            if m in kept:
-                continue
+        for m in wanted - kept.keys():
             if (ids := old.get(m)) is not None:
                 kept[m] = ids
             else:
@@ -219,13 +215,14 @@ class ByteBpe:
         kept.update(zip(missing, self.encode_pieces([m.encode() for m in missing]), strict=True))
         for w, parts in split.items():
             kept_words[w] = kept[parts[0]] if len(parts) == 1 else tuple(i for m in parts for i in kept[m])
+        self.long = {"matches": [m for m in missing if len(m) > LONGEST_KEPT], "words": [w for w in split if len(w) > LONGEST_KEPT]}
         return kept, kept_words
 
     def _forget(self) -> None:
         """Drops what is too long to keep, and the older generation when the newer is full."""
         for name in ("matches", "words"):
-            new, old = getattr(self, name)
-            for k in [k for k in new if len(k) > LONGEST_KEPT]:
+            new, _ = getattr(self, name)
+            for k in self.long[name]:
                 del new[k]
             if len(new) > self.remembered:
                 setattr(self, name, ({}, new))

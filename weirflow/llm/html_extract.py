@@ -6,8 +6,8 @@ navigation, headers, footers, asides, forms, scripts, styles and elements whose
 id names an advert, a menu, a notice or comments never are article text; blocks inside
 ``article`` or ``main`` are, headers too, unless they are one of the other tags, hidden, or
 have one of the few whole class names of ``_NAMED_INSIDE``. What lies outside both is undecided, and there the
-host's suffix arrays decide. Every page goes through them: token streams of the blocks outside
-articles of all pages of a host are concatenated, and tokens that lie in a long substring found on
+host's suffix arrays decide. On a host where any page marks no article, every page goes through them: token streams of the blocks outside
+articles of all its pages are concatenated, and tokens that lie in a long substring found on
 a share of the host's pages are boilerplate; a menu marked on some pages is known on those that
 do not mark it. The runs that remain are kept. Passages that few pages share are no
 boilerplate, and copies are one page: equal token streams, and those that such substrings

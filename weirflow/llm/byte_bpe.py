@@ -35,7 +35,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import take_over, whole
+from weirflow.llm.common import take_over, uncollected, whole
 from weirflow.plans.runtime import ship
 
 #: Words and matches whose ids are remembered, by generation, and the most characters of one.
@@ -288,11 +288,12 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         digits = bpe.digits.__getitem__
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
-            for start, n in by_bytes(batch.column(1), BATCH_BYTES):
-                for ids in bpe.encode_many(batch.column(1).slice(start, n).to_pylist()):
-                    counts.append(len(ids))
-                    ids_hash.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
-                    text_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+            with uncollected():
+                for start, n in by_bytes(batch.column(1), BATCH_BYTES):
+                    for ids in bpe.encode_many(batch.column(1).slice(start, n).to_pylist()):
+                        counts.append(len(ids))
+                        ids_hash.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
+                        text_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
@@ -309,7 +310,8 @@ def encode_ids(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
         take_over("byte_bpe", _LOADED.clear)
         bpe = vocabulary(ranks, pattern)
         for batch in batches:
-            ids = bpe.encode_many(batch.column(1).to_pylist())
+            with uncollected():
+                ids = bpe.encode_many(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["doc_id", "ids"])
 
     return docs.select("doc_id", whole(F.col("text")).alias("text")).mapInArrow(run, f"doc_id {doc_type}, ids array<int>")

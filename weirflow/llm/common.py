@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import ctypes
 import gc
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -75,3 +76,13 @@ def take_over(owner: str, clear: Callable[[], None] = lambda: None) -> None:
     _HELD[owner] = clear
     if others:
         trim()
+
+
+@contextmanager
+def uncollected() -> Iterator[None]:
+    """Without the cyclic collector, which would go through large tables of words again and again; what runs inside makes no cycles."""
+    gc.disable()
+    try:
+        yield
+    finally:
+        gc.enable()

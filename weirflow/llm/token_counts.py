@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import take_over, whole
+from weirflow.llm.common import take_over, uncollected, whole
 from weirflow.plans.runtime import ship
 
 #: Bytes of text sent to the encoder at once.
@@ -137,8 +137,9 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = 2048, batch_bytes
         for batch in batches:
             texts = batch.column(2)
             counts: list[int] = []
-            for start, n in by_bytes(texts, batch_bytes):
-                counts += lengths.count(texts.slice(start, n).to_pylist())
+            with uncollected():
+                for start, n in by_bytes(texts, batch_bytes):
+                    counts += lengths.count(texts.slice(start, n).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
     text = whole(F.col("text"))

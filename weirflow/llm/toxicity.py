@@ -44,7 +44,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weirflow.llm.common import take_over, trim, whole
+from weirflow.llm.common import take_over, trim, uncollected, whole
 from weirflow.plans.runtime import ship
 
 #: Labelled rows and bytes of their texts in the fit, at most.
@@ -550,7 +550,8 @@ def with_scores(docs: DataFrame, model: Model, to: str = "score") -> DataFrame:
             scores = np.zeros(batch.num_rows)
             for s in range(0, batch.num_rows, 512):
                 part = [t or "" for t in texts.slice(s, 512).to_pylist()]
-                scores[s : s + len(part)] = model.scores(margins(part))
+                with uncollected():
+                    scores[s : s + len(part)] = model.scores(margins(part))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores)], names=[*batch.schema.names, to])
 
     return kept.mapInArrow(run, schema)

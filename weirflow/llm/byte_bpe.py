@@ -39,7 +39,7 @@ from weirflow.llm.common import take_over, uncollected, whole
 from weirflow.plans.runtime import ship
 
 #: Words and matches whose ids are remembered, by generation, and the most characters of one.
-REMEMBERED, LONGEST_KEPT = 300_000, 48
+REMEMBERED, LONGEST_KEPT = 420_000, 48
 #: Bytes of text taken from Arrow at once.
 BATCH_BYTES = 1 << 20
 
@@ -89,7 +89,8 @@ class ByteBpe:
     def __init__(self, ranks: dict[bytes, int], pattern: str, remembered: int = REMEMBERED) -> None:
         self.ranks, self.pattern, self.remembered = ranks, regex.compile(pattern), remembered
         self.bytes_of = {i: b for b, i in ranks.items()}
-        self.digits = {i: str(i) for i in ranks.values()}
+        self.digits = [str(i) for i in range(max(ranks.values()) + 1)]
+        self.by_id = [self.bytes_of.get(i) for i in range(max(ranks.values()) + 1)]
         self.shift = max(ranks.values()).bit_length()
         self.merges = {(a << self.shift) | b: i for t, i in ranks.items() for k in range(1, len(t)) if (a := ranks.get(t[:k])) is not None and (b := ranks.get(t[k:])) is not None}
         self.byte_id = np.array([ranks[bytes([i])] for i in range(256)], np.int32)
@@ -285,7 +286,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
 
         take_over("byte_bpe", _LOADED.clear)
         bpe = vocabulary(ranks, pattern)
-        digits = bpe.digits.__getitem__
+        digits, back = bpe.digits.__getitem__, bpe.by_id.__getitem__
         for batch in batches:
             counts, ids_hash, text_hash = [], [], []
             with uncollected():
@@ -293,7 +294,7 @@ def encode_documents(docs: DataFrame, ranks: str, pattern: str) -> DataFrame:
                     for ids in bpe.encode_many(batch.column(1).slice(start, n).to_pylist()):
                         counts.append(len(ids))
                         ids_hash.append(hashlib.sha256(" ".join(map(digits, ids)).encode()).hexdigest())
-                        text_hash.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
+                        text_hash.append(hashlib.sha256(b"".join(map(back, ids))).hexdigest())
             columns = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
